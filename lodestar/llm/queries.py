@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import query_mixing
+from lodestar.llm import query_mixing, query_quality
 
-MODULES = [query_mixing]
+MODULES = [query_mixing, query_quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
