@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import query_html, query_mixing, query_packing, query_pii, query_quality, query_secrets, query_simhash, query_substring
+from lodestar.llm import query_html, query_mixing, query_packing, query_pii, query_quality, query_secrets, query_simhash, query_substring, query_topk
 
-MODULES = [query_html, query_mixing, query_packing, query_pii, query_quality, query_secrets, query_simhash, query_substring]
+MODULES = [query_html, query_mixing, query_packing, query_pii, query_quality, query_secrets, query_simhash, query_substring, query_topk]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
