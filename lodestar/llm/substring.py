@@ -68,7 +68,7 @@ def _sketch(width: int, counters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            for b in blocks_of([words_of(t) for t in batch.column(0).to_pylist()], width):
+            for b in blocks_of((words_of(t.as_py()) for t in batch.column(0)), width):
                 held.append(_counters(b.gram, counters))
             if sum(map(len, held)) > KEPT_CELLS:
                 yield part(np.concatenate(held))
@@ -136,10 +136,10 @@ def _candidates(width: int, sketch, wanted=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.value
         for batch in batches:
-            rid, texts = batch.column(1).to_numpy(), batch.column(0).to_pylist()
-            digest = np.fromiter((_digest(t) for t in texts), dtype=np.uint64, count=len(texts))
+            rid, texts = batch.column(1).to_numpy(), batch.column(0)
+            digest = np.fromiter((_digest(t.as_py()) for t in texts), dtype=np.uint64, count=len(texts))
             b: Blocks
-            for b in blocks_of([words_of(t) for t in texts], width):
+            for b in blocks_of((words_of(t.as_py()) for t in texts), width):
                 keep, mark = _estimated_repeated(b.gram, bits), _mark(b.context, rid[b.text])
                 if wanted is not None:
                     keep &= _is_set(wanted.value, mark)
@@ -211,13 +211,13 @@ def repeated_stretches(docs: DataFrame, *, width: int = WIDTH, id_col: str = "do
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every row as if nothing were removed."""
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        words = [words_of(t) for t in texts]
-        digest = np.fromiter((_digest(t) for t in texts), dtype=np.uint64, count=len(texts))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(1), batch.column(2), _signed(digest), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())],
-            names=["doc_id", "rid", "digest", "n_words", "sha"],
-        )
+        digest = np.fromiter((_digest(t.as_py()) for t in batch.column(0)), dtype=np.uint64, count=batch.num_rows)
+        n, sha = [], []
+        for text in batch.column(0):
+            words = words_of(text.as_py())
+            n.append(len(words))
+            sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), _signed(digest), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "rid", "digest", "n_words", "sha"])
 
 
 def _marked(marks):
@@ -233,8 +233,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rid, digest, text, stretches = (batch.column(batch.schema.get_field_index(c)) for c in ("rid", "digest", "text", "stretches"))
         kept, n = [], []
-        for t, ranges in zip(text.to_pylist(), stretches.to_pylist(), strict=True):
-            words, gone = keep_words(words_of(t), [(r["start"], r["end"]) for r in ranges])
+        for t, ranges in zip(text, stretches, strict=True):
+            words, gone = keep_words(words_of(t.as_py()), [(r["start"], r["end"]) for r in ranges.as_py()])
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             n.append(gone)
         yield pa.RecordBatch.from_arrays([rid, digest, pa.array(n, pa.int64()), pa.array(kept, pa.string())], names=["rid", "digest", "n_removed", "kept"])

@@ -9,6 +9,7 @@ Hashes are 64 bits: a word's XXH64, and for a stretch of words the polynomial ov
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -16,7 +17,7 @@ import numpy as np
 import xxhash
 
 GRAM = 8
-WORDS_AT_ONCE = 1 << 19
+WORDS_AT_ONCE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -86,9 +87,11 @@ def _blocks(h: np.ndarray, lengths: np.ndarray, width: int, text0: int, start0:
     return Blocks(text[first] + text0, start[first] + start0, count, gram[least[new]], stretch(first, first + count - 1 + width), new, stretch(at, at + width))
 
 
-def blocks_of(texts: list[list[bytes]], width: int):
+def blocks_of(texts: Iterable[list[bytes]], width: int) -> Iterator[Blocks]:
     """Blocks of all texts, in groups of about WORDS_AT_ONCE words; a longer text comes in overlapping parts.
 
+    No more than one group's words are held at a time.
+
     A part's windows are exactly those that start in it, so every window is in one block; a run of windows that a part's
     end divides is two blocks here and there, which costs selectivity at such places, never a window.
     """
@@ -101,6 +104,7 @@ def blocks_of(texts: list[list[bytes]], width: int):
             yield found
         held, size, first = [], 0, until
 
+    i = -1
     for i, words in enumerate(texts):
         if len(words) > WORDS_AT_ONCE:
             yield from flush(i + 1)
@@ -113,4 +117,4 @@ def blocks_of(texts: list[list[bytes]], width: int):
             yield from flush(i)
         held.append(words)
         size += len(words)
-    yield from flush(len(texts))
+    yield from flush(i + 1)
