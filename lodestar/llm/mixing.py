@@ -28,6 +28,7 @@ from lodestar.llm.shared import count_words, cut_lineage, power_of_two, text_col
 ROWS_A_BUCKET = 20_000
 ROWS_A_RANGE = 50_000
 RANGES = 4_096
+BROADCAST_SOURCES = 10_000
 KEY_BITS = 60
 
 
@@ -61,24 +62,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], ratio: float, max
     return levels.select("source", "source_size", target.alias("target"), "budget")
 
 
-def mix_sources(
-    docs: DataFrame,
-    *,
-    weights: Sequence[float] = (5, 2, 1),
-    ratio: float = 1.5,
-    max_repeat: int = 2,
-    seed: int = 17,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    keep: Sequence[str] | None = None,
-) -> DataFrame:
-    """Rows of ``docs`` with size, source_size, target, copies and taken (= copies * size).
-
-    ``keep`` names the input columns to carry (all by default); a caller that only needs decisions leaves the text out.
-    """
-    made = ["size", "source_size", "target", "copies", "taken"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
+def _queue(docs: DataFrame, kept: Sequence[str], weights, ratio, max_repeat, seed, id_col, text_col, source_col):
+    """Every row with its place in its source's queue, and the cut of the global order."""
     base = cut_lineage(
         docs.select(
             F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
@@ -111,19 +96,68 @@ def mix_sources(
     def place(epoch: int) -> Column:
         return F.struct(finish(epoch).alias("finish"), F.col("key").alias("key"), F.col("source").alias("source"), F.lit(epoch).alias("epoch"))
 
-    queued = cut_lineage(queued.select("row", "size", "source", "source_size", "target", "budget", "cum", "key"))
+    queued = cut_lineage(queued.select("row", "id", "size", "source", "source_size", "target", "budget", "cum", "key"))
     copies = (
         queued.filter((F.col("size") > 0) & (F.col("target") > 0))
         .select("size", "budget", F.explode(F.array(*[place(e) for e in range(max_repeat)])).alias("place"))
     )
     cut = _cut(copies)
     if cut is None:
-        taken = F.lit(0)
-    else:
-        limit = F.struct(F.lit(cut["finish"]).alias("finish"), F.lit(cut["key"]).alias("key"), F.lit(cut["source"]).cast(queued.schema["source"].dataType).alias("source"), F.lit(cut["epoch"]).alias("epoch"))
-        taken = sum((F.when(place(e) <= limit, 1).otherwise(0) for e in range(max_repeat)), F.lit(0))
-    taken = F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(0).cast("long")
-    return queued.withColumn("copies", taken).select(*[F.col("row").getField(c).alias(c) for c in kept], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        return queued, [F.lit(0)] * max_repeat
+    limit = F.struct(F.lit(cut["finish"]).alias("finish"), F.lit(cut["key"]).alias("key"), F.lit(cut["source"]).cast(queued.schema["source"].dataType).alias("source"), F.lit(cut["epoch"]).alias("epoch"))
+    return queued, [F.when((F.col("size") > 0) & (F.col("target") > 0) & (place(e) <= limit), 1).otherwise(0) for e in range(max_repeat)]
+
+
+def mix_sources(
+    docs: DataFrame,
+    *,
+    weights: Sequence[float] = (5, 2, 1),
+    ratio: float = 1.5,
+    max_repeat: int = 2,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
+    """Rows of ``docs`` with size, source_size, target, copies and taken (= copies * size).
+
+    ``keep`` names the input columns to carry (all by default); a caller that only needs decisions leaves the text out.
+    """
+    made = ["size", "source_size", "target", "copies", "taken"]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    queued, taken = _queue(docs, kept, weights, ratio, max_repeat, seed, id_col, text_col, source_col)
+    copies = sum(taken[1:], taken[0]).cast("long")
+    return queued.withColumn("copies", copies).select(*[F.col("row").getField(c).alias(c) for c in kept], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_texts(
+    docs: DataFrame,
+    columns: Sequence[str],
+    *,
+    weights: Sequence[float] = (5, 2, 1),
+    ratio: float = 1.5,
+    max_repeat: int = 2,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: the ``columns`` of every document that is taken, once for each time.
+
+    Within a source the queue is in order of key, id and size, so what is taken is all up to some place. Only these
+    places (one per source and pass) meet the texts, which are not shuffled. Rows equal in id and size are taken alike.
+    """
+    queued, taken = _queue(docs, [], weights, ratio, max_repeat, seed, id_col, text_col, source_col)
+    spot = F.struct("key", "id", "size")
+    last = queued.groupBy("source").agg(*[F.max(F.when(t == 1, spot)).alias(f"last{e}") for e, t in enumerate(taken)])
+    last = cut_lineage(last.withColumnRenamed("source", "of_source"))
+    rows = docs.withColumns({"__size": count_words(text_column(docs, text_col)), "__key": shuffle_key(F.col(id_col), seed)})
+    few = last.count() <= BROADCAST_SOURCES
+    rows = rows.join(F.broadcast(last) if few else last, F.col(source_col).eqNullSafe(F.col("of_source")))
+    own = F.struct(F.col("__key").alias("key"), F.col(id_col).alias("id"), F.col("__size").alias("size"))
+    copies = sum((F.when((F.col("__size") > 0) & (own <= F.col(f"last{e}")), 1).otherwise(0) for e in range(max_repeat)), F.lit(0))
+    return rows.withColumn("__copies", copies).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
 
 
 def _cut(copies: DataFrame):

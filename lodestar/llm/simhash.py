@@ -21,13 +21,14 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.llm.components import label_components
 from lodestar.llm.shared import cut_lineage, power_of_two, text_column
@@ -40,6 +41,7 @@ MOST_AT_ANCHOR = 8_192
 CHECKS = [sum(1 << (i - 1) for i in range(1, 32) if i >> c & 1) for c in range(5)]
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SLICE = 65_536
+NO_ID = 1 << 62
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -179,12 +181,46 @@ def near_links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest id that chains of links reach."""
-    marked = cut_lineage(fingerprints(docs, id_col, text_col))
-    folded = cut_lineage(marked.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("label")))
+    """(doc_id, fp, component_id, component) for every row; component_id is the smallest id that chains of links reach.
+
+    ``component`` tells components apart also where no row of one has an id (component_id is null there); it is made of
+    the fingerprint's first 62 bits then, which rows of two components never share. Ids are taken to be below 2 ** 62.
+    """
+    return _join_components(cut_lineage(fingerprints(docs, id_col, text_col)))
+
+
+def _join_components(marked: DataFrame) -> DataFrame:
+    unnamed = F.lit(NO_ID) + F.shiftrightunsigned("fp", 2)
+    folded = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", unnamed).alias("label")))
     links = cut_lineage(near_links(folded.select("fp")))
     labels = label_components(folded.withColumnRenamed("fp", "node"), links)
     named = folded.join(labels.select(F.col("node").alias("fp"), F.col("label").alias("least")), "fp", "left")
-    named = cut_lineage(named.select(F.col("fp").alias("of_fp"), F.coalesce("least", "label").alias("component_id")))
-    component = F.when(F.col("component_id") < 2**63 - 1, F.col("component_id"))
-    return marked.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", component.alias("component_id"))
+    named = cut_lineage(named.select(F.col("fp").alias("of_fp"), F.coalesce("least", "label").alias("component")))
+    component_id = F.when(F.col("component") < NO_ID, F.col("component"))
+    return marked.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", component_id.alias("component_id"), "component")
+
+
+def _with_fingerprint(text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(text_at)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=[*batch.schema.names, "fp"])
+
+    return run
+
+
+def keep_one_each(docs: DataFrame, columns: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ``columns`` of one row of each component: the one with the smallest id (and fingerprint, if ids repeat).
+
+    The survivors' ids and fingerprints are found on narrow rows; then every text meets the survivors in one join.
+    """
+    marked = cut_lineage(fingerprints(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rid"), "doc_id", "fp"))
+    found = _join_components(marked.select("doc_id", "fp"))
+    first = found.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rid"), "fp")).alias("first"))
+    survivors = cut_lineage(first.select(F.col("first.rid").alias("of_rid"), F.col("first.fp").alias("of_fp")))
+    repeated = not marked.groupBy("rid", "fp").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    rows = docs.select(*columns, F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("rid"), text_column(docs, text_col).alias("whole"))
+    schema = T.StructType([*rows.schema, T.StructField("fp", T.LongType())])
+    rows = rows.mapInArrow(_with_fingerprint(len(columns) + 1), schema)
+    kept = rows.join(survivors, (F.col("rid") == F.col("of_rid")) & (F.col("fp") == F.col("of_fp")), "left_semi")
+    return (kept.dropDuplicates(["rid", "fp"]) if repeated else kept).select(*columns)
