@@ -41,7 +41,6 @@ MOST_AT_ANCHOR = 8_192
 CHECKS = [sum(1 << (i - 1) for i in range(1, 32) if i >> c & 1) for c in range(5)]
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SLICE = 65_536
-NO_ID = 1 << 62
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -183,21 +182,21 @@ def near_links(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id, component) for every row; component_id is the smallest id that chains of links reach.
 
-    ``component`` tells components apart also where no row of one has an id (component_id is null there); it is made of
-    the fingerprint's first 62 bits then, which rows of two components never share. Ids are taken to be below 2 ** 62.
+    ``component`` is the component's least fingerprint: it tells components apart also where ids repeat or are null.
     """
     return _join_components(cut_lineage(fingerprints(docs, id_col, text_col)))
 
 
 def _join_components(marked: DataFrame) -> DataFrame:
-    unnamed = F.lit(NO_ID) + F.shiftrightunsigned("fp", 2)
-    folded = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", unnamed).alias("label")))
-    links = cut_lineage(near_links(folded.select("fp")))
-    labels = label_components(folded.withColumnRenamed("fp", "node"), links)
-    named = folded.join(labels.select(F.col("node").alias("fp"), F.col("label").alias("least")), "fp", "left")
-    named = cut_lineage(named.select(F.col("fp").alias("of_fp"), F.coalesce("least", "label").alias("component")))
-    component_id = F.when(F.col("component") < NO_ID, F.col("component"))
-    return marked.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", component_id.alias("component_id"), "component")
+    folded = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = label_components(cut_lineage(near_links(folded.select("fp"))))
+    linked = cut_lineage(found.join(folded, F.col("node") == F.col("fp")).select("fp", "component", "least"))
+    ids = cut_lineage(linked.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("component_id")))
+    linked = linked.join(ids, F.col("component") == F.col("of")).select(F.col("fp").alias("of_fp"), "component", "component_id")
+    named = folded.join(linked, F.col("fp") == F.col("of_fp"), "left")
+    named = cut_lineage(named.select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
+    named = named.withColumnRenamed("fp", "of_fp")
+    return marked.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id", "component")
 
 
 def _with_fingerprint(text_at: int):

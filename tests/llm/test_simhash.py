@@ -82,20 +82,18 @@ def test_crowded_anchors_are_sliced(spark, monkeypatch):
     centre = rng.getrandbits(64)
     prints = {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (rng.getrandbits(64) if rng.random() < 0.2 else 0) for _ in range(150)}
     prints = sorted(np.array(sorted(prints), dtype=np.uint64).view(np.int64).tolist())
-    nodes = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "node long, label long")
-    links = simhash.near_links(nodes.select(F.col("node").alias("fp")))
-    got = {r.node: r.label for r in label_components(nodes, links).collect()}
+    links = simhash.near_links(spark.createDataFrame([(p,) for p in prints], "fp long"))
+    got = {r.node: r.component for r in label_components(links).collect()}
     want = direct_components(list(range(len(prints))), [p % 2**64 for p in prints])
-    assert [got.get(p, i) for i, p in enumerate(prints)] == want
+    assert [got.get(p, p) for p in prints] == [prints[i] for i in want]
 
 
 def test_long_chain_of_components(spark):
     n = 70
     order = list(range(n))
     random.Random(1).shuffle(order)
-    nodes = spark.createDataFrame([(i, order[i]) for i in range(n)], "node long, label long")
-    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
-    assert {r.label for r in label_components(nodes, edges).collect()} == {0}
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(200, 100), (100, 200), (300, 300)], "a long, b long")
+    assert {(r.node, r.component) for r in label_components(edges).collect()} == {(i, 0) for i in range(n)} | {(100, 100), (200, 100)}
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 50])
