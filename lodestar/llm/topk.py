@@ -33,7 +33,7 @@ SCALE = 64
 LARGEST = 1 << 23
 ROWS_A_BLOCK, LEAST_BLOCKS = 8_192, 16
 QUERIES_AT_ONCE, QUERIES_A_TASK = 2_048, 65_536
-LEAF, FAN = 48, 16
+LEAF, FAN = 256, 16
 NO_ID = 2**63 - 1
 
 
@@ -118,6 +118,14 @@ def make_candidates(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, k: int)
     return Candidates(ids[row], copy, x[row], cover_tree(x[row]))
 
 
+def own_rows(candidates: Candidates, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each query the number of its own row among the candidates, -1 if it is elsewhere."""
+    known: dict[tuple[int, bytes], int] = {}
+    for j in np.flatnonzero((candidates.copy == 0) & np.isin(candidates.ids, ids)):
+        known[int(candidates.ids[j]), candidates.x[j].tobytes()] = int(j)
+    return np.array([known.get((int(i), v.tobytes()), -1) for i, v in zip(ids, q, strict=True)], dtype=np.int64)
+
+
 def search(candidates: Candidates, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the scores and candidate numbers of its k best, -inf and -1 where there are fewer."""
     data, tree = candidates.tree, cover_tree(q)
@@ -129,17 +137,27 @@ def search(candidates: Candidates, ids: np.ndarray, q: np.ndarray, k: int) -> tu
         top = data.centre[nodes] @ tree.centre[n] + data.radius[nodes] * norm + data.norm[nodes] * r + data.radius[nodes] * r
         return top + 1e-9 * (np.abs(top) + (data.norm[nodes] + data.radius[nodes]) * (norm + r)) + 1e-6
 
-    def compare(group: np.ndarray, at: np.ndarray) -> None:
+    own = own_rows(candidates, ids, q)
+    leaf, place = np.full(len(candidates.ids), -1), np.zeros(len(candidates.ids), dtype=np.int64)
+    for n, at in enumerate(data.points):
+        if at is not None:
+            leaf[at], place[at] = n, np.arange(len(at))
+
+    def compare(group: np.ndarray, n: int) -> None:
+        at = data.points[n]
         score = q[group] @ candidates.x[at].T
-        for i, j in np.argwhere(ids[group][:, None] == candidates.ids[at][None, :]):
-            if candidates.copy[at[j]] == 0 and (q[group[i]] == candidates.x[at[j]]).all():
-                score[i, j] = -np.inf
-        better = np.flatnonzero((score >= best[group, -1:]).any(axis=1))
+        mine = np.flatnonzero((own[group] >= 0) & (leaf[own[group]] == n))
+        score[mine, place[own[group[mine]]]] = -np.inf
+        least = best[group, -1:]
+        if len(at) > k:  # what is below a row's k-th of this leaf cannot be among its k best; equals may
+            least = np.maximum(least, np.partition(score, len(at) - k, axis=1)[:, len(at) - k][:, None])
+        matters = score >= least
+        better, which_columns = np.flatnonzero(matters.any(axis=1)), np.flatnonzero(matters.any(axis=0))
         if not len(better):
             return
         mine = group[better]
-        scores = np.concatenate([best[mine], score[better]], axis=1)
-        numbers = np.concatenate([which[mine], np.broadcast_to(at, (len(mine), len(at)))], axis=1)
+        scores = np.concatenate([best[mine], score[np.ix_(better, which_columns)]], axis=1)
+        numbers = np.concatenate([which[mine], np.broadcast_to(at[which_columns], (len(mine), len(which_columns)))], axis=1)
         numbers = np.where(np.isneginf(scores), -1, numbers)
         order = np.lexsort((numbers, -scores), axis=-1)[:, :k]  # numbers follow ids, so ties go to the smaller id
         best[mine] = np.take_along_axis(scores, order, axis=1)
@@ -160,7 +178,7 @@ def search(candidates: Candidates, ids: np.ndarray, q: np.ndarray, k: int) -> tu
             if -bound < best[group, -1].min():
                 break
             if data.children[f] is None:
-                compare(group, data.points[f])
+                compare(group, f)
             else:
                 for b, child in zip(bounds(n, data.children[f]), data.children[f], strict=True):
                     heapq.heappush(heap, (-b, int(child)))
