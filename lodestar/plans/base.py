@@ -1,7 +1,7 @@
 """Queries over the driver's tables: each has a Spark plan and, where SQL can say it, the same in DuckDB's SQL.
 
 The engine's own tables (files, jobs, projects and so on) are views over the driver's tables. A view is a list of
-expressions that both engines read alike, so the plan and the SQL start from the same rows.
+expressions that both engines read alike (or a pair, where they do not), so plan and SQL start from the same rows.
 """
 
 from __future__ import annotations
@@ -15,17 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 @dataclass(frozen=True)
 class View:
     table: str
-    columns: dict[str, str]
+    columns: dict[str, str | tuple[str, str]]
     where: str | None = None
 
     def sql(self) -> str:
-        named = ", ".join(f"{e} AS {n}" for n, e in self.columns.items())
+        named = ", ".join(f"{e if isinstance(e, str) else e[1]} AS {n}" for n, e in self.columns.items())
         return f"SELECT {named} FROM {self.table}" + (f" WHERE {self.where}" if self.where else "")
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
         rows = rows.where(self.where) if self.where else rows
-        return rows.selectExpr(*[f"{e} AS {n}" for n, e in self.columns.items()])
+        return rows.selectExpr(*[f"{e if isinstance(e, str) else e[0]} AS {n}" for n, e in self.columns.items()])
 
 
 @dataclass(frozen=True)

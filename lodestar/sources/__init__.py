@@ -1,0 +1 @@
+"""Sources: files of a folder, and the segments of their texts."""
