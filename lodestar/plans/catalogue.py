@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import state, texts
+from lodestar.plans import answers, state, texts
 from lodestar.plans.base import bind, oracle
 from lodestar.plans.views import VIEWS
 
-MODULES = [state, texts]
+MODULES = [state, texts, answers]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
