@@ -174,7 +174,7 @@ def is_overview(heading: Column) -> Column:
 
 def linked_markers(text: Column) -> Column:
     """Citation markers as links."""
-    return F.regexp_replace(text, r"\[([0-9]+)\]", r"[\\[$1\\]](#source-$1)")
+    return F.regexp_replace(text, r"\[([0-9]+)\]", "[$1](#cite-$1)")
 
 
 def without_thoughts(text: Column) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import tokens_of
 
+#: Longer expressions are neither compiled nor planned well.
+FLAT_DIM = 128
+
 
 def bucket(word: Column, dim: int) -> Column:
     """MD5 of the word, as a 128-bit number, modulo ``dim``, by folding its four 32-bit pieces."""
@@ -48,7 +51,9 @@ def norm(v: Column) -> Column:
 
 
 def dot(a: Column, b: Column, dim: int) -> Column:
-    """An inner product as one flat expression, which is compiled with the stage it is in."""
+    """An inner product; of few dimensions as one flat expression, which is compiled with the stage it is in."""
+    if dim > FLAT_DIM:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     out = a[0].cast("double") * b[0].cast("double")
     for i in range(1, dim):
         out = out + a[i].cast("double") * b[i].cast("double")
