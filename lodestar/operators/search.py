@@ -34,6 +34,7 @@ from lodestar.constants import (
 )
 from lodestar.functions.text import estimated_tokens, is_definitional, is_overview, lexemes
 from lodestar.functions.vectors import dot, norm
+from lodestar.lineage import written
 
 BROADCAST_QUESTIONS = 10_000
 QUESTIONS_A_BLOCK = 4_096
@@ -56,45 +57,56 @@ def ranked(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
 
-def similarity(a: str, b: str, dim: int) -> Column:
-    """Cosine similarity to nine digits, so that equal ones tie; null if either has no length."""
-    lengths = norm(F.col(a)) * norm(F.col(b))
-    return F.round(F.when(lengths > 0, dot(F.col(a), F.col(b), dim) / lengths), DIGITS)
+def similar(passages: DataFrame, questions: DataFrame, dim: int) -> DataFrame:
+    """Every passage (…, counts) with every question (question, counts) and their cosine similarity, sim.
+
+    To nine digits, so that equal ones tie; null if either has no length. Lengths are taken once for each row.
+    """
+    rows = passages.withColumn("length", norm(F.col("counts")))
+    asked = questions.select("question", F.col("counts").alias("q"), norm(F.col("counts")).alias("q_length"))
+    lengths = F.col("length") * F.col("q_length")
+    sim = F.round(F.when(lengths > 0, dot(F.col("counts"), F.col("q"), dim) / lengths), DIGITS)
+    return pairs(rows, asked).withColumn("sim", sim).drop("counts", "q", "length", "q_length")
 
 
 def vector_hits(passages: DataFrame, questions: DataFrame, dim: int, k: int = CANDIDATES, within: Column | None = None) -> DataFrame:
     slim = (passages if within is None else passages.where(within)).select("chunk", "counts")
-    both = pairs(slim, questions.select("question", F.col("counts").alias("q")))
-    scored = both.select("question", "chunk", similarity("counts", "q", dim).alias("score"))
+    scored = similar(slim, questions, dim).select("question", "chunk", F.col("sim").alias("score"))
     return ranked(scored, k, F.col("score").desc_nulls_last())
 
 
-def postings(passages: DataFrame) -> DataFrame:
+def postings(passages: DataFrame, lexed=lexemes) -> DataFrame:
     """(chunk, lexeme, weight): a lexeme's summed weight in a passage: 1 in its heading, 0.1 in its text, per place."""
-    places = F.concat(F.transform(lexemes(F.col("heading")), lambda w: F.struct(w.alias("lexeme"), F.lit(10).alias("w"))), F.transform(lexemes(F.col("text")), lambda w: F.struct(w.alias("lexeme"), F.lit(1).alias("w"))))
+    places = F.concat(F.transform(lexed(F.col("heading")), lambda w: F.struct(w.alias("lexeme"), F.lit(10).alias("w"))), F.transform(lexed(F.col("text")), lambda w: F.struct(w.alias("lexeme"), F.lit(1).alias("w"))))
     return passages.select("chunk", F.explode(places).alias("p")).groupBy("chunk", "p.lexeme").agg((F.sum("p.w") / 10).alias("weight"))
 
 
-def keyword_hits(passages: DataFrame, questions: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """Passages by the share of a question's distinct terms they contain, then by weighted places."""
-    asked = questions.select("question", F.array_distinct(lexemes(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+def keyword_hits(passages: DataFrame, questions: DataFrame, k: int = CANDIDATES, lexed=lexemes) -> DataFrame:
+    """Passages by the share of a question's distinct terms they contain, then by weighted places.
+
+    ``lexed`` makes search tokens of a text column; ``functions.stemming.stemmed`` finds other forms of a word too.
+    """
+    asked = questions.select("question", F.array_distinct(lexed(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
     asked = asked.select("question", F.size("terms").alias("n_terms"), F.explode("terms").alias("lexeme"))
-    matched = postings(passages).join(asked, "lexeme").groupBy("question", "chunk").agg((F.count("*") / F.max("n_terms")).alias("score"), F.round(F.sum("weight"), 6).alias("density"))
+    matched = postings(passages, lexed).join(asked, "lexeme").groupBy("question", "chunk").agg((F.count("*") / F.max("n_terms")).alias("score"), F.round(F.sum("weight"), 6).alias("density"))
     return ranked(matched, k, F.col("score").desc(), F.col("density").desc())
 
 
 def section_hits(passages: DataFrame, questions: DataFrame, dim: int, k: int = SECTION_CANDIDATES) -> DataFrame:
     """Passages of the sections whose titles match a question clearly better than the fifth best does."""
     headed = passages.where("heading IS NOT NULL AND heading_counts IS NOT NULL")
-    titles = headed.groupBy("heading").agg(F.first("heading_counts").alias("title"))
-    both = pairs(titles, questions.select("question", F.col("counts").alias("q"))).select("question", "heading", similarity("title", "q", dim).alias("sim"))
+    titles = headed.groupBy("heading").agg(F.first("heading_counts").alias("counts"))
+    both = similar(titles, questions, dim)
     order = Window.partitionBy("question").orderBy(F.col("sim").desc_nulls_last(), "heading")
     top = both.withColumn("nth", F.row_number().over(order)).where("nth <= 5")
     spread = top.groupBy("question").agg(F.max(F.when(F.col("nth") == 1, F.col("sim"))).alias("best"), F.max(F.when(F.col("nth") == 5, F.col("sim"))).alias("fifth"))
     clear = spread.where(F.round(F.col("best") - F.col("fifth"), DIGITS) >= SECTION_DISTINCT_MARGIN)
     chosen = top.join(clear, "question").where(F.round(F.col("best") - F.col("sim"), DIGITS) <= SECTION_TIE_MARGIN).select("question", "heading")
-    hits = passages.select("chunk", "heading", "counts").join(chosen, "heading").join(questions.select("question", F.col("counts").alias("q")), "question")
-    return ranked(hits.select("question", "chunk", similarity("counts", "q", dim).alias("score")), k, F.col("score").desc_nulls_last())
+    own = questions.select("question", F.col("counts").alias("q"))
+    hits = passages.select("chunk", "heading", "counts").join(chosen, "heading").join(own, "question")
+    lengths = norm(F.col("counts")) * norm(F.col("q"))
+    score = F.round(F.when(lengths > 0, dot(F.col("counts"), F.col("q"), dim) / lengths), DIGITS)
+    return ranked(hits.select("question", "chunk", score.alias("score")), k, F.col("score").desc_nulls_last())
 
 
 def overview_hits(passages: DataFrame, questions: DataFrame, dim: int, k: int = OVERVIEW_CANDIDATES) -> DataFrame:
@@ -132,8 +144,12 @@ def ranked_lists(passages: DataFrame, questions: DataFrame, dim: int) -> list[tu
 
 
 def retrieve(passages: DataFrame, questions: DataFrame, files: DataFrame, dim: int, k: int = TOP_K) -> DataFrame:
-    """Fused hits with similarity and keyword rank; files that are not indexed drop out after the cut."""
-    lists = ranked_lists(passages, questions, dim)
+    """Fused hits with similarity and keyword rank; files that are not indexed drop out after the cut.
+
+    Passages, questions and the two lists that are used again are written once each.
+    """
+    passages, questions = written(passages), written(questions)
+    lists = [(written(hits.select("question", "chunk", "score", "rank")), w) for hits, w in ranked_lists(passages, questions, dim)]
     fused = fuse(lists, k)
     sim = lists[0][0].select("question", "chunk", F.col("score").alias("similarity"))
     keyword = lists[1][0].select("question", "chunk", F.col("rank").alias("keyword_rank"))

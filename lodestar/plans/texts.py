@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.constants import MIN_SIMILARITY
 from lodestar.functions import text as T
+from lodestar.functions.stemming import stemmed
 from lodestar.functions.vectors import hashed_counts, unit
 from lodestar.operators import search
 from lodestar.plans.base import Query
@@ -183,6 +184,7 @@ QUERIES: dict[str, Query] = {
     ),
     "keyword_coverage": Query(SEARCH, hits(lambda p, q: search.keyword_hits(p, q)), "WITH " + LISTS + " SELECT question, chunk, score, rank FROM keyword"),
     "keyword_density": Query(("passages",), lambda p: search.postings(p).select("chunk", "lexeme", F.round("weight", 6).alias("weight")), f"WITH post AS (SELECT chunk, unnest({lexemes('heading')}) AS lexeme, 10 AS w FROM passages UNION ALL SELECT chunk, unnest({lexemes('text')}), 1 FROM passages) SELECT chunk, lexeme, round(sum(w) / 10.0::DOUBLE, 6) AS weight FROM post GROUP BY ALL"),
+    "keyword_stemmed": Query(SEARCH, hits(lambda p, q: search.keyword_hits(p, q, lexed=stemmed))),
     "section_match": Query(SEARCH, hits(lambda p, q: search.section_hits(p, q, DIM)), "WITH " + LISTS + " SELECT question, chunk, score, rank FROM section"),
     "overview_hits": Query(
         ("passages", "asked"),

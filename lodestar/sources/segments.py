@@ -35,17 +35,21 @@ def text_windows(files: DataFrame, text_col: str = "text", size: int = LINES_PER
     return files.select(*[c for c in files.columns if c != text_col], F.explode(_let(lines_of(F.col(text_col)), cut)).alias("w")).select("*", "w.*").drop("w")
 
 
+def is_heading(line: Column) -> Column:
+    return line.startswith("#") & F.regexp_like(line, F.lit(HEADING))
+
+
 def markdown_sections(files: DataFrame, text_col: str = "text") -> DataFrame:
     """Sections by headings, with the heading line in the text; what stands before the first heading is plain lines."""
 
     def cut(lines: Column) -> Column:
-        marks = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.regexp_like(F.element_at(lines, i), F.lit(HEADING)))
+        marks = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: is_heading(F.element_at(lines, i)))
         starts = F.array_distinct(F.concat(F.array(F.lit(1)), marks))
         spans = F.zip_with(starts, F.slice(starts, F.lit(2), F.size(starts)), lambda a, b: F.struct(a.alias("a"), F.coalesce(b - 1, F.size(lines)).alias("b")))
 
         def section(s: Column) -> Column:
             first = F.element_at(lines, s["a"])
-            heading = F.when(F.regexp_like(first, F.lit(HEADING)), F.regexp_extract(first, HEADING, 2))
+            heading = F.when(is_heading(first), F.regexp_extract(first, HEADING, 2))
             kind = F.when(F.length(heading) > 0, "heading").otherwise("lines")
             return F.struct(trimmed(F.array_join(F.slice(lines, s["a"], s["b"] - s["a"] + 1), "\n")).alias("segment"), kind.alias("loc_type"), heading.alias("heading"), s["a"].alias("line_start"), s["b"].alias("line_end"))
 
