@@ -39,7 +39,7 @@ def test_scalar_functions(spark):
     assert one(spark, T.source_header(c("f"), c("l"), c("s")), f="a.pdf", l="Page 2", s="1 X") == "[Source: a.pdf | Page 2 | 1 X]"
     assert one(spark, T.has_content(c("t")), t="6") is False and one(spark, T.has_content(c("t")), t="Q3 Revenue: 4.2M") is True
     assert one(spark, T.has_content(c("t"), c("h")), t="2 Common  Methods", h="1 A › 2 Common Methods") is False
-    questions = {"What is KonfiPay?": True, "Tell me about the portal": True, "overview of billing": True, "What is the error response?": False, "How do I log in?": False}
+    questions = {"What is LedgerPay?": True, "Tell me about the portal": True, "overview of billing": True, "What is the error response?": False, "How do I log in?": False}
     assert {q: one(spark, T.is_definitional(c("q")), q=q) for q in questions} == questions
     assert one(spark, T.without_thoughts(c("t")), t="<think>no\n</think> yes") == "yes"
     assert one(spark, T.linked_markers(c("t")), t="a [2]") == "a [2](#cite-2)"
