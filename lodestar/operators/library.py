@@ -160,3 +160,49 @@ def force_reindex(jobs: DataFrame) -> DataFrame:
 def model_switch(files: DataFrame, model: str) -> DataFrame:
     """Files to index again after the embedding model changed: none the second time."""
     return files.where(F.col("status").isin("indexed", "failed") & (F.col("model") != model)).select("id", F.lit("queued").alias("new_status"), F.lit(model).alias("model"))
+
+
+def create_folders(folders: DataFrame, new: DataFrame) -> DataFrame:
+    """Folders that may be added (path not in use), named after the last part of their path unless they have a name."""
+    name = F.coalesce(F.when(F.length("display_name") > 0, F.col("display_name")), F.element_at(F.filter(F.split("path", "/"), lambda p: p != ""), -1))
+    return new.join(folders.select("path").distinct(), "path", "left_anti").select("path", name.alias("display_name"))
+
+
+def update_folders(folders: DataFrame, projects: DataFrame, changes: DataFrame) -> DataFrame:
+    """(folder_id, project_id, name, purge): renames reach the folder's projects, a changed path purges its files."""
+    both = folders.join(changes.select(F.col("id").alias("change_id"), F.col("display_name").alias("new_name"), F.col("path").alias("new_path")), F.col("id") == F.col("change_id"))
+    purge = F.col("new_path").isNotNull() & (F.col("new_path") != F.col("path"))
+    rows = both.select(F.col("id").alias("folder_id"), F.coalesce("new_name", "display_name").alias("name"), purge.alias("purge"))
+    return rows.join(projects.select(F.col("id").alias("project_id"), "folder_id"), "folder_id", "left")
+
+
+def audit_rows(changed: DataFrame, action: str, entity: str) -> DataFrame:
+    """One log row per change (id, before, after: structs), as JSON."""
+    return changed.select(F.lit(action).alias("action"), F.lit(entity).alias("entity"), F.col("id").alias("entity_id"), F.to_json("before").alias("before"), F.to_json("after").alias("after"))
+
+
+def answer_rows(answers: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Answers to append: those whose conversation still exists, with their cited cards frozen beside them."""
+    return answers.join(conversations.select("conv_id").distinct(), "conv_id", "left_semi")
+
+
+def bootstrap(users: DataFrame, first: DataFrame) -> DataFrame:
+    """The first rows of a table, if it is empty."""
+    return first.join(users.limit(1).select(F.lit(True).alias("taken")), F.lit(True), "left").where("taken IS NULL").drop("taken")
+
+
+def outdated_index(files: DataFrame, version: int, model: str) -> DataFrame:
+    """Files to index again: another version keeps their chunks searchable meanwhile, another model drops them."""
+    old = (F.col("index_version") != version) | (F.col("model") != model)
+    return files.where(old & (F.col("status") == "indexed")).select("id", F.lit("queued").alias("new_status"), (F.col("model") != model).alias("drop_chunks"))
+
+
+def browse(listing: DataFrame) -> DataFrame:
+    """Folders of a listing (name, is_dir) in the order of a browser: visible ones, by name without case."""
+    visible = listing.where(F.col("is_dir") & ~F.substring("name", 1, 1).isin(".", "$", "~"))
+    return visible.select("name", F.row_number().over(Window.orderBy(F.lower("name"), "name")).alias("place"))
+
+
+def valid_interval(seconds: Column) -> Column:
+    """Rescan intervals that settings accept."""
+    return seconds.between(30, 86_400)

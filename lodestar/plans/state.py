@@ -192,5 +192,41 @@ QUERIES: dict[str, Query] = {
     "extraction_failed": Query(("files", "known"), lambda f, k: library.extraction_failed(f, k.where("status = 'processing'").select("id", F.sha2("rel_path", 256).alias("sha256"))), "SELECT f.id, 'failed' AS status, sha256(k.rel_path) AS sha256 FROM files f JOIN known k ON k.id = f.id WHERE k.status = 'processing'"),
     "force_reindex": Query(("jobs",), library.force_reindex, "SELECT id, concat('{\"file_id\":', file_id, ',\"force\":true}') AS payload FROM jobs WHERE status = 'queued'"),
     "model_switch": Query(("files",), lambda f: library.model_switch(f, "bge-m3"), "SELECT id, 'queued' AS new_status, 'bge-m3' AS model FROM files WHERE status IN ('indexed', 'failed') AND model <> 'bge-m3'"),
+    "folder_create": Query(
+        ("files",),
+        lambda f: library.create_folders(f.where("id % 2 = 0").select(F.col("rel_path").alias("path")), f.select(F.col("rel_path").alias("path"), F.when(F.col("id") % 3 == 0, F.col("file_name")).otherwise("").alias("display_name"))),
+        "SELECT rel_path AS path, CASE WHEN id % 3 = 0 THEN file_name ELSE regexp_extract(rel_path, '([^/]+)/*$', 1) END AS display_name FROM files n WHERE NOT EXISTS (SELECT 1 FROM files o WHERE o.id % 2 = 0 AND o.rel_path = n.rel_path)",
+    ),
+    "folder_update": Query(
+        ("folders", "projects"),
+        lambda f, p: library.update_folders(f.withColumn("path", F.concat(F.lit("/srv/"), "display_name")), p, f.where("id <> 1").select("id", F.when(F.col("id") == 2, "Renamed").alias("display_name"), F.when(F.col("id") == 3, "/srv/new").otherwise(F.concat(F.lit("/srv/"), "display_name")).alias("path"))),
+        "SELECT f.id AS folder_id, CASE WHEN f.id = 2 THEN 'Renamed' ELSE f.display_name END AS name, f.id = 3 AS purge, p.id AS project_id FROM folders f LEFT JOIN projects p ON p.folder_id = f.id WHERE f.id <> 1",
+    ),
+    "audit_log": Query(
+        ("jobs",),
+        lambda j: library.audit_rows(j.where("status = 'running'").select("id", F.struct("status", "attempts").alias("before"), F.struct(F.lit("queued").alias("status"), (F.col("attempts") + 1).alias("attempts")).alias("after")), "requeue", "job"),
+        """SELECT 'requeue' AS action, 'job' AS entity, id AS entity_id, concat('{"status":"', status, '","attempts":', attempts, '}') AS before, concat('{"status":"queued","attempts":', attempts + 1, '}') AS after FROM jobs WHERE status = 'running'""",
+    ),
+    "answer_sink": Query(
+        ("messages",),
+        lambda m: library.answer_rows(m.where("role = 'assistant'").select("conv_id", "turn"), m.where("role = 'system'")),
+        "SELECT conv_id, turn FROM messages a WHERE role = 'assistant' AND EXISTS (SELECT 1 FROM messages s WHERE s.role = 'system' AND s.conv_id = a.conv_id)",
+    ),
+    "bootstrap_rows": Query(
+        ("users", "models"),
+        lambda u, m: library.bootstrap(u.where("id < 0"), m.where("is_default").select("id", "name")).unionByName(library.bootstrap(u, m.select("id", "name"))),
+        "SELECT id, name FROM models WHERE is_default",
+    ),
+    "index_outdated": Query(
+        ("files",),
+        lambda f: library.outdated_index(f.withColumn("index_version", F.when(F.col("id") % 4 == 0, 4).otherwise(5)), 5, "bge-m3"),
+        "SELECT id, 'queued' AS new_status, model <> 'bge-m3' AS drop_chunks FROM files WHERE status = 'indexed' AND (id % 4 = 0 OR model <> 'bge-m3')",
+    ),
+    "folder_browser": Query(
+        ("files",),
+        lambda f: library.browse(f.select(F.concat("file_name", "id").alias("name"), (F.col("project_id") == 7).alias("is_dir"))),
+        "SELECT name, row_number() OVER (ORDER BY lower(name), name) AS place FROM (SELECT concat(file_name, id) AS name FROM files WHERE project_id = 7) WHERE substring(name, 1, 1) NOT IN ('.', '$', '~')",
+    ),
+    "setting_bounds": Query(("files",), lambda f: f.select("id", library.valid_interval(F.col("size_bytes") / 50000).alias("valid")), "SELECT id, size_bytes / 50000 BETWEEN 30 AND 86400 AS valid FROM files"),
     "path_filter": Query(("files",), lambda f: f.where(F.lower("rel_path").contains("brand#1")).select("id"), "SELECT id FROM files WHERE contains(lower(rel_path), 'brand#1')"),
 }
