@@ -31,7 +31,7 @@ AROUND = 40
 
 CUE = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer"
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[0-9+/_-]{0,200}[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"
     rf"|(?<=[=:\"']|[=:]\x20)(?<=(?i:{CUE.replace('?', '{0,1}')})[\"']{{0,1}}\x20{{0,1}}[=:]\x20{{0,1}}[\"']{{0,1}})[^\s\"'<>,;]{{8,}}"
 )
 SCAN = rf"\G[\s\S]*?({CANDIDATE})"

@@ -36,6 +36,7 @@ def test_candidates_and_redaction(spark, model):
         (4, "ordinary words keitlichlichkeitbezeichnungen only, 4111111111111111 too", "x"),
         (5, None, "x"), (6, "", "x"), (None, "password=b7db7aa4a5fcc78305", None), (None, "password=b7db7aa4a5fcc78305", None),
         (7, "word " * 200_000 + "password=b7db7aa4a5fcc78305", "x"),
+        (9, "a" * 300 + "1" * 50 + " and " + "x9" * 3_000, "x"),
         (8, "id=123e4567-e89b-12d3-a456-426614174000 and /usr/lib/python3/dist/packages2/file.py", "x"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, candidates string")
@@ -47,6 +48,7 @@ def test_candidates_and_redaction(spark, model):
     assert found[4] == [] and found[6] == []
     assert found[7] == [("b7db7aa4a5fcc78305", True)] and found[None] == [("b7db7aa4a5fcc78305", True)]
     assert not any(s for _, s in found[8])
+    assert [len(v) for v, _ in found[9]] == [350, 6_000]
     text = {r.doc_id: r.redacted for r in got}
     assert text[2] == "é😀 the key <SECRET> and password=<SECRET> end."
     assert text[3] == rows[2][1] and text[5] is None and text[6] == ""
