@@ -2,43 +2,95 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestar.functions.text import tokens_of
+WORD = re.compile("[a-z0-9]{3,}")
+MOST_REMEMBERED = 500_000
+DIGITS = 9
 
 #: Longer expressions are neither compiled nor planned well.
 FLAT_DIM = 128
 
 
-def bucket(word: Column, dim: int) -> Column:
-    """MD5 of the word, as a 128-bit number, modulo ``dim``, by folding its four 32-bit pieces."""
-    digest = F.md5(word.cast("binary"))
-    out = F.lit(0).cast("long")
-    for k in range(4):
-        piece = F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")
-        out = (out * ((1 << 32) % dim) + piece % dim) % dim
-    return out.cast("int")
-
-
 def hashed_counts(rows: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
     """(id, counts): how many words of three letters or more fall into each bucket; a text without any has one in 0.
 
-    Words are counted before the shuffle; a document's row of counts is made from at most ``dim`` of them.
+    A bucket is the word's MD5, as a 128-bit number, modulo ``dim``. Every text is counted in its own row, over Arrow
+    batches: no word is shuffled, and a worker hashes a word once while it remembers it.
     """
-    words = rows.select(F.col(id_col).alias("id"), F.explode_outer(F.filter(tokens_of(F.coalesce(text_col, F.lit(""))), lambda w: F.length(w) >= 3)).alias("word"))
-    hits = words.select("id", F.when(F.col("word").isNotNull(), bucket(F.col("word"), dim)).alias("b"))
-    if dim <= 64:
-        counts = hits.groupBy("id").agg(*[F.count_if(F.col("b") == i).alias(f"b{i}") for i in range(dim)])
-        vector = F.array(*[F.col(f"b{i}").cast("double") for i in range(dim)])
-        counts = counts.select("id", vector.alias("counts"))
-    else:
-        by = hits.groupBy("id", "b").agg(F.count("b").cast("double").alias("n"))
-        held = by.groupBy("id").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("b", "n")), lambda e: e["b"].isNotNull())).alias("m"))
-        counts = held.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("counts"))
-    empty = ~F.exists("counts", lambda x: x > 0)
-    first = F.array(F.lit(1.0), *[F.lit(0.0)] * (dim - 1)) if dim <= 64 else F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
-    return counts.select("id", F.when(empty, first).otherwise(F.col("counts")).alias("counts"))
+    slim = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return slim.mapInArrow(_count(dim), T.StructType([slim.schema["id"], T.StructField("counts", T.ArrayType(T.DoubleType()))]))
+
+
+def _count(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+
+        def bucket(word: str) -> int:
+            if len(known) > MOST_REMEMBERED:
+                known.clear()
+            found = known[word] = int(hashlib.md5(word.encode()).hexdigest(), 16) % dim
+            return found
+
+        for batch in batches:
+            counts = np.zeros((batch.num_rows, dim))
+            for i, text in enumerate(batch.column(1)):
+                at = [known[w] if w in known else bucket(w) for w in WORD.findall((text.as_py() or "").lower())]
+                counts[i] = np.bincount(at, minlength=dim) if at else 0
+                counts[i, 0] += not at
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(counts.ravel()), dim).cast(pa.list_(pa.float64()))], names=["id", "counts"])
+
+    return run
+
+
+def nearest(rows: DataFrame, key: str, questions: DataFrame, k: int) -> DataFrame:
+    """(question, key, sim): candidates for each question's k rows of largest cosine similarity, ties to the smaller key.
+
+    ``rows`` has key and counts, ``questions`` question and counts; these are in memory, so their number is the caller's
+    to bound. A batch is one matrix product and hands on its k best for each question; similarities have nine digits,
+    so that equal ones tie, and are null where a vector has no length.
+    """
+    held = questions.select("question", "counts").toArrow()
+    slim = rows.select(F.col(key).alias("key"), "counts")
+    schema = T.StructType([questions.schema["question"], T.StructField(key, slim.schema["key"].dataType), T.StructField("sim", T.DoubleType())])
+    return slim.mapInArrow(_nearest(held, key, k), schema)
+
+
+def _matrix(column) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
+
+
+def _nearest(held: pa.Table, key: str, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = held["question"].combine_chunks()
+        if not len(ids):
+            return
+        q = _matrix(held["counts"])
+        q_length = np.sqrt((q**2).sum(axis=1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(1))
+            lengths = np.sqrt((x**2).sum(axis=1))[:, None] * q_length
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sim = np.where(lengths > 0, np.round(x @ q.T / lengths, DIGITS), np.nan)
+            order = np.empty(batch.num_rows, dtype=np.int64)
+            order[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
+            best = np.lexsort((np.broadcast_to(order[:, None], sim.shape), np.where(np.isnan(sim), np.inf, -sim)), axis=0)[:k]
+            at, asked = best.T.ravel(), np.repeat(np.arange(len(ids)), len(best))
+            value = sim[at, asked]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(asked)), batch.column(0).take(pa.array(at)), pa.array(value, mask=np.isnan(value))], names=["question", key, "sim"])
+
+    return run
 
 
 def unit(counts: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Questions have (question, text, counts), passages (chunk, project, heading, text, counts, heading_counts); counts are
 vectors. Every list is (question, chunk, score, rank). Ranking works on ids and vectors alone, texts are joined after the
-cut. Questions are broadcast while they are few (``BROADCAST_QUESTIONS``, a row is a few kilobytes at most); beyond that
-both sides are dealt into blocks and joined on the block.
+cut. The questions' vectors are one matrix in memory while they are few (``MATRIX_BYTES``), and every batch of passages is
+one matrix product; beyond that both sides are dealt into blocks and joined on the block.
 """
 
 from __future__ import annotations
@@ -33,11 +33,12 @@ from lodestar.constants import (
     VECTOR_WEIGHT,
 )
 from lodestar.functions.text import estimated_tokens, is_definitional, is_overview, lexemes
-from lodestar.functions.vectors import dot, norm
+from lodestar.functions.vectors import dot, nearest, norm
 from lodestar.lineage import written
 
 BROADCAST_QUESTIONS = 10_000
 QUESTIONS_A_BLOCK = 4_096
+MATRIX_BYTES = 32 << 20
 DIGITS = 9
 
 
@@ -69,9 +70,16 @@ def similar(passages: DataFrame, questions: DataFrame, dim: int) -> DataFrame:
     return pairs(rows, asked).withColumn("sim", sim).drop("counts", "q", "length", "q_length")
 
 
+def best_of(rows: DataFrame, key: str, questions: DataFrame, dim: int, k: int) -> DataFrame:
+    """(question, key, sim) that contain each question's k most similar rows: by batches, or by blocks of questions."""
+    if questions.count() * dim * 8 <= MATRIX_BYTES:
+        return nearest(rows, key, questions, k)
+    return similar(rows, questions, dim).select("question", key, "sim")
+
+
 def vector_hits(passages: DataFrame, questions: DataFrame, dim: int, k: int = CANDIDATES, within: Column | None = None) -> DataFrame:
     slim = (passages if within is None else passages.where(within)).select("chunk", "counts")
-    scored = similar(slim, questions, dim).select("question", "chunk", F.col("sim").alias("score"))
+    scored = best_of(slim, "chunk", questions, dim, k).select("question", "chunk", F.col("sim").alias("score"))
     return ranked(scored, k, F.col("score").desc_nulls_last())
 
 
@@ -96,7 +104,7 @@ def section_hits(passages: DataFrame, questions: DataFrame, dim: int, k: int = S
     """Passages of the sections whose titles match a question clearly better than the fifth best does."""
     headed = passages.where("heading IS NOT NULL AND heading_counts IS NOT NULL")
     titles = headed.groupBy("heading").agg(F.first("heading_counts").alias("counts"))
-    both = similar(titles, questions, dim)
+    both = best_of(titles, "heading", questions, dim, 5)
     order = Window.partitionBy("question").orderBy(F.col("sim").desc_nulls_last(), "heading")
     top = both.withColumn("nth", F.row_number().over(order)).where("nth <= 5")
     spread = top.groupBy("question").agg(F.max(F.when(F.col("nth") == 1, F.col("sim"))).alias("best"), F.max(F.when(F.col("nth") == 5, F.col("sim"))).alias("fifth"))

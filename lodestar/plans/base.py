@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar.sources.tables import read_table
+
 
 @dataclass(frozen=True)
 class View:
@@ -23,7 +25,7 @@ class View:
         return f"SELECT {named} FROM {self.table}" + (f" WHERE {self.where}" if self.where else "")
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
+        rows = read_table(spark, sf_dir, self.table)
         rows = rows.where(self.where) if self.where else rows
         return rows.selectExpr(*[f"{e if isinstance(e, str) else e[0]} AS {n}" for n, e in self.columns.items()])
 

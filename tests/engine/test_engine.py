@@ -101,6 +101,8 @@ def test_coverage_gate_and_sections(spark):
 def test_many_questions_by_blocks(spark, monkeypatch):
     p, q = corpus(spark), ask(spark, *[f"order {i} payroll" for i in range(9)])
     whole = sorted(map(tuple, search.vector_hits(p, q, 1024).collect()))
+    monkeypatch.setattr(search, "MATRIX_BYTES", 0)
+    assert sorted(map(tuple, search.vector_hits(p, q, 1024).collect())) == whole
     monkeypatch.setattr(search, "BROADCAST_QUESTIONS", 2)
     monkeypatch.setattr(search, "QUESTIONS_A_BLOCK", 4)
     assert sorted(map(tuple, search.vector_hits(p, q, 1024).collect())) == whole
