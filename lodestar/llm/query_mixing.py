@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm.mixing import mix_sources
+from lodestar.sources.tables import read_table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     mixed = mix_sources(docs, keep=["doc_id", "source"])
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.pii import BASE_KINDS, find_personal_data
+from lodestar.sources.tables import read_table
 
 
 def joined(spans: Column) -> Column:
@@ -17,7 +18,7 @@ def count(kind: str) -> Column:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     found = find_personal_data(docs, keep=["doc_id"])
     counts = [count(kind).alias(f"n_{kind}") for kind in BASE_KINDS]
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))

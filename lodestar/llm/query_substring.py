@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm.substring import dedup_substrings
+from lodestar.sources.tables import read_table
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup_substrings(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}

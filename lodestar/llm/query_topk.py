@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.topk import top_k
+from lodestar.sources.tables import read_table
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = read_table(spark, sf_dir, "embeddings")
     return top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
