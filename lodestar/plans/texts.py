@@ -116,7 +116,7 @@ LINES = "SELECT id, unnest(string_split(regexp_replace(text, chr(10) || '$', '')
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
 QUERIES: dict[str, Query] = {
-    "search_text": Query(("documents",), lambda d: d.select("id", F.md5(T.search_text(F.col("text")).cast("binary")).alias("h")), f"SELECT id, md5({CAMEL.format('text')}) AS h FROM documents"),
+    "search_text_normalise": Query(("documents",), lambda d: d.select("id", F.md5(T.search_text(F.col("text")).cast("binary")).alias("h")), f"SELECT id, md5({CAMEL.format('text')}) AS h FROM documents"),
     "section_titles": Query(("passages",), lambda p: p.select("chunk", T.section_title(F.concat(F.lit("3.1 "), "heading", F.lit(" › 2 RequestToken"))).alias("title")), "SELECT chunk, title FROM (SELECT chunk, concat('3.1 ', heading, ' › 2 RequestToken') AS heading FROM passages) x, LATERAL (SELECT " + TITLE + " AS title)"),
     "location_labels": Query(
         ("observations",),
@@ -134,7 +134,7 @@ QUERIES: dict[str, Query] = {
     ),
     "snippets": Query(("documents",), lambda d: d.select("id", T.snippet(F.col("text")).alias("snippet")), f"SELECT id, CASE WHEN len(t) <= 260 THEN t ELSE regexp_replace(substring(t, 1, 260), ' [^ ]*$', '') || '…' END AS snippet FROM (SELECT id, {SNIPPET} AS t FROM documents)"),
     "open_urls": Query(("files",), lambda f: f.select("id", T.open_url(F.col("id"), F.when(F.col("id") % 2 == 0, "pdf").otherwise("text"), F.col("project_id")).alias("url")), "SELECT id, concat('/api/files/', id, CASE WHEN id % 2 = 0 THEN concat('/pdf', CASE WHEN project_id > 0 THEN concat('#page=', project_id) ELSE '' END) ELSE '/content' END) AS url FROM files"),
-    "token_estimates": Query(("documents",), lambda d: d.select("id", T.estimated_tokens(F.col("text")).alias("by_length"), T.fallback_tokens(F.col("text")).alias("by_words")), f"SELECT id, floor(len(text) / 3.5)::BIGINT + 1 AS by_length, greatest(1, round_even(len(list_filter(string_split({squeezed('text')}, ' '), lambda w: w <> '')) * 1.3::DOUBLE, 0)::BIGINT) AS by_words FROM documents"),
+    "token_estimate": Query(("documents",), lambda d: d.select("id", T.estimated_tokens(F.col("text")).alias("by_length"), T.fallback_tokens(F.col("text")).alias("by_words")), f"SELECT id, floor(len(text) / 3.5)::BIGINT + 1 AS by_length, greatest(1, round_even(len(list_filter(string_split({squeezed('text')}, ' '), lambda w: w <> '')) * 1.3::DOUBLE, 0)::BIGINT) AS by_words FROM documents"),
     "content_filter": Query(("passages",), lambda p: p.select("chunk", T.has_content(F.col("text"), F.concat(F.lit("1 A › "), "text")).alias("of_itself"), T.has_content(F.substring("text", 1, 2)).alias("short"), T.has_content(F.col("text"), F.col("heading")).alias("kept")), f"SELECT chunk, false AS of_itself, len(regexp_replace(substring(text, 1, 2), '[^\\p{{L}}]', '', 'g')) >= 3 AS short, len(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 3 AND lower({squeezed('text')}) <> lower({squeezed('heading')}) AS kept FROM passages"),
     "contents_pages": Query(("documents",), lambda d: d.select("id", T.is_contents_page(F.concat("text", F.repeat(F.lit("...."), (F.col("id") % 9).cast("int")))).alias("contents")), "SELECT id, len(regexp_extract_all(text || repeat('....', (id % 9)::INT), '\\.{4}')) >= 5 AS contents FROM documents"),
     "definitional_questions": Query(("prompts",), lambda p: p.select("conv_id", "turn", T.is_definitional(F.col("text")).alias("definitional")), f"SELECT conv_id, turn, {DEFINITIONAL.format('text')} AS definitional FROM prompts"),
@@ -204,6 +204,11 @@ QUERIES: dict[str, Query] = {
         retrieved,
         "WITH " + LISTS + " SELECT f.question, f.chunk, f.score, f.rank, v.score AS similarity, k.rank AS keyword_rank FROM fused f JOIN page_files s ON s.file = f.chunk AND s.status = 'indexed' LEFT JOIN vector v ON v.question = f.question AND v.chunk = f.chunk LEFT JOIN keyword k ON k.question = f.question AND k.chunk = f.chunk",
     ),
+    "late_status_join": Query(
+        (*SEARCH, "page_files"),
+        lambda p, a, f: search.fuse(search.ranked_lists(*prepared(p, a), DIM)).join(f.select(F.col("file").alias("chunk"), "status"), "chunk").select("question", "chunk", "rank", (F.col("status") == "indexed").alias("kept")),
+        "WITH " + LISTS + " SELECT f.question, f.chunk, f.rank, s.status = 'indexed' AS kept FROM fused f JOIN page_files s ON s.file = f.chunk",
+    ),
     "related_sources": Query(
         (*SEARCH, "page_files"),
         lambda p, a, f: search.related(retrieved(p, a, f)).select("question", "chunk", "rank"),
