@@ -9,6 +9,7 @@ from lodestar.constants import MIN_SIMILARITY
 from lodestar.functions import text as T
 from lodestar.functions.stemming import stemmed
 from lodestar.functions.vectors import hashed_counts, unit
+from lodestar.lineage import written
 from lodestar.operators import search
 from lodestar.plans.base import Query
 from lodestar.sources.segments import markdown_sections, paragraph_units, text_windows
@@ -84,6 +85,12 @@ def prepared(passages: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFram
     return passages.join(own, "chunk").join(titled, "chunk"), questions
 
 
+def prepared_once(passages: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same, written: for plans that use both several times."""
+    rows, questions = prepared(passages, asked)
+    return written(rows), written(questions)
+
+
 def hits(make):
     return lambda p, a: make(*prepared(p, a)).select("question", "chunk", "score", "rank")
 
@@ -185,17 +192,17 @@ QUERIES: dict[str, Query] = {
     "keyword_coverage": Query(SEARCH, hits(lambda p, q: search.keyword_hits(p, q)), "WITH " + LISTS + " SELECT question, chunk, score, rank FROM keyword"),
     "keyword_density": Query(("passages",), lambda p: search.postings(p).select("chunk", "lexeme", F.round("weight", 6).alias("weight")), f"WITH post AS (SELECT chunk, unnest({lexemes('heading')}) AS lexeme, 10 AS w FROM passages UNION ALL SELECT chunk, unnest({lexemes('text')}), 1 FROM passages) SELECT chunk, lexeme, round(sum(w) / 10.0::DOUBLE, 6) AS weight FROM post GROUP BY ALL"),
     "keyword_stemmed": Query(SEARCH, hits(lambda p, q: search.keyword_hits(p, q, lexed=stemmed))),
-    "section_match": Query(SEARCH, hits(lambda p, q: search.section_hits(p, q, DIM)), "WITH " + LISTS + " SELECT question, chunk, score, rank FROM section"),
+    "section_match": Query(SEARCH, lambda p, a: search.section_hits(*prepared_once(p, a), DIM).select("question", "chunk", "score", "rank"), "WITH " + LISTS + " SELECT question, chunk, score, rank FROM section"),
     "overview_hits": Query(
         ("passages", "asked"),
         lambda p, a: search.overview_hits(prepared(p.withColumn("heading", F.when(F.col("chunk") % 3 == 0, "2 Overview").otherwise(F.col("heading"))), a)[0], prepared(p, a)[1].withColumn("text", F.concat(F.lit("What is "), F.substring("text", 1, 20))), DIM).select("question", "chunk", "score", "rank"),
         "WITH " + counts("pv", "passages", "chunk", "text") + "," + counts("qv", "asked", "question", "text") + f""" SELECT q.id AS question, p.id AS chunk, {cosine('p.counts', 'q.counts')} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {cosine('p.counts', 'q.counts')} DESC, p.id) AS rank
         FROM pv p JOIN passages t ON t.chunk = p.id, qv q JOIN asked a ON a.question = q.id WHERE regexp_matches(CASE WHEN t.chunk % 3 = 0 THEN '2 Overview' ELSE t.heading END, '{T.OVERVIEW}') AND {DEFINITIONAL.format("concat('What is ', substring(a.text, 1, 20))")} QUALIFY rank <= 3""",
     ),
-    "rrf_fusion": Query(SEARCH, hits(lambda p, q: search.fuse(search.ranked_lists(p, q, DIM))), "WITH " + LISTS + " SELECT question, chunk, score, rank FROM fused"),
+    "rrf_fusion": Query(SEARCH, lambda p, a: search.fuse(search.ranked_lists(*prepared_once(p, a), DIM)).select("question", "chunk", "score", "rank"), "WITH " + LISTS + " SELECT question, chunk, score, rank FROM fused"),
     "relevance_gate": Query(
         SEARCH,
-        lambda p, a: (lambda x, q: search.gate(q, search.vector_hits(x, q, DIM), search.keyword_hits(x, q), THRESHOLD))(*prepared(p, a)),
+        lambda p, a: (lambda x, q: search.gate(q, search.vector_hits(x, q, DIM), search.keyword_hits(x, q), THRESHOLD))(*prepared_once(p, a)),
         "WITH " + LISTS + """, b AS (SELECT a.question, coalesce((SELECT max(score) FROM vector v WHERE v.question = a.question), 0) AS best_sim, coalesce((SELECT max(score) FROM keyword k WHERE k.question = a.question), 0) AS best_coverage FROM asked a)
         SELECT *, best_sim >= 0.45 OR (best_coverage >= 0.75 AND best_sim >= 0.45 - 0.08) AS relevant FROM b""",
     ),
@@ -206,7 +213,7 @@ QUERIES: dict[str, Query] = {
     ),
     "late_status_join": Query(
         (*SEARCH, "page_files"),
-        lambda p, a, f: search.fuse(search.ranked_lists(*prepared(p, a), DIM)).join(f.select(F.col("file").alias("chunk"), "status"), "chunk").select("question", "chunk", "rank", (F.col("status") == "indexed").alias("kept")),
+        lambda p, a, f: search.fuse(search.ranked_lists(*prepared_once(p, a), DIM)).join(f.select(F.col("file").alias("chunk"), "status"), "chunk").select("question", "chunk", "rank", (F.col("status") == "indexed").alias("kept")),
         "WITH " + LISTS + " SELECT f.question, f.chunk, f.rank, s.status = 'indexed' AS kept FROM fused f JOIN page_files s ON s.file = f.chunk",
     ),
     "related_sources": Query(
