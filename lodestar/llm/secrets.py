@@ -131,6 +131,18 @@ def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, se
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=32, minInstancesPerNode=5).fit(rows)
 
 
+_fitted: dict[str, object] = {}
+
+
+def default_forest(spark: SparkSession):
+    """The forest of the generated findings, fitted once per application: it depends on nothing else."""
+    key = spark.sparkContext.applicationId
+    if key not in _fitted:
+        _fitted.clear()
+        _fitted[key] = train_forest(labelled_findings(spark))
+    return _fitted[key]
+
+
 def as_expression(model, of: dict[str, Column]) -> Column:
     """The forest's probability of a secret, as nested conditions over the features."""
     names = list(of)
@@ -150,7 +162,7 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", keep: Sequence[str]
     """The ``keep`` columns (all by default), candidates (start, end, score, secret) and redacted, the text without its secrets."""
     made = ["candidates", "redacted"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    model = train_forest(labelled_findings(docs.sparkSession)) if model is None else model
+    model = default_forest(docs.sparkSession) if model is None else model
     text = F.col("text")
 
     def with_place(steps: Column) -> Column:
