@@ -7,6 +7,9 @@ each other under one parent are tied by smoothness edges. A maximum flow then se
 
 The classifier's weights are parameters (``Weights``), set by hand: there are no labelled pages to fit them to.
 
+Where an element stands is evidence of its words, not of the whole page: html and body are never marked as outside, nor is
+by its class, id or as a form an element that holds the page's main part (see ``lifted_marks``).
+
 Pages are independent of each other and are read whole, one at a time; a page's graph has a few edges per block.
 
 Defined results: null and empty html have empty text; repeated rows and null ids are rows like any others; markup that
@@ -36,6 +39,9 @@ BLOCK = frozenset(
 PARAGRAPH_ENDS = BLOCK - frozenset("br button label option summary".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog button fieldset label".split())
 INSIDE = frozenset("article main".split())
+#: Elements that hold the whole page and say nothing of it, and those that may be wrapped around all of it.
+WHOLE = frozenset("html body".split())
+FORMS = frozenset("form fieldset".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 INSIDE_ROLES = frozenset("main article".split())
 #: Words of class and id attributes that mark what is not the article, by their beginnings; and some that must be whole.
@@ -47,6 +53,7 @@ OUTSIDE_WORDS = re.compile(
 INSIDE_WORDS = frozenset("article content entry post story main body text prose".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*>|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
+MAIN_ROLE = re.compile(r"role\s*=\s*[\"']?main\b", re.I)
 LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -88,14 +95,19 @@ class Block:
         return " ".join("".join(self.pieces).split())
 
 
-def mark_of(name: str, attributes: str, inherited: int) -> int:
-    """Whether an element lies inside or outside the article: its class, id and role, then its name, then its parent."""
+def mark_of(name: str, attributes: str, inherited: int, lifted: bool = False) -> int:
+    """Whether an element lies inside or outside the article: its class, id and role, then its name, then its parent.
+
+    ``lifted`` leaves out what may also be said of the whole page: outside words, and being a form.
+    """
+    if name in WHOLE:
+        return inherited
     if attributes and "=" in attributes or "hidden" in attributes:
         values = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
         if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I):
             return -1
         role = values.get("role", "").lower()
-        if role in OUTSIDE_ROLES:
+        if role in OUTSIDE_ROLES and not (lifted and role == "form"):
             return -1
         if role in INSIDE_ROLES:
             return 1
@@ -103,11 +115,11 @@ def mark_of(name: str, attributes: str, inherited: int) -> int:
         if words:
             within = INSIDE_WORDS.intersection(words)
             outside = [w for w in words if OUTSIDE_WORDS.match(w)]
-            if outside and not (within and all(w in ("header", "tags", "notice", "toc") for w in outside)):
+            if not lifted and outside and not (within and all(w in ("header", "tags", "notice", "toc") for w in outside)):
                 return -1
-            if within and inherited >= 0 and name not in OUTSIDE:
+            if within and inherited >= 0 and (name not in OUTSIDE or lifted and name in FORMS):
                 return 1
-    if name in OUTSIDE:
+    if name in OUTSIDE and not (lifted and name in FORMS):
         return -1
     if name == "header":
         return inherited if inherited > 0 else -1
@@ -116,8 +128,47 @@ def mark_of(name: str, attributes: str, inherited: int) -> int:
     return inherited
 
 
+@dataclass
+class Place:
+    """What the first reading of a page notes of an element."""
+
+    parent: int
+    soft: bool  # outside only by words or as a form
+    strong: bool  # outside by itself or an ancestor, whatever its words say
+    core: int  # 3 a main element, 2 an article, 1 marked as content by its words
+    chars: int = 0  # text outside links, with all below
+
+
+def lifted_marks(places: Sequence[Place]) -> frozenset[int]:
+    """Elements whose outside mark is not believed, as the page's core or most of its text is within them.
+
+    The core is the largest main element, or else article, or else element with a content class.
+    """
+    if not any(p.soft for p in places):
+        return frozenset()
+    for p in reversed(places[1:]):
+        places[p.parent].chars += p.chars
+    cores = [k for k, p in enumerate(places) if p.core and not p.strong and p.chars]
+    if cores:
+        at = max(cores, key=lambda k: (places[k].core, places[k].chars))
+        within = set()
+        while at:
+            within.add(at)
+            at = places[at].parent
+    else:
+        within = {k for k, p in enumerate(places) if 2 * p.chars > places[0].chars}
+    return frozenset(k for k in within if places[k].soft)
+
+
 def blocks_of(html: str) -> list[Block]:
-    """The blocks of a page that have text, in page order."""
+    """The blocks of a page that have text, in page order; it is read again if marks are lifted."""
+    places = [Place(0, False, False, 0)]
+    out = _read(html, frozenset(), places)
+    lifted = lifted_marks(places)
+    return _read(html, lifted, None) if lifted else out
+
+
+def _read(html: str, lifted: frozenset[int], places: list[Place] | None) -> list[Block]:
     out: list[Block] = []
     stack = [Element("", 0, 0)]
     count = at = links = 0
@@ -138,6 +189,8 @@ def blocks_of(html: str) -> list[Block]:
         now.pieces.append(text)
         if links:
             now.link_chars += len(text.strip())
+        elif places is not None:
+            places[stack[-1].number].chars += len(text.strip())
 
     def flush() -> None:
         nonlocal now
@@ -199,7 +252,13 @@ def blocks_of(html: str) -> list[Block]:
                 if stack[k].name in ("ul", "ol", "dl", "table", "menu", "dir") or name != "tr" and stack[k].name == "tr":
                     break
         count += 1
-        stack.append(Element(name, mark_of(name, attributes, stack[-1].mark), count))
+        if places is not None:
+            above = stack[-1].number
+            own = mark_of(name, attributes, 0)
+            strong = own < 0 and mark_of(name, attributes, 0, True) < 0
+            core = 0 if own < 1 else 3 if name == "main" or MAIN_ROLE.search(attributes) else 2 if name == "article" else 1
+            places.append(Place(above, own < 0 and not strong, strong or places[above].strong, core))
+        stack.append(Element(name, mark_of(name, attributes, stack[-1].mark, count in lifted), count))
         links += name == "a"
     flush()
     return [b for b in out if b.text]
