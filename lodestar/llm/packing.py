@@ -6,7 +6,9 @@ fit; once nothing fits, replace its smallest document by the two unpacked ones t
 use that filling as often as the counts allow. A plan is a few thousand fillings at most, each with a repetition count.
 
 Documents find their place from the plan by their rank among those of the same length. Ranks are running counts over
-(length, hash bucket), so a length that a third of all documents share is still many groups.
+(length, hash bucket), so a length that a third of all documents share is still many groups; the hash takes a row's number
+in, so that one repeated row is many groups too. Which of the documents of a length goes where depends on how the table is
+divided into partitions.
 
 Defined results: null text is empty (one token, the end id); repeated rows and null ids are packed like any others;
 an empty table gives an empty result; other columns are ignored unless named in ``keep``.
@@ -165,7 +167,7 @@ def pack_documents(
     rows = docs.select(text_column(docs, text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
     schema = T.StructType([rows.schema["row"], *made])
     pieces = rows.mapInArrow(_pieces(capacity, path, pattern, end_id, with_ids), schema)
-    pieces = cut_lineage(pieces.withColumn("key", F.xxhash64("row", "piece")))
+    pieces = cut_lineage(pieces.withColumn("key", F.xxhash64("row", "piece", F.monotonically_increasing_id())))
     buckets = power_of_two(pieces.count() / ROWS_A_BUCKET, 256, 1 << 20)
     pieces = pieces.withColumn("bucket", F.pmod("key", F.lit(buckets)))
     counts = cut_lineage(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")))

@@ -17,7 +17,16 @@ from lodestar.llm.vocabulary import encode
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
+
+
+def expected_pieces(rows):
+    """(doc_id, piece, start, length, crc) of (doc_id, text) rows, by the library."""
+    out = Counter()
+    for i, t in rows:
+        ids = [*LIBRARY.encode(t or "", add_special_tokens=False).ids, 0]
+        for k, (at, n) in enumerate(packing.cut_pieces(len(ids), 2048)):
+            out[i, k, at, n, zlib.crc32(np.array(ids[at : at + n], dtype="<u4").tobytes())] += 1
+    return out
 
 
 @settings(max_examples=300, deadline=None)
@@ -26,6 +35,38 @@ def test_ids_are_the_librarys(text):
     assert encode(text, PATH, PATTERN).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+TOKEN = "<|endoftext|>"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([TOKEN, TOKEN, "<|endoftext", "|>", " ", "\n", "\u3000", "\x1c", "a", " word", "it's", "é"]), st.text(max_size=5)), max_size=12))
+def test_added_tokens_are_the_librarys(parts):
+    text = "".join(parts)
+    assert encode(text, PATH, PATTERN).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs_of_white_space_are_the_librarys():
+    for run in (" " * 12_001, "\n" * 12_000, " \n\t" * 5_000, "\u3000\x85" * 6_000):
+        for text in (run, "a" + run, run + "b", f"x{run}it's{run}1{run}", f"{TOKEN}{run}{TOKEN}{run}.", f"{run[:-1]}\x1c{run}"):
+            assert encode(text, PATH, PATTERN).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_texts(spark):
+    rows = [(1, " " * 2_000_000), (2, "\n" * 2_000_000), (3, "a" + " " * 1_500_000 + "b"), (4, "ab" * 300_000), (5, "word " * 400_000), (6, f"a {TOKEN} b")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), path=PATH, pattern=PATTERN).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == expected_pieces(rows)
+
+
+def test_one_row_many_times(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(packing, "ROWS_A_BUCKET", 10)
+    monkeypatch.setattr(packing, "make_plan", lambda counts, capacity, real=packing.make_plan: seen.update(counts) or real(counts, capacity))
+    df = spark.range(4_000).selectExpr("cast(NULL AS long) AS doc_id", "'same text' AS text")
+    packed = packing.pack_documents(df, path=PATH, pattern=PATTERN)
+    assert packed.count() == 4_000 and seen == {3: 4_000}
+    assert packed.groupBy("sequence_id", "offset").count().filter("count > 1").isEmpty()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), max_size=12))
 def test_plan_places_every_document_once(counts):
@@ -64,13 +105,7 @@ def test_documents(spark):
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, "no id", "x"), (50, None, "x"), (51, "", "x"), (7, texts[7], "clash"), (7, texts[7], "clash")]
     df = spark.createDataFrame(rows, "doc_id long, text string, piece string")
     got = packing.pack_documents(df, path=PATH, pattern=PATTERN, with_ids=True).collect()
-    expected = Counter()
-    for i, t, _ in rows:
-        ids = [*LIBRARY.encode(t or "", add_special_tokens=False).ids, 0]
-        for k, (at, n) in enumerate(packing.cut_pieces(len(ids), 2048)):
-            expected[i, k, at, n, zlib.crc32(np.array(ids[at : at + n], dtype="<u4").tobytes())] += 1
-        assert n <= 2048 and at + n == len(ids)
-    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == expected
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == expected_pieces([r[:2] for r in rows])
     bins = defaultdict(list)
     for r in got:
         assert zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32
