@@ -8,7 +8,7 @@ on labelled findings; candidates it calls secrets are findings.
 The forest is trained by Spark ML on ``TRAINING_ROWS`` labelled findings that ``labelled_findings`` generates (there
 are no labelled findings among the tables), in one partition and with a seed, so that every run has the same forest. It
 is applied as an expression over the candidates of a row, in the row: nothing is exploded, joined or shuffled, and a
-text with many candidates is only a longer row.
+text with many candidates is only a longer row: candidates are looked at in the stretches of text that the scan yields.
 
 Defined results: null text has no candidates and stays null; starts and ends count code points, ends are exclusive;
 repeated rows and null ids are rows like any others; texts are read whole; an empty table gives an empty result; input
@@ -17,7 +17,7 @@ columns named like a result are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 TRAINING_ROWS = 6_000
 TREES, DEPTH, SEED = 24, 8, 11
 MASK = "<SECRET>"
-AROUND = 40
+#: Characters before and after a candidate that count as its surroundings, and the least that a candidate has.
+AROUND, AFTER, SHORTEST = 40, 8, 8
 
 CUE = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer"
 CANDIDATE = (
@@ -86,7 +87,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, seed: int
 
     Everything is derived from SHA-512 of the row number, so the set is the same on every cluster.
     """
-    words = "array(" + ",".join(f"'{w}'" for w in DICTIONARY) + ")"
+    words = f"split('{' '.join(DICTIONARY)}', ' ')"
     word = lambda k: f"element_at({words}, 1 + cast(conv(substr(h, {k}, 6), 16, 10) AS int) % {len(DICTIONARY)})"
     n = lambda k, m: f"cast(conv(substr(h, {k}, 6), 16, 10) AS int) % {m}"
     plain = "regexp_replace(base64(unhex(h)), '[^A-Za-z0-9]', '')"
@@ -131,75 +132,104 @@ def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, se
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=32, minInstancesPerNode=5).fit(rows)
 
 
-_fitted: dict[str, object] = {}
+_fitted: dict[str, str] = {}
 
 
-def default_forest(spark: SparkSession):
-    """The forest of the generated findings, fitted once per application: it depends on nothing else."""
+def default_forest(spark: SparkSession) -> str:
+    """The forest of the generated findings as SQL, fitted once per application: it depends on nothing else."""
     key = spark.sparkContext.applicationId
     if key not in _fitted:
         _fitted.clear()
-        _fitted[key] = train_forest(labelled_findings(spark))
+        _fitted[key] = as_sql(train_forest(labelled_findings(spark)), "c.of.")
     return _fitted[key]
 
 
-def as_expression(model, of: dict[str, Column]) -> Column:
-    """The forest's probability of a secret, as nested conditions over the features."""
-    names = list(of)
+def as_sql(model, of: str = "") -> str:
+    """The forest's probability of a secret, as nested conditions over the features; ``of`` is put before their names."""
 
-    def walk(node) -> Column:
-        if node.getClass().getSimpleName() == "LeafNode":
-            stats = list(node.impurityStats().stats())
-            return F.lit(float(stats[1] / (stats[0] + stats[1])))
+    def walk(node) -> str:
+        if node.subtreeDepth() == 0:
+            harmless, secret = node.impurityStats().stats()
+            return f"{secret / (harmless + secret)!r}D"
         split = node.split()
-        return F.when(of[names[split.featureIndex()]] <= F.lit(float(split.threshold())), walk(node.leftChild())).otherwise(walk(node.rightChild()))
+        return f"IF({of}{FEATURES[split.featureIndex()]} <= {split.threshold()!r}D, {walk(node.leftChild())}, {walk(node.rightChild())})"
 
     trees = [walk(tree._java_obj.rootNode()) for tree in model.trees]
-    return sum(trees[1:], trees[0]) / len(trees)
+    return f"({' + '.join(trees)}) / {len(trees)}"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sums of an array's first 1, 2, ... elements, by runs of about the square root of its size.
+
+    An array that grows by one element a step is copied at every step; in runs that is a small power less than in one.
+    """
+
+    def run(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(part, start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["all"], F.array(s["sum"] + x)).alias("all")))["all"]
+
+    def by_runs(all_numbers: Column, size: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(all_numbers), size), lambda at: run(F.slice(all_numbers, at, size)))
+
+        def joined(parts: Column) -> Column:
+            past = F.concat(F.array(F.lit(0)), run(F.transform(parts, lambda p: F.element_at(p, -1))))
+            return F.flatten(F.zip_with(parts, F.slice(past, F.lit(1), F.size(parts)), lambda part, before: F.transform(part, lambda x: x + before)))
+
+        return let(runs, joined)
+
+    return let(numbers, lambda a: F.when(F.size(a) > 0, let(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda size: by_runs(a, size))).otherwise(a))
+
+
+def in_context(whole: Column, value: Column, ends: Column, rest: Column) -> Column:
+    """Each candidate's place, the text since the one before it (gap), and its surroundings on either side.
+
+    ``whole`` are the stretches of text that end in a candidate. A candidate has ``SHORTEST`` characters or more, so its
+    surroundings lie in the few stretches beside it: the text is not looked at again.
+    """
+    back = -(-AROUND // SHORTEST)
+
+    def around(tails: Column) -> Column:
+        def one(v: Column, i: Column) -> Column:
+            stretch, end, n = F.element_at(whole, i + 1), F.element_at(ends, i + 1), F.length(v)
+
+            def with_gap(gap: Column) -> Column:
+                earlier = [F.coalesce(F.when(i >= k, F.element_at(tails, F.greatest(i - k, F.lit(0)) + 1)), F.lit("")) for k in range(back, 0, -1)]
+                before = let(F.concat(*earlier, gap), lambda x: F.right(x, F.lit(AROUND)))
+                after = F.when(i + 1 < F.size(whole), F.left(F.element_at(whole, F.least(i + 2, F.size(whole))), F.lit(AFTER))).otherwise(F.left(rest, F.lit(AFTER)))
+                return F.struct((end - n).alias("start"), end.alias("end"), v.alias("value"), gap.alias("gap"), before.alias("before"), after.alias("after"))
+
+            return let(F.left(stretch, F.length(stretch) - n), with_gap)
+
+        return F.transform(value, one)
+
+    return let(F.transform(whole, lambda x: F.right(x, F.lit(AROUND))), around)
 
 
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", keep: Sequence[str] | None = None, model=None, threshold: float = 0.5) -> DataFrame:
     """The ``keep`` columns (all by default), candidates (start, end, score, secret) and redacted, the text without its secrets."""
     made = ["candidates", "redacted"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    model = default_forest(docs.sparkSession) if model is None else model
-    text = F.col("text")
-
-    def with_place(steps: Column) -> Column:
-        """Segments (text up to and with a candidate, the candidate) -> with their ends, by a running sum of lengths."""
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,gap:string>>").alias("done"))
-
-        def add(state: Column, s: Column) -> Column:
-            end = state["at"] + F.length(s["whole"])
-            n = F.length(s["value"])
-            gap = F.substring(s["whole"], F.lit(1), F.length(s["whole"]) - n)
-            one = F.struct((end - n).alias("start"), end.alias("end"), s["value"].alias("value"), gap.alias("gap"))
-            return F.struct(end.alias("at"), F.concat(state["done"], F.array(one)).alias("done"))
+    forest = default_forest(docs.sparkSession) if model is None else as_sql(model, "c.of.")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("whole", F.coalesce(F.regexp_extract_all("text", F.lit(SCAN), F.lit(0)), F.array().cast("array<string>")))
+    rows = rows.withColumn("value", F.when(F.size("whole") > 0, F.regexp_extract_all("text", F.lit(SCAN), F.lit(1))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("ends", running_sums(F.transform("whole", F.length)))
+    rows = rows.withColumn("rest", F.substring("text", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)) + 1, F.length("text")))
 
-        return F.aggregate(steps, start, add)["done"]
 
-    def scored(c: Column) -> Column:
+    def with_facts(c: Column) -> Column:
         of = features(c["value"], c["before"], c["after"])
-        facts = F.struct(*[of[name].alias(name) for name in FEATURES])
-        score = F.element_at(F.transform(F.array(facts), lambda f: as_expression(model, {name: f[name] for name in FEATURES})), 1)
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["gap"].alias("gap"), score.alias("score"))
-
-    def in_context(c: Column) -> Column:
-        return F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["gap"].alias("gap"),
-            F.substring(text, F.greatest(c["start"] - AROUND, F.lit(0)) + 1, F.least(c["start"], F.lit(AROUND))).alias("before"),
-            F.substring(text, c["end"] + 1, F.lit(8)).alias("after"),
-        )
+        return F.struct(*[c[name].alias(name) for name in ("start", "end", "value", "gap")], F.struct(*[of[name].alias(name) for name in FEATURES]).alias("of"))
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    whole = F.regexp_extract_all("text", F.lit(SCAN), F.lit(0))
-    rows = rows.withColumn("whole", whole)
-    value = F.when(F.size("whole") > 0, F.regexp_extract_all("text", F.lit(SCAN), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("steps", F.coalesce(F.arrays_zip("whole", value.alias("value")), F.array().cast("array<struct<whole:string,value:string>>")))
-    rows = rows.withColumn("found", F.transform(F.transform(with_place(F.col("steps")), in_context), scored))
+    rows = rows.withColumn("found", F.transform(in_context(F.col("whole"), F.col("value"), F.col("ends"), F.col("rest")), with_facts))
+    rows = rows.withColumn("found", F.expr(f"transform(found, c -> struct(c.start, c.end, c.value, c.gap, {forest} AS score))"))
     secret = lambda c: c["score"] >= threshold
     pieces = F.transform("found", lambda c: F.concat(c["gap"], F.when(secret(c), F.lit(MASK)).otherwise(c["value"])))
-    tail = F.substring(text, F.coalesce(F.element_at("found", -1)["end"], F.lit(0)) + 1, F.length(text))
-    redacted = F.when(F.exists("found", secret), F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+    redacted = F.when(F.exists("found", secret), F.concat(F.array_join(pieces, ""), F.col("rest"))).otherwise(F.col("text"))
     candidates = F.transform("found", lambda c: F.struct(c["start"].cast("long").alias("start"), c["end"].cast("long").alias("end"), c["score"].alias("score"), secret(c).alias("secret")))
     return rows.select(*[F.col("row").getField(c).alias(c) for c in kept], candidates.alias("candidates"), redacted.alias("redacted"))

@@ -40,7 +40,7 @@ from lodestar.llm.shared import cut_lineage
 SCALE = 64
 #: Vectors below this are in ordinary blocks; products of sums below EXACT are exact in doubles.
 LARGEST, EXACT = float(1 << 23), float(1 << 53)
-ROWS_A_BLOCK, LEAST_BLOCKS = 8_192, 16
+ROWS_A_BLOCK, LEAST_BLOCKS = 8_192, 8
 PIVOTS, PIVOT_NUMBERS = 1_024, 1 << 20
 QUERIES_AT_ONCE, QUERIES_A_TASK = 2_048, 65_536
 LEAF, FAN = 256, 16
