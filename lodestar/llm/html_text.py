@@ -23,6 +23,7 @@ import re
 from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cache
 from html import unescape
 
 import pyarrow as pa
@@ -30,7 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RAW = frozenset("script style template textarea title noscript iframe svg math object select canvas audio video noembed noframes xmp".split())
+#: Elements whose content is no markup (to the end of the page if they are not closed), and those that hold no text of the
+#: page (dropped up to their end tag; an unclosed one drops nothing).
+RAW = frozenset("script style textarea title xmp noembed noframes".split())
+EMBEDDED = frozenset("template noscript iframe svg object select canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -160,6 +164,16 @@ def lifted_marks(places: Sequence[Place]) -> frozenset[int]:
     return frozenset(k for k in within if places[k].soft)
 
 
+@cache
+def raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
+
+
+@cache
+def either_tag(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I)
+
+
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page that have text, in page order; it is read again if marks are lifted."""
     places = [Place(0, False, False, 0)]
@@ -198,6 +212,14 @@ def _read(html: str, lifted: frozenset[int], places: list[Place] | None) -> list
             out.append(now)
             now = None
 
+    ahead: dict[str, re.Match | None] = {}
+
+    def next_tag(name: str, after: int) -> re.Match | None:
+        """The next start or end tag of this name; what was found is kept, so that a page is searched once for each name."""
+        if name not in ahead or (known := ahead[name]) is not None and known.start() < after:
+            ahead[name] = either_tag(name).search(html, after)
+        return ahead[name]
+
     def pop(to: int) -> None:
         nonlocal links
         for e in stack[to:]:
@@ -230,9 +252,12 @@ def _read(html: str, lifted: frozenset[int], places: list[Place] | None) -> list
                     break  # the end of an inline element does not reach over a block's
             continue
         if name in RAW:
-            if not attributes.rstrip().endswith("/") or name not in ("svg", "math"):
-                end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+            end = raw_end(name).search(html, at)
+            at = end.end() if end else len(html)
+            continue
+        if name in EMBEDDED:
+            if not attributes.rstrip().endswith("/") and (end := next_tag(name, at)) is not None and end[1]:
+                at = end.end()
             continue
         if name in VOID:
             continue
