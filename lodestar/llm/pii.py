@@ -1,9 +1,11 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, digits, ``://`` and the cues that announce an
-identifier. From each anchor a local parser expands to the boundaries and validates what it has: e-mail addresses, IP
-addresses (parts up to 255), card numbers (16 to 19 digits, Luhn) and phone numbers (8 to 15 digits) are the base kinds;
-anchors also give IBANs after their cue (ISO 7064 check), social security numbers after theirs, and logins in URLs.
+One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, digits, ``://``, country codes, ends of street
+names and the cues that announce an identifier. From each anchor a local parser expands to the boundaries and validates
+what it has: e-mail addresses, IP addresses (parts up to 255), card numbers (16 to 19 digits, Luhn) and phone numbers (8 to
+15 digits) are the base kinds. Added are IBANs (by their country's length and ISO 7064 check, with or without a cue), logins
+in URLs, and after a cue (and such words as "number is") social security, account and passport numbers; and streets with a
+house number.
 
 Spans of a kind are leftmost and do not overlap; a span that fails its check is dropped together with the text it
 covered, as when a regular expression's matches are filtered. Starts and ends count code points, ends are exclusive.
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from lodestar.llm.shared import text_column
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "login", "ssn")
+ADDED_KINDS = ("iban", "login", "ssn", "account", "passport", "street")
 KINDS = BASE_KINDS + ADDED_KINDS
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,8 +38,36 @@ DIGITS = re.compile(r"[0-9]+")
 IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"[\x20:=#]{0,3}([A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]{1,4}){3,8})(?![A-Za-z0-9])")
-SSN = re.compile(r"[\x20:=#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+#: What may stand between a cue and its number.
+FILLER = r"s?(?:[\x20:=#().,-]|\b(?:numbers?|no|nr|num|code|card|account|is|was|are|of|the|my|your|his|her|ist|lautet|est)\b){0,24}?"
+#: Cue (in small letters; its other usual spellings follow) -> kind.
+CUES = {
+    "iban": "iban",
+    "ssn": "ssn", "social security": "ssn", "soc. sec": "ssn", "social insurance": "ssn",
+    "account number": "account", "account no": "account", "account #": "account", "account:": "account", "acct": "account", "a/c": "account", "bank account": "account",
+    "kontonummer": "account", "numéro de compte": "account", "número de cuenta": "account", "routing number": "account",
+    "passport": "passport", "reisepass": "passport", "passeport": "passport", "pasaporte": "passport",
+}
+AFTER_CUE = {
+    "ssn": re.compile(FILLER + r"(?<![0-9-])([0-9]{3}([\x20-]?)[0-9]{2}\2[0-9]{4})(?![0-9-])", re.I),
+    "account": re.compile(FILLER + r"(?<![0-9A-Za-z-])([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9A-Za-z-])", re.I),
+    "passport": re.compile(FILLER + r"(?<![0-9A-Za-z])([A-Z]{0,2}[0-9]{6,9}|[CFGHJKLMNPRTVWXYZ0-9]{9}(?<=[0-9]))(?![0-9A-Za-z])", re.I),
+}
+IBAN_CUE = re.compile(FILLER + r"(?=[A-Za-z]{2}[0-9]{2})", re.I)
+#: Lengths of IBANs by country (fixed values).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: Ends of street names: the house number stands before the name, or after it.
+NUMBER_FIRST = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive", "Court", "Square", "Terrace", "Crescent", "St.", "Ave", "Rd.", "Blvd")
+NUMBER_LAST = ("straße", "strasse", "Straße", "Strasse", "gasse", "allee", "platz")
+STREET_BEFORE = re.compile(r"(?<![\w.,-])[0-9]{1,5}[A-Za-z]?\x20(?:[A-Z0-9][\w.'’-]*\x20){1,4}\Z")
+STREET_AFTER = re.compile(r"\x20[0-9]{1,4}\x20?[a-z]?\b")
+STREET_NAME = re.compile(r"(?<!\w)[A-ZÄÖÜ][\w-]*(?:\x20[A-ZÄÖÜ]?[\w-]+)?\Z")
+LOOK_BACK = 80
 LOGIN = re.compile(r"[A-Za-z0-9._~%-]+:[^\s/@]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 
@@ -52,16 +82,42 @@ def iban_holds(text: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+@cache
+def iban_shape(length: int) -> re.Pattern:
+    return re.compile(rf"[A-Za-z]{{2}}[0-9]{{2}}(?:[\x20-]?[A-Za-z0-9]){{{length - 4}}}(?![A-Za-z0-9])")
+
+
+def iban_at(text: str, start: int) -> int | None:
+    """The end of the IBAN that begins here."""
+    length = IBAN_LENGTHS.get(text[start : start + 2].upper())
+    m = iban_shape(length).match(text, start) if length else None
+    return m.end() if m and iban_holds(m[0].replace("-", "")) else None
+
+
+def street_at(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The street and house number around the end of a street's name at start..end."""
+    if text[start:end] in NUMBER_LAST:
+        name = STREET_NAME.search(text[max(0, start - LOOK_BACK) : end])
+        number = STREET_AFTER.match(text, end)
+        return (end - len(name[0]), number.end()) if name and number else None
+    before = STREET_BEFORE.search(text[max(0, start - LOOK_BACK) : start])
+    return (start - len(before[0]), end) if before and not text[end : end + 1].isalnum() else None
+
+
 def ssn_holds(text: str) -> bool:
-    area, group, serial = text.split("-")
-    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+    digits = re.sub("[^0-9]", "", text)
+    return digits[:3] not in ("000", "666") and digits[:3] < "900" and digits[3:5] != "00" and digits[5:] != "0000"
 
 
 @cache
 def anchors() -> ahocorasick.Automaton:
+    """An anchor's value is (what it announces, how long it is)."""
     found = ahocorasick.Automaton()
-    for cue, kind in [("@", "at"), ("+", "plus"), ("://", "scheme"), *((d, "digit") for d in "0123456789"), *((c, "iban") for c in ("IBAN", "iban", "Iban")), *((c, "ssn") for c in ("SSN", "ssn"))]:
-        found.add_word(cue, kind)
+    words = {"@": "at", "+": "plus", "://": "scheme"} | dict.fromkeys("0123456789", "digit") | dict.fromkeys(IBAN_LENGTHS, "country") | dict.fromkeys((*NUMBER_FIRST, *NUMBER_LAST), "street")
+    for cue, kind in CUES.items():
+        words |= dict.fromkeys((cue, cue.upper(), cue.capitalize(), cue.title()), f"after {kind}")
+    for word, kind in words.items():
+        found.add_word(word, (kind, len(word)))
     found.make_automaton()
     return found
 
@@ -72,7 +128,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         return []
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     free = dict.fromkeys(KINDS, 0)  # where the next span of a kind may begin
-    for end, anchor in anchors().iter(text):
+    for end, (anchor, size) in anchors().iter(text):
         if anchor == "digit":
             if end >= free["card"]:
                 m = CARD.match(text, end)
@@ -105,11 +161,26 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             if start < end - 2 and (m := LOGIN.match(text, end + 1)):
                 spans["login"].append((start, m.end()))
                 free["login"] = m.end()
-        else:
-            expression, holds = (IBAN, iban_holds) if anchor == "iban" else (SSN, ssn_holds)
-            if end + 1 >= free[anchor] and (m := expression.match(text, end + 1)) and holds(m[1]):
-                spans[anchor].append(m.span(1))
-                free[anchor] = m.end()
+        elif anchor == "country":
+            start = end - 1
+            if start >= free["iban"] and not (start and text[start - 1].isalnum()) and (stop := iban_at(text, start)):
+                spans["iban"].append((start, stop))
+                free["iban"] = stop
+        elif anchor == "street":
+            found = street_at(text, end + 1 - size, end + 1)
+            if found and found[0] >= free["street"]:
+                spans["street"].append(found)
+                free["street"] = found[1]
+        elif end + 1 >= free[kind := anchor.removeprefix("after ")] and not text[end + 1 - size - 1 : end + 1 - size].isalnum():
+            if kind == "iban":
+                m = IBAN_CUE.match(text, end + 1)
+                start, stop = (m.end(), iban_at(text, m.end())) if m else (0, None)
+            else:
+                m = AFTER_CUE[kind].match(text, end + 1)
+                start, stop = m.span(1) if m and (kind != "ssn" or ssn_holds(m[1])) else (0, None)
+            if stop:
+                spans[kind].append((start, stop))
+                free[kind] = stop
     return [(k, a, b) for k in KINDS for a, b in spans[k]]
 
 
