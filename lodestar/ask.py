@@ -8,18 +8,19 @@ streams chat completions.
 from __future__ import annotations
 
 import json
+import re
 import urllib.request
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.constants import NOT_FOUND, RELATED_SIMILARITY
-from lodestar.functions.answer_checks import check_answer, prose_sentences, stems
-from lodestar.functions.code_samples import guard_code
+from lodestar.constants import NOT_FOUND, RELATED_SIMILARITY, STOP_WORDS
 from lodestar.functions.text import estimated_tokens, location_label, snippet, source_header
+from lodestar.lineage import written
 from lodestar.operators import search
+from lodestar.operators.answers import checked
 
 SYSTEM_PROMPT = (
     "Answer questions about our projects from the numbered sources of the user's message only. State nothing that they do not say. "
@@ -33,16 +34,20 @@ class Provider(Protocol):
     def stream(self, messages: list[dict[str, str]]) -> Iterable[str]: ...
 
 
+def content_words(text: str) -> set[str]:
+    return {w for w in re.findall("[a-z0-9]{3,}", text.lower()) if w not in STOP_WORDS}
+
+
 class Extractive:
     """Quotes, of every source, the sentence that shares most words with the question."""
 
     def stream(self, messages: list[dict[str, str]]) -> Iterator[str]:
         sources, _, question = messages[-1]["content"].rpartition("\n\nQuestion: ")
-        wanted = stems(question)
+        wanted = content_words(question)
         for n, block in enumerate(sources.removeprefix("Sources:\n\n").split("\n\n["), 1):
             body = block.split("\n", 1)[-1]
-            best = max(prose_sentences(body), key=lambda s: len(stems(s) & wanted), default="")
-            if best and stems(best) & wanted:
+            best = max(re.split(r"(?<=[.!?])\s+|\n+", body), key=lambda s: len(content_words(s) & wanted), default="")
+            if content_words(best) & wanted:
                 yield f"{best.rstrip('.!?')} [{n}]. "
 
 
@@ -100,18 +105,27 @@ def messages_for(question: str, blocks: list[tuple[str, str]]) -> list[dict[str,
     return [{"role": "system", "content": SYSTEM_PROMPT}, {"role": "user", "content": f"Sources:\n\n{sources}\n\nQuestion: {question}"}]
 
 
-def ask(passages: DataFrame, question: DataFrame, files: DataFrame, dim: int, threshold: float, provider: Provider, context_length: int = 4_096) -> Iterator[tuple[str, dict]]:
-    """Events of one answer. ``passages`` are those of the projects that the user may see; ``question`` is one row."""
+def ask(
+    passages: DataFrame, question: DataFrame, files: DataFrame, dim: int, threshold: float, provider: Provider, context_length: int = 4_096, projects: Sequence[int] | None = None
+) -> Iterator[tuple[str, dict]]:
+    """Events of one answer to ``question``, which is one row, from the passages of the projects that the user may see.
+
+    Passages may have file, file_name and page: then headers say so, and a sample goes on over the pages of its section.
+    """
     asked = question.first()
     yield "meta", {"question": asked["text"]}
+    passages = search.of_projects(passages, projects)
     if passages.isEmpty():
         yield "final", {"status": "no_projects", "text": NO_PROJECTS, "cited": []}
         return
-    label = location_label(F.lit("page"), page=F.col("chunk"))
-    hits = search.retrieve(passages, question, files, dim).join(passages.select("chunk", "heading", "text"), "chunk")
-    hits = hits.withColumn("header", source_header(F.lit("page.pdf"), label, F.col("heading"))).withColumn("snippet", snippet(F.col("text")))
-    vector, keyword = search.vector_hits(passages, question, dim), search.keyword_hits(passages, question)
+    found = search.ranked_lists(passages, question, dim)[:2]
+    (vector, _), (keyword, _) = [(written(hits.select("question", "chunk", "score", "rank")), weight) for hits, weight in found]
     relevant = search.gate(question, vector, keyword, threshold).first()["relevant"]
+    optional = {"file": F.col("chunk"), "file_name": F.lit("page.pdf"), "page": F.col("chunk")}
+    about = passages.select("chunk", "heading", "text", *[(F.col(n) if n in passages.columns else other).alias(n) for n, other in optional.items()])
+    hits = search.retrieve(passages, question, files, dim, lists=(vector, keyword)).join(about, "chunk")
+    label = location_label(F.lit("page"), page=F.col("page"))
+    hits = hits.withColumn("header", source_header(F.col("file_name"), label, F.col("heading"))).withColumn("snippet", snippet(F.col("text")))
     if not relevant:
         near = [r for r in hits.orderBy("rank").limit(3).collect() if (r["similarity"] or 0.0) >= RELATED_SIMILARITY]
         yield "sources", {"sources": [{"n": i, "chunk": r["chunk"], "snippet": r["snippet"], "cited": False} for i, r in enumerate(near, 1)]}
@@ -128,9 +142,11 @@ def ask(passages: DataFrame, question: DataFrame, files: DataFrame, dim: int, th
     except OSError as e:
         yield "error", {"message": f"The model does not respond: {e}"}
         return
-    texts = [r["text"] for r in kept]
-    answer, changes = guard_code("".join(pieces), texts, asked["text"])
-    checked = check_answer(answer, texts, asked["text"])
-    cards = [{"n": i, "chunk": r["chunk"], "snippet": r["snippet"], "cited": i in checked.cited} for i, r in enumerate(kept, 1)]
-    status = "not_found" if checked.not_found else "ok"
-    yield "final", {"status": status, "text": checked.text, "cited": checked.cited, "uncited": status == "ok" and not checked.cited, "code_changes": changes, "sources": cards[:3] if checked.not_found else cards}
+    spark = passages.sparkSession
+    places = spark.createDataFrame([(i, r["file"], r["heading"], r["page"]) for i, r in enumerate(kept, 1)], "place int, file string, section string, page long")
+    after = {r["place"]: r["next_place"] for r in search.next_pages(places).collect()}
+    row = spark.createDataFrame([("".join(pieces), asked["text"], [r["text"] for r in kept], after)], "answer string, question string, sources array<string>, after map<int,int>")
+    answer = checked(row, ["question"]).first()
+    cards = [{"n": i, "chunk": r["chunk"], "snippet": r["snippet"], "cited": i in answer["cited"]} for i, r in enumerate(kept, 1)]
+    status = "not_found" if answer["not_found"] else "ok"
+    yield "final", {"status": status, "text": answer["text"], "cited": answer["cited"], "uncited": status == "ok" and not answer["cited"], "code_changes": answer["code_changes"], "sources": cards[:3] if answer["not_found"] else cards}

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 WORD = re.compile("[a-z0-9]{3,}")
 MOST_REMEMBERED = 500_000
 DIGITS = 9
+MATRIX_BYTES, ROWS_A_TASK = 32 << 20, 1_000_000
 
 #: Longer expressions are neither compiled nor planned well.
 FLAT_DIM = 128
@@ -31,64 +32,119 @@ def hashed_counts(rows: DataFrame, id_col: str, text_col: str, dim: int) -> Data
     return slim.mapInArrow(_count(dim), T.StructType([slim.schema["id"], T.StructField("counts", T.ArrayType(T.DoubleType()))]))
 
 
-def _count(dim: int):
+def with_counts(rows: DataFrame, dim: int, **texts: str) -> DataFrame:
+    """The rows with a column of counts for each text column that is named (counts="text"), without a join."""
+    slim = rows.select(*[F.col(c).cast("string").alias(f"text{i}") for i, c in enumerate(texts.values())], F.struct(*rows.columns).alias("row"))
+    schema = T.StructType([slim.schema["row"], *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in texts]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        count = _counter(dim)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(len(texts)), *[count(batch.column(i)) for i in range(len(texts))]], names=["row", *texts])
+
+    return slim.mapInArrow(run, schema).select("row.*", *texts)
+
+
+def _counter(dim: int):
+    """From a column of texts to its counts; words are remembered from one batch to the next."""
+    known: dict[str, int] = {}
+
+    def bucket(word: str) -> int:
+        if len(known) > MOST_REMEMBERED:
+            known.clear()
+        found = known[word] = int(hashlib.md5(word.encode()).hexdigest(), 16) % dim
+        return found
+
+    def count(texts: pa.Array) -> pa.Array:
+        counts = np.zeros((len(texts), dim))
+        for i, text in enumerate(texts):
+            at = [known[w] if w in known else bucket(w) for w in WORD.findall((text.as_py() or "").lower())]
+            counts[i] = np.bincount(at, minlength=dim) if at else 0
+            counts[i, 0] += not at
+        return pa.FixedSizeListArray.from_arrays(pa.array(counts.ravel()), dim).cast(pa.list_(pa.float64()))
+
+    return count
 
-        def bucket(word: str) -> int:
-            if len(known) > MOST_REMEMBERED:
-                known.clear()
-            found = known[word] = int(hashlib.md5(word.encode()).hexdigest(), 16) % dim
-            return found
 
+def _count(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _counter(dim)
         for batch in batches:
-            counts = np.zeros((batch.num_rows, dim))
-            for i, text in enumerate(batch.column(1)):
-                at = [known[w] if w in known else bucket(w) for w in WORD.findall((text.as_py() or "").lower())]
-                counts[i] = np.bincount(at, minlength=dim) if at else 0
-                counts[i, 0] += not at
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(counts.ravel()), dim).cast(pa.list_(pa.float64()))], names=["id", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), count(batch.column(1))], names=["id", "counts"])
 
     return run
 
 
-def nearest(rows: DataFrame, key: str, questions: DataFrame, k: int) -> DataFrame:
+def nearest(rows: DataFrame, key: str, questions: DataFrame, dim: int, k: int) -> DataFrame:
     """(question, key, sim): candidates for each question's k rows of largest cosine similarity, ties to the smaller key.
 
-    ``rows`` has key and counts, ``questions`` question and counts; these are in memory, so their number is the caller's
-    to bound. A batch is one matrix product and hands on its k best for each question; similarities have nine digits,
-    so that equal ones tie, and are null where a vector has no length.
+    ``rows`` has key and counts, ``questions`` question and counts. A batch of rows is one matrix product with questions that
+    are in memory, and hands on its k best for each of them: no more than that leaves a task. Questions of ``MATRIX_BYTES``
+    go along with the task; more are dealt into blocks of that size, which meet all rows block by block. Similarities have
+    nine digits, so that equal ones tie, and are null where a vector has no length.
     """
-    held = questions.select("question", "counts").toArrow()
+    size = questions.count() * dim * 8
     slim = rows.select(F.col(key).alias("key"), "counts")
     schema = T.StructType([questions.schema["question"], T.StructField(key, slim.schema["key"].dataType), T.StructField("sim", T.DoubleType())])
-    return slim.mapInArrow(_nearest(held, key, k), schema)
+    if size <= MATRIX_BYTES:
+        held = questions.select("question", "counts").toArrow()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if len(held):
+                best = _best(held["question"].combine_chunks(), held["counts"], key, k)
+                yield from (best(batch.column(0), batch.column(1)) for batch in batches if batch.num_rows)
+
+        return slim.mapInArrow(run, schema)
+    blocks, parts = -(-size // MATRIX_BYTES), max(1, rows.count() // ROWS_A_TASK)
+    none = lambda of, name: F.lit(None).cast(of.schema[name].dataType).alias(name)
+    asked = questions.select(F.pmod(F.xxhash64("question"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(False).alias("is_row"), "question", none(slim, "key"), F.col("counts").cast("array<double>").alias("counts"))
+    data = slim.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("is_row"), none(questions, "question"), "key", F.col("counts").cast("array<double>").alias("counts"))
+    dealt = asked.unionByName(data).repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", "is_row")
+    return dealt.mapInArrow(_nearest_blocks(key, k), schema)
 
 
 def _matrix(column) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
 
 
-def _nearest(held: pa.Table, key: str, k: int):
+def _best(ids: pa.Array, counts, key: str, k: int):
+    """From a batch's keys and vectors to its k best for each of the questions."""
+    q = _matrix(counts)
+    q_length = np.sqrt((q**2).sum(axis=1))
+
+    def best(keys: pa.Array, vectors: pa.Array) -> pa.RecordBatch:
+        x = _matrix(vectors)
+        lengths = np.sqrt((x**2).sum(axis=1))[:, None] * q_length
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sim = np.where(lengths > 0, np.round(x @ q.T / lengths, DIGITS), np.nan)
+        order = np.empty(len(keys), dtype=np.int64)
+        order[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+        top = np.lexsort((np.broadcast_to(order[:, None], sim.shape), np.where(np.isnan(sim), np.inf, -sim)), axis=0)[:k]
+        at, asked = top.T.ravel(), np.repeat(np.arange(len(ids)), len(top))
+        value = sim[at, asked]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(asked)), keys.take(pa.array(at)), pa.array(value, mask=np.isnan(value))], names=["question", key, "sim"])
+
+    return best
+
+
+def _nearest_blocks(key: str, k: int):
+    """Rows sorted by (block, part, is_row): a block's questions, then the rows that meet them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = held["question"].combine_chunks()
-        if not len(ids):
-            return
-        q = _matrix(held["counts"])
-        q_length = np.sqrt((q**2).sum(axis=1))
+        now, questions, best = None, [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1))
-            lengths = np.sqrt((x**2).sum(axis=1))[:, None] * q_length
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sim = np.where(lengths > 0, np.round(x @ q.T / lengths, DIGITS), np.nan)
-            order = np.empty(batch.num_rows, dtype=np.int64)
-            order[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
-            best = np.lexsort((np.broadcast_to(order[:, None], sim.shape), np.where(np.isnan(sim), np.inf, -sim)), axis=0)[:k]
-            at, asked = best.T.ravel(), np.repeat(np.arange(len(ids)), len(best))
-            value = sim[at, asked]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(asked)), batch.column(0).take(pa.array(at)), pa.array(value, mask=np.isnan(value))], names=["question", key, "sim"])
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cuts = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in keys], axis=0)]).tolist() if batch.num_rows else []
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                if (here := (keys[0][a], keys[1][a])) != now:
+                    now, questions, best = here, [], None
+                if not keys[2][a]:
+                    questions.append(part)
+                elif questions:
+                    table = pa.Table.from_batches(questions)
+                    best = best or _best(table["question"].combine_chunks(), table["counts"], key, k)
+                    yield best(part.column(4), part.column(5))
 
     return run
 

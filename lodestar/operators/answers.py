@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from lodestar.constants import MIN_BEST, MIN_WORDS
-from lodestar.functions.answer_checks import BULLET, HEDGE, MARKER, OWN_LINE, SENTENCE_BREAK, check_answer
-from lodestar.functions.chunking import chunks_of, document_sections
-from lodestar.functions.code_samples import guard_code
-from lodestar.functions.text import normal_code, terms, topic_terms
-
-NUMBER = r"\[([0-9]+)\]"
-
-
-def let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
 
+from lodestar.constants import MIN_BEST, MIN_SUPPORTED, MIN_WORDS, NOT_FOUND
+from lodestar.functions.answer_text import cited, grounded, is_hedged, markers, sentences, tidied, unmarked
+from lodestar.functions.arrays import let
+from lodestar.functions.code_blocks import guarded, verbatim
+from lodestar.functions.text import is_not_found, terms, topic_terms
 
-def markers(answer: Column) -> Column:
-    """All numbers of all markers, in order."""
-    lists = F.regexp_extract_all(answer, F.lit("(?i)" + MARKER), F.lit(1))
-    return F.flatten(F.transform(lists, lambda x: F.transform(F.split(x, r"\s*,\s*"), lambda n: n.cast("int"))))
-
-
-def sentences(answer: Column) -> Column:
-    """Prose sentences: no code, no lines of the library's own, no list marks."""
-    lines = F.filter(F.split(F.regexp_replace(answer, r"(?s)```.*?(?:```|$)", "\n"), "\n"), lambda x: ~F.regexp_like(x, F.lit("(?i)" + OWN_LINE)))
-    parts = F.flatten(F.transform(lines, lambda x: F.split(F.regexp_replace(x, BULLET, ""), SENTENCE_BREAK)))
-    return F.filter(parts, lambda s: F.regexp_like(s, F.lit(r"\S")))
+__all__ = ["best_source", "checked", "graded", "markers", "off_topic", "support", "verbatim"]
 
 
 def best_source(words: Column, source_terms: Column) -> Column:
@@ -45,7 +24,7 @@ def graded(answer: Column, sources: Column) -> Column:
     """Each prose sentence of three content words or more: (sentence, words, best)."""
 
     def over(known: Column) -> Column:
-        rows = F.transform(sentences(answer), lambda s: F.struct(s.alias("sentence"), terms(F.regexp_replace(s, NUMBER, "")).alias("words")))
+        rows = F.transform(sentences(answer), lambda s: F.struct(s.alias("sentence"), terms(unmarked(s)).alias("words")))
         rows = F.filter(rows, lambda r: F.size(r["words"]) >= MIN_WORDS)
         return F.transform(rows, lambda r: F.struct(r["sentence"].alias("sentence"), F.size(r["words"]).alias("n_words"), best_source(r["words"], known).alias("best")))
 
@@ -57,8 +36,7 @@ def support(answers: DataFrame) -> DataFrame:
     rows = answers.withColumn("graded", graded(F.col("answer"), F.col("sources")))
     total = F.aggregate("graded", F.lit(0), lambda s, g: s + g["n_words"])
     backed = F.aggregate("graded", F.lit(0), lambda s, g: s + F.when(F.coalesce(g["best"]["score"], F.lit(0.0)) >= MIN_BEST, g["n_words"]).otherwise(0))
-    hedged = F.exists(sentences(F.col("answer")), lambda s: F.regexp_like(s, F.lit("(?i)" + HEDGE)))
-    return rows.withColumn("supported", F.when(total > 0, backed / total).otherwise(1.0)).withColumn("hedged", hedged).drop("graded")
+    return rows.withColumn("supported", F.when(total > 0, backed / total).otherwise(1.0)).withColumn("hedged", is_hedged(F.col("answer"))).drop("graded")
 
 
 def off_topic(question: Column, answer: Column, sources: Column) -> Column:
@@ -67,64 +45,30 @@ def off_topic(question: Column, answer: Column, sources: Column) -> Column:
     return F.array_sort(F.array_intersect(F.array_except(topic_terms(question), known), terms(F.array_join(sentences(answer), " "))))
 
 
-def verbatim(block: Column, sources: Column) -> Column:
-    """Whether every line of a block is in the sources word for word."""
-    return let(normal_code(F.array_join(sources, "\n")), lambda whole: F.forall(F.transform(F.split(block, "\n"), normal_code), lambda line: (line == "") | F.contains(whole, line)))
-
-
 def checked(answers: DataFrame, keep: list[str]) -> DataFrame:
-    """Every answer guarded against invented code, then checked and grounded."""
-    schema = T.StructType([*answers.select(*keep).schema, *T.StructType.fromDDL("text string, cited array<int>, invalid array<int>, not_found boolean, regrounded int, supported double, code_changes int")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for r in rows:
-                sources = [s or "" for s in r["sources"] or []]
-                text, changes = guard_code(r["answer"] or "", sources, r["question"] or "")
-                c = check_answer(text, sources, r["question"])
-                out.append({**{k: r[k] for k in keep}, "text": c.text, "cited": c.cited, "invalid": c.invalid, "not_found": c.not_found, "regrounded": c.regrounded, "supported": c.supported, "code_changes": changes})
-            yield pa.RecordBatch.from_pylist(out, schema=arrow_schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow_schema = to_arrow_schema(schema)
-    wanted = [*dict.fromkeys([*keep, "answer", "question", "sources"])]
-    return answers.select(*wanted).mapInArrow(run, schema)
-
-
-def chunks(segments: DataFrame, keep: list[str], text_col: str = "segment") -> DataFrame:
-    """(keep, piece, text, tokens): the chunks of every segment; a chunk never crosses one."""
-    schema = T.StructType([*segments.select(*keep).schema, *T.StructType.fromDDL("piece int, text string, tokens int")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, piece, text, tokens = [], [], [], []
-            for i, value in enumerate(batch.column(len(keep))):
-                for k, (t, n) in enumerate(chunks_of(value.as_py() or "")):
-                    at.append(i)
-                    piece.append(k)
-                    text.append(t)
-                    tokens.append(n)
-            took = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(took) for k in range(len(keep))], pa.array(piece, pa.int32()), pa.array(text, pa.string()), pa.array(tokens, pa.int32())], names=schema.names)
-
-    return segments.select(*keep, F.col(text_col).alias("segment_text")).mapInArrow(run, schema)
-
-
-def sections(documents: DataFrame) -> DataFrame:
-    """(id, pages: array of (page, text), outline: array of (page, level, title)) -> (id, place, page, section, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                outline: dict[int, list[tuple[int, str]]] = {}
-                for o in r["outline"] or []:
-                    outline.setdefault(o["page"], []).append((o["level"], o["title"]))
-                pages = sorted((p["page"], p["text"] or "") for p in r["pages"] or [])
-                out += [{"id": r["id"], "place": k, "page": p, "section": s, "text": t} for k, (p, s, t) in enumerate(document_sections(pages, outline))]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", pa.int64()), ("place", pa.int32()), ("page", pa.int32()), ("section", pa.string()), ("text", pa.string())]))
-
-    return documents.select(F.col("id").cast("long").alias("id"), "pages", "outline").mapInArrow(run, "id long, place int, page int, section string, text string")
+    """Every answer guarded against invented code, its markers tidied, and then replaced or grounded.
+
+    Replaced by the not-found sentence is what hedges, leaves the question's topic or is less than half supported. Sources
+    are the texts in rank order; a column ``after`` (map of places, from 1) says which source goes on with which.
+    Null texts are empty. Without sources an answer stays as it is, but for its markers.
+    """
+    sources = F.transform(F.coalesce("sources", F.array().cast("array<string>")), lambda s: F.coalesce(s, F.lit("")))
+    after = F.col("after") if "after" in answers.columns else F.lit(None)
+    rows = answers.select(F.struct(*keep).alias("row"), F.coalesce("answer", F.lit("")).alias("given"), F.coalesce("question", F.lit("")).alias("question"), sources.alias("sources"), after.cast("map<int,int>").alias("after"))
+    rows = rows.withColumn("guarded", guarded(F.col("given"), F.col("sources"), F.col("question"), F.col("after")))
+    rows = rows.withColumn("raw", F.col("guarded.text")).withColumn("n", F.size("sources")).withColumn("answer", tidied(F.col("raw"), F.col("n")))
+    rows = support(rows.withColumn("bare", (F.col("n") == 0) | is_not_found(F.col("answer"))))
+    strays = (F.col("question") != "") & (F.size(off_topic(F.col("question"), F.col("answer"), F.col("sources"))) > 0)
+    rows = rows.withColumn("replaced", ~F.col("bare") & (F.col("hedged") | (F.col("supported") < MIN_SUPPORTED) | strays))
+    own = let(F.transform("sources", terms), lambda known: grounded(F.col("answer"), known))
+    rows = rows.withColumn("final", F.when(~F.col("bare") & ~F.col("replaced"), own).otherwise(F.struct(F.when(F.col("replaced"), NOT_FOUND).otherwise(F.col("answer")).alias("text"), F.lit(0).alias("changes"))))
+    return rows.select(
+        *[F.col("row").getField(c).alias(c) for c in keep],
+        F.col("final.text").alias("text"),
+        cited(F.col("final.text")).alias("cited"),
+        F.filter(markers(F.col("raw")), lambda x: ~x.between(1, F.col("n"))).alias("invalid"),
+        (F.col("replaced") | is_not_found(F.col("answer"))).alias("not_found"),
+        F.col("final.changes").alias("regrounded"),
+        F.when(F.col("bare"), 1.0).otherwise(F.col("supported")).alias("supported"),
+        F.col("guarded.changes").alias("code_changes"),
+    )

@@ -2,12 +2,15 @@
 
 Questions have (question, text, counts), passages (chunk, project, heading, text, counts, heading_counts); counts are
 vectors. Every list is (question, chunk, score, rank). Ranking works on ids and vectors alone, texts are joined after the
-cut. The questions' vectors are one matrix in memory while they are few (``MATRIX_BYTES``), and every batch of passages is
-one matrix product; beyond that both sides are dealt into blocks and joined on the block.
+cut. The questions' vectors are matrices in memory (see ``vectors.nearest``), and every batch of passages is one product.
+
+Passages are restricted to projects below every list (``of_projects``): what a user may not see is neither ranked nor
+counted. An empty list of projects has no passages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,20 +39,13 @@ from lodestar.functions.text import estimated_tokens, is_definitional, is_overvi
 from lodestar.functions.vectors import dot, nearest, norm
 from lodestar.lineage import written
 
-BROADCAST_QUESTIONS = 10_000
-QUESTIONS_A_BLOCK = 4_096
-MATRIX_BYTES = 32 << 20
+BROADCAST_TERMS = 200_000
 DIGITS = 9
 
 
-def pairs(passages: DataFrame, questions: DataFrame) -> DataFrame:
-    """Every passage with every question, the questions in memory: whole while few, else by blocks."""
-    n = questions.count()
-    if n <= BROADCAST_QUESTIONS:
-        return passages.crossJoin(F.broadcast(questions))
-    blocks = -(-n // QUESTIONS_A_BLOCK)
-    dealt = questions.withColumn("block", F.pmod(F.xxhash64("question"), F.lit(blocks)).cast("int"))
-    return passages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block").drop("block")
+def of_projects(passages: DataFrame, projects: Sequence[int] | None) -> DataFrame:
+    """The passages of these projects; of all for None, and none at all for an empty list."""
+    return passages if projects is None else passages.where(F.col("project").isin(*projects) if projects else F.lit(False))
 
 
 def ranked(scored: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -58,45 +54,39 @@ def ranked(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
 
-def similar(passages: DataFrame, questions: DataFrame, dim: int) -> DataFrame:
-    """Every passage (…, counts) with every question (question, counts) and their cosine similarity, sim.
-
-    To nine digits, so that equal ones tie; null if either has no length. Lengths are taken once for each row.
-    """
-    rows = passages.withColumn("length", norm(F.col("counts")))
-    asked = questions.select("question", F.col("counts").alias("q"), norm(F.col("counts")).alias("q_length"))
-    lengths = F.col("length") * F.col("q_length")
-    sim = F.round(F.when(lengths > 0, dot(F.col("counts"), F.col("q"), dim) / lengths), DIGITS)
-    return pairs(rows, asked).withColumn("sim", sim).drop("counts", "q", "length", "q_length")
-
-
-def best_of(rows: DataFrame, key: str, questions: DataFrame, dim: int, k: int) -> DataFrame:
-    """(question, key, sim) that contain each question's k most similar rows: by batches, or by blocks of questions."""
-    if questions.count() * dim * 8 <= MATRIX_BYTES:
-        return nearest(rows, key, questions, k)
-    return similar(rows, questions, dim).select("question", key, "sim")
-
-
 def vector_hits(passages: DataFrame, questions: DataFrame, dim: int, k: int = CANDIDATES, within: Column | None = None) -> DataFrame:
     slim = (passages if within is None else passages.where(within)).select("chunk", "counts")
-    scored = best_of(slim, "chunk", questions, dim, k).select("question", "chunk", F.col("sim").alias("score"))
+    scored = nearest(slim, "chunk", questions, dim, k).select("question", "chunk", F.col("sim").alias("score"))
     return ranked(scored, k, F.col("score").desc_nulls_last())
 
 
+def places(passages: DataFrame, lexed=lexemes) -> DataFrame:
+    """(chunk, lexeme, w): every place of a lexeme, a heading's weighs 10 and a text's 1."""
+    both = F.concat(F.transform(lexed(F.coalesce("heading", F.lit(""))), lambda w: F.struct(w.alias("lexeme"), F.lit(10).alias("w"))), F.transform(lexed(F.coalesce("text", F.lit(""))), lambda w: F.struct(w.alias("lexeme"), F.lit(1).alias("w"))))
+    return passages.select("chunk", F.explode(both).alias("p")).select("chunk", "p.lexeme", "p.w")
+
+
 def postings(passages: DataFrame, lexed=lexemes) -> DataFrame:
-    """(chunk, lexeme, weight): a lexeme's summed weight in a passage: 1 in its heading, 0.1 in its text, per place."""
-    places = F.concat(F.transform(lexed(F.col("heading")), lambda w: F.struct(w.alias("lexeme"), F.lit(10).alias("w"))), F.transform(lexed(F.col("text")), lambda w: F.struct(w.alias("lexeme"), F.lit(1).alias("w"))))
-    return passages.select("chunk", F.explode(places).alias("p")).groupBy("chunk", "p.lexeme").agg((F.sum("p.w") / 10).alias("weight"))
+    """(chunk, lexeme, weight): a lexeme's summed weight in a passage: 1 for a place in its heading, 0.1 in its text."""
+    return places(passages, lexed).groupBy("chunk", "lexeme").agg((F.sum("w") / 10).alias("weight"))
 
 
 def keyword_hits(passages: DataFrame, questions: DataFrame, k: int = CANDIDATES, lexed=lexemes) -> DataFrame:
     """Passages by the share of a question's distinct terms they contain, then by weighted places.
 
+    As any term may match, every place of one is a cover of its own, and cover density is the sum of the places' weights.
     ``lexed`` makes search tokens of a text column; ``functions.stemming.stemmed`` finds other forms of a word too.
+
+    Up to ``BROADCAST_TERMS`` terms meet the passages' places where these are made, and only what matches is shuffled. More
+    are joined with sums by passage and lexeme.
     """
     asked = questions.select("question", F.array_distinct(lexed(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
     asked = asked.select("question", F.size("terms").alias("n_terms"), F.explode("terms").alias("lexeme"))
-    matched = postings(passages, lexed).join(asked, "lexeme").groupBy("question", "chunk").agg((F.count("*") / F.max("n_terms")).alias("score"), F.round(F.sum("weight"), 6).alias("density"))
+    if asked.count() <= BROADCAST_TERMS:
+        met = places(passages, lexed).join(F.broadcast(asked), "lexeme")
+        matched = met.groupBy("question", "chunk").agg((F.size(F.collect_set("lexeme")) / F.max("n_terms")).alias("score"), F.round(F.sum("w") / 10, 6).alias("density"))
+    else:
+        matched = postings(passages, lexed).join(asked, "lexeme").groupBy("question", "chunk").agg((F.count("*") / F.max("n_terms")).alias("score"), F.round(F.sum("weight"), 6).alias("density"))
     return ranked(matched, k, F.col("score").desc(), F.col("density").desc())
 
 
@@ -104,7 +94,7 @@ def section_hits(passages: DataFrame, questions: DataFrame, dim: int, k: int = S
     """Passages of the sections whose titles match a question clearly better than the fifth best does."""
     headed = passages.where("heading IS NOT NULL AND heading_counts IS NOT NULL")
     titles = headed.groupBy("heading").agg(F.first("heading_counts").alias("counts"))
-    both = best_of(titles, "heading", questions, dim, 5)
+    both = nearest(titles, "heading", questions, dim, 5)
     order = Window.partitionBy("question").orderBy(F.col("sim").desc_nulls_last(), "heading")
     top = both.withColumn("nth", F.row_number().over(order)).where("nth <= 5")
     spread = top.groupBy("question").agg(F.max(F.when(F.col("nth") == 1, F.col("sim"))).alias("best"), F.max(F.when(F.col("nth") == 5, F.col("sim"))).alias("fifth"))
@@ -142,25 +132,29 @@ def gate(questions: DataFrame, vector: DataFrame, keyword: DataFrame, threshold:
     return rows.withColumn("relevant", relevant)
 
 
-def ranked_lists(passages: DataFrame, questions: DataFrame, dim: int) -> list[tuple[DataFrame, float]]:
+def ranked_lists(passages: DataFrame, questions: DataFrame, dim: int, texts: DataFrame | None = None) -> list[tuple[DataFrame, float]]:
+    """The lists to be fused. ``texts`` (chunk, heading, text) is where words are read, if not from the passages."""
     return [
         (vector_hits(passages, questions, dim), VECTOR_WEIGHT),
-        (keyword_hits(passages, questions), KEYWORD_WEIGHT),
+        (keyword_hits(passages if texts is None else texts, questions), KEYWORD_WEIGHT),
         (section_hits(passages, questions, dim), SECTION_WEIGHT),
         (overview_hits(passages, questions, dim), OVERVIEW_WEIGHT),
     ]
 
 
-def retrieve(passages: DataFrame, questions: DataFrame, files: DataFrame, dim: int, k: int = TOP_K) -> DataFrame:
+def retrieve(passages: DataFrame, questions: DataFrame, files: DataFrame, dim: int, k: int = TOP_K, *, texts: DataFrame | None = None, projects: Sequence[int] | None = None, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Fused hits with similarity and keyword rank; files that are not indexed drop out after the cut.
 
-    Passages, questions and the two lists that are used again are written once each.
+    ``projects`` restricts every list (None: all projects). The passages' ids and vectors, the questions and the lists are
+    written once each; texts are not among them. ``lists`` are the vector and the keyword list, if they are at hand.
     """
-    passages, questions = written(passages), written(questions)
-    lists = [(written(hits.select("question", "chunk", "score", "rank")), w) for hits, w in ranked_lists(passages, questions, dim)]
-    fused = fuse(lists, k)
-    sim = lists[0][0].select("question", "chunk", F.col("score").alias("similarity"))
-    keyword = lists[1][0].select("question", "chunk", F.col("rank").alias("keyword_rank"))
+    texts = of_projects(passages if texts is None else texts, projects).select("chunk", "heading", "text")
+    slim, questions = written(of_projects(passages, projects).select("chunk", "heading", "counts", "heading_counts")), written(questions)
+    known = dict(enumerate(lists or ()))
+    every = [(known[n] if n in known else written(hits.select("question", "chunk", "score", "rank")), w) for n, (hits, w) in enumerate(ranked_lists(slim, questions, dim, texts))]
+    fused = fuse(every, k)
+    sim = every[0][0].select("question", "chunk", F.col("score").alias("similarity"))
+    keyword = every[1][0].select("question", "chunk", F.col("rank").alias("keyword_rank"))
     hits = fused.join(sim, ["question", "chunk"], "left").join(keyword, ["question", "chunk"], "left")
     return hits.join(files.where("status = 'indexed'").select(F.col("file").alias("chunk"), "status"), "chunk").drop("status")
 

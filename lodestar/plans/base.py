@@ -51,6 +51,7 @@ def oracle(query: Query, views: dict[str, View]) -> str | None:
         return None
     ctes = ", ".join(f"{v} AS ({views[v].sql()})" for v in query.views)
     body = query.sql.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes}, {body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{ctes}, {body[len(start) :]}"
     return f"WITH {ctes} {body}"

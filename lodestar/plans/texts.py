@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.constants import MIN_SIMILARITY
 from lodestar.functions import text as T
 from lodestar.functions.stemming import stemmed
-from lodestar.functions.vectors import hashed_counts, unit
+from lodestar.functions.vectors import hashed_counts, unit, with_counts
 from lodestar.lineage import written
 from lodestar.operators import search
 from lodestar.plans.base import Query
@@ -47,26 +47,28 @@ DEFINITIONAL = (
     "(regexp_matches({0}, '" + T.DEFINITIONAL.replace("'", "''") + "') AND NOT regexp_matches({0}, '" + T.NOT_DEFINITIONAL + "') AND len(list_filter(string_split_regex(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' '), lambda w: w <> '')) <= 10)"
 )
 
-LISTS = (
-    counts("pv", "passages", "chunk", "text")
+def lists(table: str = "passages") -> str:
+    """CTEs of all ranked lists over the passages of a table, and of what they are fused to."""
+    return (
+    counts("pv", table, "chunk", "text")
     + ","
-    + counts("hv", "passages", "chunk", TITLE)
+    + counts("hv", table, "chunk", TITLE)
     + ","
     + counts("qv", "asked", "question", "text")
     + f""",
     vec AS (SELECT q.id AS question, p.id AS chunk, {cosine("p.counts", "q.counts")} AS score FROM pv p, qv q),
     vector AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC NULLS LAST, chunk) AS rank FROM vec QUALIFY rank <= 40),
-    post AS (SELECT chunk, unnest({lexemes("heading")}) AS lexeme, 10 AS w FROM passages UNION ALL SELECT chunk, unnest({lexemes("text")}), 1 FROM passages),
+    post AS (SELECT chunk, unnest({lexemes("heading")}) AS lexeme, 10 AS w FROM {table} UNION ALL SELECT chunk, unnest({lexemes("text")}), 1 FROM {table}),
     posting AS (SELECT chunk, lexeme, sum(w) / 10.0::DOUBLE AS weight FROM post GROUP BY ALL),
     qt AS (SELECT question, len(list_distinct({lexemes("text")})) AS n_terms, unnest(list_distinct({lexemes("text")})) AS lexeme FROM asked),
     kw AS (SELECT question, chunk, count(*) / max(n_terms)::DOUBLE AS score, round(sum(weight), 6) AS density FROM posting JOIN qt USING (lexeme) GROUP BY ALL),
     keyword AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, density DESC, chunk) AS rank FROM kw QUALIFY rank <= 40),
-    titles AS (SELECT heading, any_value(h.counts) AS counts FROM passages p JOIN hv h ON h.id = p.chunk WHERE heading IS NOT NULL GROUP BY heading),
+    titles AS (SELECT heading, any_value(h.counts) AS counts FROM {table} p JOIN hv h ON h.id = p.chunk WHERE heading IS NOT NULL GROUP BY heading),
     best5 AS (SELECT q.id AS question, t.heading, {cosine("t.counts", "q.counts")} AS sim, row_number() OVER (PARTITION BY q.id ORDER BY {cosine("t.counts", "q.counts")} DESC NULLS LAST, heading) AS nth FROM titles t, qv q QUALIFY nth <= 5),
     clear AS (SELECT question, max(sim) FILTER (nth = 1) AS best, max(sim) FILTER (nth = 5) AS fifth FROM best5 GROUP BY question HAVING round(best - fifth, 9) >= 0.015),
     chosen AS (SELECT b.question, b.heading FROM best5 b JOIN clear c USING (question) WHERE round(c.best - b.sim, 9) <= 0.005),
-    section AS (SELECT c.question, p.chunk, v.score, row_number() OVER (PARTITION BY c.question ORDER BY v.score DESC NULLS LAST, p.chunk) AS rank FROM chosen c JOIN passages p USING (heading) JOIN vec v ON v.question = c.question AND v.chunk = p.chunk QUALIFY rank <= 8),
-    overview AS (SELECT v.question, v.chunk, v.score, row_number() OVER (PARTITION BY v.question ORDER BY v.score DESC NULLS LAST, v.chunk) AS rank FROM vec v JOIN passages p ON p.chunk = v.chunk JOIN asked a ON a.question = v.question
+    section AS (SELECT c.question, p.chunk, v.score, row_number() OVER (PARTITION BY c.question ORDER BY v.score DESC NULLS LAST, p.chunk) AS rank FROM chosen c JOIN {table} p USING (heading) JOIN vec v ON v.question = c.question AND v.chunk = p.chunk QUALIFY rank <= 8),
+    overview AS (SELECT v.question, v.chunk, v.score, row_number() OVER (PARTITION BY v.question ORDER BY v.score DESC NULLS LAST, v.chunk) AS rank FROM vec v JOIN {table} p ON p.chunk = v.chunk JOIN asked a ON a.question = v.question
       WHERE regexp_matches(p.heading, '{T.OVERVIEW}') AND {DEFINITIONAL.format("a.text")} QUALIFY rank <= 3),
     lists AS (SELECT question, chunk, rank, 0 AS list, 1.0::DOUBLE / (60 + rank) AS part FROM vector UNION ALL SELECT question, chunk, rank, 1, 1.0::DOUBLE / (60 + rank) FROM keyword
       UNION ALL SELECT question, chunk, rank, 2, 2.0::DOUBLE / (60 + rank) FROM section UNION ALL SELECT question, chunk, rank, 3, 1.5::DOUBLE / (60 + rank) FROM overview),
@@ -74,15 +76,16 @@ LISTS = (
     fused AS (SELECT question, chunk, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, seen, chunk) AS rank FROM sums QUALIFY rank <= 8)
 """
 )
+
+
+LISTS = lists()
 SEARCH = ("passages", "asked")
 
 
 def prepared(passages: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Passages and questions with their vectors."""
-    titled = hashed_counts(passages.select("chunk", T.section_title(F.col("heading")).alias("title")), "chunk", "title", DIM).withColumnsRenamed({"id": "chunk", "counts": "heading_counts"})
-    own = hashed_counts(passages, "chunk", "text", DIM).withColumnRenamed("id", "chunk")
-    questions = asked.join(hashed_counts(asked, "question", "text", DIM).withColumnRenamed("id", "question"), "question")
-    return passages.join(own, "chunk").join(titled, "chunk"), questions
+    titled = passages.withColumn("title", T.section_title(F.col("heading")))
+    return with_counts(titled, DIM, counts="text", heading_counts="title").drop("title"), prepared_questions(asked)
 
 
 def prepared_once(passages: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,12 +94,12 @@ def prepared_once(passages: DataFrame, asked: DataFrame) -> tuple[DataFrame, Dat
     return written(rows), written(questions)
 
 
-def hits(make):
-    return lambda p, a: make(*prepared(p, a)).select("question", "chunk", "score", "rank")
+def keyword(**options):
+    return lambda p, a: search.keyword_hits(p, a, **options).select("question", "chunk", "score", "rank")
 
 
-def retrieved(p: DataFrame, a: DataFrame, f: DataFrame) -> DataFrame:
-    return search.retrieve(*prepared(p, a), f, DIM)
+def retrieved(p: DataFrame, a: DataFrame, f: DataFrame, projects: list[int] | None = None) -> DataFrame:
+    return search.retrieve(*prepared(p, a), f, DIM, texts=p, projects=projects)
 
 
 def cards(p: DataFrame, a: DataFrame, f: DataFrame) -> DataFrame:
@@ -144,7 +147,7 @@ QUERIES: dict[str, Query] = {
     "token_estimate": Query(("documents",), lambda d: d.select("id", T.estimated_tokens(F.col("text")).alias("by_length"), T.fallback_tokens(F.col("text")).alias("by_words")), f"SELECT id, floor(len(text) / 3.5)::BIGINT + 1 AS by_length, greatest(1, round_even(len(list_filter(string_split({squeezed('text')}, ' '), lambda w: w <> '')) * 1.3::DOUBLE, 0)::BIGINT) AS by_words FROM documents"),
     "content_filter": Query(("passages",), lambda p: p.select("chunk", T.has_content(F.col("text"), F.concat(F.lit("1 A › "), "text")).alias("of_itself"), T.has_content(F.substring("text", 1, 2)).alias("short"), T.has_content(F.col("text"), F.col("heading")).alias("kept")), f"SELECT chunk, false AS of_itself, len(regexp_replace(substring(text, 1, 2), '[^\\p{{L}}]', '', 'g')) >= 3 AS short, len(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 3 AND lower({squeezed('text')}) <> lower({squeezed('heading')}) AS kept FROM passages"),
     "contents_pages": Query(("documents",), lambda d: d.select("id", T.is_contents_page(F.concat("text", F.repeat(F.lit("...."), (F.col("id") % 9).cast("int")))).alias("contents")), "SELECT id, len(regexp_extract_all(text || repeat('....', (id % 9)::INT), '\\.{4}')) >= 5 AS contents FROM documents"),
-    "definitional_questions": Query(("prompts",), lambda p: p.select("conv_id", "turn", T.is_definitional(F.col("text")).alias("definitional")), f"SELECT conv_id, turn, {DEFINITIONAL.format('text')} AS definitional FROM prompts"),
+    "definitional_questions": Query(("prompts",), lambda p: p.select("id", T.is_definitional(F.col("text")).alias("definitional")), f"SELECT id, {DEFINITIONAL.format('text')} AS definitional FROM prompts"),
     "text_windows": Query(
         ("documents",),
         lambda d: text_windows(d.select("id", "text")).select("id", "line_start", "line_end", F.md5(F.col("segment").cast("binary")).alias("h")),
@@ -189,15 +192,15 @@ QUERIES: dict[str, Query] = {
         lambda v, a: search.vector_hits(v.select(F.col("id").alias("chunk"), F.col("embedding").alias("counts"), "project"), prepared_questions(a), DIM, within=F.col("project").isin(1, 4, 7)).select("question", "chunk", "score", "rank"),
         "WITH " + counts("qv", "asked", "question", "text") + f", s AS (SELECT q.id AS question, v.id AS chunk, {cosine('v.e', 'q.counts')} AS score FROM (SELECT id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM vectors WHERE project IN (1, 4, 7)) v, qv q) SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC NULLS LAST, chunk) AS rank FROM s QUALIFY rank <= 40",
     ),
-    "keyword_coverage": Query(SEARCH, hits(lambda p, q: search.keyword_hits(p, q)), "WITH " + LISTS + " SELECT question, chunk, score, rank FROM keyword"),
+    "keyword_coverage": Query(SEARCH, keyword(), "WITH " + LISTS + " SELECT question, chunk, score, rank FROM keyword"),
     "keyword_density": Query(("passages",), lambda p: search.postings(p).select("chunk", "lexeme", F.round("weight", 6).alias("weight")), f"WITH post AS (SELECT chunk, unnest({lexemes('heading')}) AS lexeme, 10 AS w FROM passages UNION ALL SELECT chunk, unnest({lexemes('text')}), 1 FROM passages) SELECT chunk, lexeme, round(sum(w) / 10.0::DOUBLE, 6) AS weight FROM post GROUP BY ALL"),
-    "keyword_stemmed": Query(SEARCH, hits(lambda p, q: search.keyword_hits(p, q, lexed=stemmed))),
+    "keyword_stemmed": Query(SEARCH, keyword(lexed=stemmed)),
     "section_match": Query(SEARCH, lambda p, a: search.section_hits(*prepared_once(p, a), DIM).select("question", "chunk", "score", "rank"), "WITH " + LISTS + " SELECT question, chunk, score, rank FROM section"),
     "overview_hits": Query(
-        ("passages", "asked"),
-        lambda p, a: search.overview_hits(prepared(p.withColumn("heading", F.when(F.col("chunk") % 3 == 0, "2 Overview").otherwise(F.col("heading"))), a)[0], prepared(p, a)[1].withColumn("text", F.concat(F.lit("What is "), F.substring("text", 1, 20))), DIM).select("question", "chunk", "score", "rank"),
-        "WITH " + counts("pv", "passages", "chunk", "text") + "," + counts("qv", "asked", "question", "text") + f""" SELECT q.id AS question, p.id AS chunk, {cosine('p.counts', 'q.counts')} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {cosine('p.counts', 'q.counts')} DESC, p.id) AS rank
-        FROM pv p JOIN passages t ON t.chunk = p.id, qv q JOIN asked a ON a.question = q.id WHERE regexp_matches(CASE WHEN t.chunk % 3 = 0 THEN '2 Overview' ELSE t.heading END, '{T.OVERVIEW}') AND {DEFINITIONAL.format("concat('What is ', substring(a.text, 1, 20))")} QUALIFY rank <= 3""",
+        ("passages", "definitions"),
+        lambda p, a: search.overview_hits(*prepared(p.withColumn("heading", F.when(F.col("chunk") % 3 == 0, "2 Overview").otherwise(F.col("heading"))), a), DIM).select("question", "chunk", "score", "rank"),
+        "WITH " + counts("pv", "passages", "chunk", "text") + "," + counts("qv", "definitions", "question", "text") + f""" SELECT q.id AS question, p.id AS chunk, {cosine('p.counts', 'q.counts')} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {cosine('p.counts', 'q.counts')} DESC, p.id) AS rank
+        FROM pv p JOIN passages t ON t.chunk = p.id, qv q JOIN definitions a ON a.question = q.id WHERE regexp_matches(CASE WHEN t.chunk % 3 = 0 THEN '2 Overview' ELSE t.heading END, '{T.OVERVIEW}') AND {DEFINITIONAL.format("a.text")} QUALIFY rank <= 3""",
     ),
     "rrf_fusion": Query(SEARCH, lambda p, a: search.fuse(search.ranked_lists(*prepared_once(p, a), DIM)).select("question", "chunk", "score", "rank"), "WITH " + LISTS + " SELECT question, chunk, score, rank FROM fused"),
     "relevance_gate": Query(
@@ -211,6 +214,13 @@ QUERIES: dict[str, Query] = {
         retrieved,
         "WITH " + LISTS + " SELECT f.question, f.chunk, f.score, f.rank, v.score AS similarity, k.rank AS keyword_rank FROM fused f JOIN page_files s ON s.file = f.chunk AND s.status = 'indexed' LEFT JOIN vector v ON v.question = f.question AND v.chunk = f.chunk LEFT JOIN keyword k ON k.question = f.question AND k.chunk = f.chunk",
     ),
+    "hybrid_retrieve_by_project": Query(
+        (*SEARCH, "page_files"),
+        lambda p, a, f: retrieved(p, a, f, [1, 3]),
+        "WITH seen AS (SELECT * FROM passages WHERE project IN (1, 3)), " + lists("seen")
+        + " SELECT f.question, f.chunk, f.score, f.rank, v.score AS similarity, k.rank AS keyword_rank FROM fused f JOIN page_files s ON s.file = f.chunk AND s.status = 'indexed' LEFT JOIN vector v ON v.question = f.question AND v.chunk = f.chunk LEFT JOIN keyword k ON k.question = f.question AND k.chunk = f.chunk",
+    ),
+    "hybrid_retrieve_no_project": Query((*SEARCH, "page_files"), lambda p, a, f: retrieved(p, a, f, []), "SELECT question, question AS chunk, 0.0::DOUBLE AS score, 1 AS rank, 0.0::DOUBLE AS similarity, 1 AS keyword_rank FROM asked WHERE false"),
     "late_status_join": Query(
         (*SEARCH, "page_files"),
         lambda p, a, f: search.fuse(search.ranked_lists(*prepared_once(p, a), DIM)).join(f.select(F.col("file").alias("chunk"), "status"), "chunk").select("question", "chunk", "rank", (F.col("status") == "indexed").alias("kept")),
@@ -243,4 +253,4 @@ QUERIES: dict[str, Query] = {
 
 
 def prepared_questions(asked: DataFrame) -> DataFrame:
-    return asked.join(hashed_counts(asked, "question", "text", DIM).withColumnRenamed("id", "question"), "question")
+    return with_counts(asked, DIM, counts="text")

@@ -51,7 +51,8 @@ VIEWS = {
     ),
     "page_files": View("pages", {"file": "page_id", "status": "CASE WHEN page_id % 7 = 0 THEN 'processing' ELSE 'indexed' END"}),
     "asked": View("benchmark", {"question": "item_id", "text": "text"}),
-    "prompts": View("conversations", {"conv_id": "conv_id", "turn": "turn", "text": "concat(CASE turn % 5 WHEN 0 THEN 'What is ' WHEN 1 THEN 'how do I call ' WHEN 2 THEN '  Tell me about ' WHEN 3 THEN 'Overview of ' ELSE 'What does it cover: ' END, substring(text, 1, 30))"}),
+    "prompts": View("part", {"id": "p_partkey", "text": "concat(CASE p_partkey % 6 WHEN 0 THEN 'What is ' WHEN 1 THEN 'how do I call ' WHEN 2 THEN '  Tell me about ' WHEN 3 THEN 'Overview of ' WHEN 4 THEN 'What does it cover: ' ELSE 'Explain, in as many words as one can possibly need, what this is: ' END, p_name)"}),
+    "definitions": View("nation", {"question": "n_nationkey", "text": "concat('What is ', n_name, '? ', n_regionkey)"}),
     "marked": View("documents", {"id": "doc_id", "text": ("regexp_replace(text, '\\\\n(Th|En|De|La)', '\\n## $1')", "regexp_replace(text, '\\n(Th|En|De|La)', chr(10) || '## \\1', 'g')")}),
     "spaced": View("documents", {"id": "doc_id", "text": ("replace(text, '.\\n', '.\\n \\n')", "replace(text, '.' || chr(10), '.' || chr(10) || ' ' || chr(10))")}),
     "places": View("lineitem", {"place": "l_orderkey * 10 + l_linenumber", "file": "l_partkey % 50", "section": "CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_linestatus END", "page": "l_linenumber - 1"}),

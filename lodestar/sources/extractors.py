@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.constants import SLIDE_EXTS
-from lodestar.functions.chunking import document_sections
 from lodestar.functions.files import extension, kind_of
+from lodestar.lineage import written
+from lodestar.operators.chunking import numbered_sections
 from lodestar.sources.folders import decode
 from lodestar.sources.segments import markdown_sections, text_windows
 
-SEGMENTS = "path string, loc_type string, page int, line_start int, line_end int, heading string, segment string, error string"
 Pages = list[tuple[int, str]]
 _registered: dict[str, Callable[[str, bytes], Pages]] = {}
 
@@ -33,19 +33,15 @@ def _pages(extract: Callable[[str, bytes], Pages] | None, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                row = {"path": r["path"], "loc_type": None, "page": None, "line_start": None, "line_end": None, "heading": None, "segment": None, "error": None}
-                place = "slide" if r["path"].lower().endswith(SLIDE_EXTS) else "page"
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     if extract is None:
                         raise NotImplementedError(f"no extractor for {kind} files")
-                    out += [row | {"loc_type": place, "page": p, "heading": s, "segment": t} for p, s, t in document_sections(extract(r["path"], r["content"]))]
+                    out += [{"id": path, "page": p, "text": t} for p, t in extract(path, content)]
                 except Exception as e:  # one broken file must not stop the rest; what is wrong is in its row
-                    out.append(row | {"error": f"{type(e).__name__}: {e}"[:2_000]})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out.append({"id": path, "error": f"{type(e).__name__}: {e}"[:2_000]})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("error", pa.string())]))
 
-    types = {"string": pa.string(), "int": pa.int32()}
-    schema = pa.schema([(n, types[t]) for n, t in (c.split() for c in SEGMENTS.split(", "))])
     return run
 
 
@@ -55,7 +51,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_segments(files: DataFrame) -> DataFrame:
-    """Files (path, content) -> their segments (SEGMENTS): every kind by its own plan, put together."""
+    """Files (path, content) -> (path, loc_type, page, line_start, line_end, heading, segment, error): every kind by its own plan."""
     name = F.element_at(F.split("path", "/"), -1)
     typed = files.select("path", "content", kind_of(name).alias("kind"), extension(name).alias("ext"))
     texts = typed.where("kind = 'text'").select("path", "content", "ext")
@@ -67,7 +63,10 @@ def extract_segments(files: DataFrame) -> DataFrame:
         markdown_sections(marked).select("path", "loc_type", empty("int").alias("page"), "line_start", "line_end", "heading", "segment", empty("string").alias("error")),
     ]
     for kind in ("pdf", "office"):
-        parts.append(typed.where(F.col("kind") == kind).select("path", "content").mapInArrow(_pages(_registered.get(kind), kind), SEGMENTS))
+        pages = written(typed.where(F.col("kind") == kind).select("path", "content").mapInArrow(_pages(_registered.get(kind), kind), "id string, page int, text string, error string"))
+        place = F.when(F.lower("id").rlike("(" + "|".join(SLIDE_EXTS).replace(".", r"\.") + ")$"), "slide").otherwise("page")
+        parts.append(numbered_sections(pages.where("error IS NULL")).select(F.col("id").alias("path"), place.alias("loc_type"), "page", empty("int").alias("line_start"), empty("int").alias("line_end"), F.col("section").alias("heading"), F.col("text").alias("segment"), empty("string").alias("error")))
+        parts.append(pages.where("error IS NOT NULL").select(F.col("id").alias("path"), empty("string").alias("loc_type"), empty("int").alias("page"), empty("int").alias("line_start"), empty("int").alias("line_end"), empty("string").alias("heading"), empty("string").alias("segment"), "error"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

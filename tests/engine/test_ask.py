@@ -26,6 +26,10 @@ def test_flow(spark):
     assert final["status"] == "ok" and final["cited"] == [1] and "Approve the purchase order" in final["text"]
     events = list(ask(p, questions(spark, "weather tomorrow sunshine"), files, DIM, 0.45, Extractive()))
     assert events[-1] == ("final", {"status": "not_found", "text": NOT_FOUND, "cited": []})
+    events = list(ask(p, questions(spark, "approve purchase order procurement module"), files, DIM, 0.45, Extractive(), projects=[2]))
+    assert events[-1][1]["status"] == "not_found"
+    events = list(ask(p, questions(spark, "approve purchase order"), files, DIM, 0.45, Extractive(), projects=[]))
+    assert events[-1][1]["status"] == "no_projects"
     events = list(ask(p.limit(0), questions(spark, "anything"), files, DIM, 0.45, Extractive()))
     assert events[-1][1]["text"] == NO_PROJECTS
 

@@ -84,6 +84,24 @@ def ask(spark, *texts):
     return q.join(hashed_counts(q, "question", "text", 1024).withColumnRenamed("id", "question"), "question")
 
 
+def test_projects_restrict_every_list(spark):
+    p, q = corpus(spark), ask(spark, "approve purchase order procurement", "authentication", "what is the archive overview")
+    files = p.select(F.col("chunk").alias("file"), F.lit("indexed").alias("status"))
+    assert {r.chunk for r in search.retrieve(p, q, files, 1024, projects=[3]).collect()} <= set(range(10, 16))
+    assert {r.chunk for r in search.retrieve(p, q, files, 1024, projects=[1, 2]).collect()} == {1, 2}
+    assert search.retrieve(p, q, files, 1024, projects=[]).count() == 0
+
+
+def test_questions_beyond_one_matrix(spark, monkeypatch):
+    p, q = corpus(spark), ask(spark, *[f"approve {w} order" for w in ("purchase", "salary", "archive", "billing", "payroll", "procurement")])
+    few = sorted(map(tuple, search.vector_hits(p, q, 1024, 3).collect()))
+    monkeypatch.setattr("lodestar.functions.vectors.MATRIX_BYTES", 2 * 1024 * 8)
+    assert sorted(map(tuple, search.vector_hits(p, q, 1024, 3).collect())) == few
+    hits = sorted(map(tuple, search.keyword_hits(p, q).collect()))
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
+    assert sorted(map(tuple, search.keyword_hits(p, q).collect())) == hits
+
+
 def test_coverage_gate_and_sections(spark):
     p = corpus(spark)
     q = ask(spark, "approve purchase order procurement unicorn", "is it of", "authentication", "payroll weather tomorrow sunshine")
@@ -98,16 +116,6 @@ def test_coverage_gate_and_sections(spark):
     assert {r.question: r.chunk for r in fused}[0] == 1 and {r.question: r.chunk for r in fused}[2] == 10
 
 
-def test_many_questions_by_blocks(spark, monkeypatch):
-    p, q = corpus(spark), ask(spark, *[f"order {i} payroll" for i in range(9)])
-    whole = sorted(map(tuple, search.vector_hits(p, q, 1024).collect()))
-    monkeypatch.setattr(search, "MATRIX_BYTES", 0)
-    assert sorted(map(tuple, search.vector_hits(p, q, 1024).collect())) == whole
-    monkeypatch.setattr(search, "BROADCAST_QUESTIONS", 2)
-    monkeypatch.setattr(search, "QUESTIONS_A_BLOCK", 4)
-    assert sorted(map(tuple, search.vector_hits(p, q, 1024).collect())) == whole
-
-
 def test_hashed_counts_any_size(spark):
     import hashlib
 
