@@ -53,10 +53,9 @@ def markdown_sections(files: DataFrame, text_col: str = "text") -> DataFrame:
             kind = F.when(F.length(heading) > 0, "heading").otherwise("lines")
             return F.struct(trimmed(F.array_join(F.slice(lines, s["a"], s["b"] - s["a"] + 1), "\n")).alias("segment"), kind.alias("loc_type"), heading.alias("heading"), s["a"].alias("line_start"), s["b"].alias("line_end"))
 
-        return F.filter(F.transform(spans, section), lambda x: x["segment"] != "")
+        return F.when(F.size(lines) > 0, F.filter(F.transform(spans, section), lambda x: x["segment"] != ""))
 
-    with_lines = files.withColumn("lines", lines_of(F.col(text_col))).where(F.size("lines") > 0)
-    return with_lines.select(*[c for c in files.columns if c != text_col], F.explode(_let(F.col("lines"), cut)).alias("s")).select("*", "s.*").drop("s")
+    return files.select(*[c for c in files.columns if c != text_col], F.explode(_let(lines_of(F.col(text_col)), cut)).alias("s")).select("*", "s.*").drop("s")
 
 
 def paragraph_units(text: Column, long: int = LONG_PARAGRAPH) -> Column:
