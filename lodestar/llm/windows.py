@@ -4,7 +4,9 @@ A window is ``width`` consecutive words. Its representative is the word 8-gram i
 of equals): equal windows have equal representatives, and a run of neighbouring windows mostly shares one. A block is
 such a run; one block stands for about twenty windows, so tables of blocks are far smaller than tables of windows.
 
-Hashes are 64 bits: a word's XXH64, and for a stretch of words the polynomial over its words' hashes.
+Representatives and contexts are 64-bit hashes (a word's XXH64, and the polynomial over its words' hashes for a stretch):
+they say where to look. What is equal is said by 128 bits (XXH3) of the words themselves. ``bits`` weakens words' hashes,
+for tests.
 """
 
 from __future__ import annotations
@@ -45,26 +47,40 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Blocks:
-    """One entry per block: which text, its first window's start, number of windows, hashes; and the window hashes."""
+    """One entry per block: which text, its first window's start, number of windows, representative, hash of all its words."""
 
     text: np.ndarray
     start: np.ndarray
     count: np.ndarray
     gram: np.ndarray
     context: np.ndarray
-    first: np.ndarray  # where the block's windows begin in ``window``
-    window: np.ndarray
+    first: np.ndarray  # where the block's windows begin in ``place``
+    place: np.ndarray  # of every window, where its words begin in ``words``
+    words: list[bytes]
 
+    def keys(self, at: np.ndarray, width: int) -> np.ndarray:
+        """128-bit hashes of the words of these blocks, as two numbers each."""
+        start = self.place[self.first[at]]
+        return word_keys(self.words, start, start + self.count[at] - 1 + width)
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    def window_keys(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many windows each of these blocks has, and the same of all of them."""
+        sizes = self.count[at]
+        start = self.place[np.repeat(self.first[at] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())]
+        return sizes, word_keys(self.words, start, start + width)
 
 
-def _blocks(h: np.ndarray, lengths: np.ndarray, width: int, text0: int, start0: int) -> Blocks | None:
-    """``h``: the word hashes of one or more texts in a row; text numbers count from text0, starts from start0."""
-    n = len(h)
+def word_keys(words: list[bytes], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    found = [xxhash.xxh3_128_digest(b" ".join(words[a:b])) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), dtype=">i8").astype(np.int64).reshape(-1, 2)
+
+
+def _blocks(words: list[bytes], bits: int, lengths: np.ndarray, width: int, text0: int, start0: int) -> Blocks | None:
+    """``words``: those of one or more texts in a row; text numbers count from text0, starts from start0."""
+    n = len(words)
     if n < width:
         return None
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=n) & np.uint64((1 << bits) - 1)
     ends = np.cumsum(lengths)
     text = np.repeat(np.arange(len(lengths)), lengths)
     start = np.arange(n) - (ends - lengths)[text]
@@ -84,10 +100,10 @@ def _blocks(h: np.ndarray, lengths: np.ndarray, width: int, text0: int, start0:
     back = _powers(_INVERSE, WORDS_AT_ONCE * 2)
     stretch = lambda a, b: mixed((sums[b] - sums[a]) * back[a])
     first = at[new]
-    return Blocks(text[first] + text0, start[first] + start0, count, gram[least[new]], stretch(first, first + count - 1 + width), new, stretch(at, at + width))
+    return Blocks(text[first] + text0, start[first] + start0, count, gram[least[new]], stretch(first, first + count - 1 + width), new, at, words)
 
 
-def blocks_of(texts: Iterable[list[bytes]], width: int) -> Iterator[Blocks]:
+def blocks_of(texts: Iterable[list[bytes]], width: int, bits: int = 64) -> Iterator[Blocks]:
     """Blocks of all texts, in groups of about WORDS_AT_ONCE words; a longer text comes in overlapping parts.
 
     No more than one group's words are held at a time.
@@ -100,7 +116,7 @@ def blocks_of(texts: Iterable[list[bytes]], width: int) -> Iterator[Blocks]:
 
     def flush(until: int):
         nonlocal held, size, first
-        if held and (found := _blocks(_hashes([w for t in held for w in t]), np.array([len(t) for t in held]), width, first, 0)):
+        if held and (found := _blocks([w for t in held for w in t], bits, np.array([len(t) for t in held]), width, first, 0)):
             yield found
         held, size, first = [], 0, until
 
@@ -110,7 +126,7 @@ def blocks_of(texts: Iterable[list[bytes]], width: int) -> Iterator[Blocks]:
             yield from flush(i + 1)
             for a in range(0, len(words) - width + 1, WORDS_AT_ONCE):
                 part = words[a : a + WORDS_AT_ONCE + width - 1]
-                if found := _blocks(_hashes(part), np.array([len(part)]), width, i, a):
+                if found := _blocks(part, bits, np.array([len(part)]), width, i, a):
                     yield found
             continue
         if size + len(words) > WORDS_AT_ONCE:

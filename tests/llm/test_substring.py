@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lodestar.llm import substring, windows
@@ -55,6 +56,40 @@ def test_documents_and_edge_cases(spark, seed, monkeypatch):
     assert got == direct(rows, 50)
 
 
+@pytest.mark.parametrize("bits", [3, 7])
+def test_weak_hashes_decide_nothing(spark, bits):
+    """With words of 3 or 7 bits nearly all representatives and contexts collide; the words' own keys decide."""
+    rows = fixture(random.Random(5))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in substring.dedup_substrings(df, word_bits=bits).collect()), key=repr)
+    assert got == direct(rows, 50)
+
+
+def test_blocks_sent_to_their_slices(spark, monkeypatch):
+    monkeypatch.setattr(substring, "MOST_BROADCAST", 0)
+    rows = fixture(random.Random(6))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in substring.dedup_substrings(df).collect()), key=repr)
+    assert got == direct(rows, 50)
+
+
+def test_both_ways_find_the_same_blocks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("text", "doc_id AS rid")
+    sketch = substring.repeated_counters(docs.select("text"), 50, 1 << 17).cache()
+    held = spark.sparkContext.broadcast(substring._gathered(sketch, 1 << 17))
+    near = docs.mapInArrow(substring._candidates(50, 64, held), substring._BLOCK)
+    far = substring._by_slice(docs.mapInArrow(substring._candidates(50, 64), substring._BLOCK), sketch, 1 << 17)
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect())) and near.count() > 0
+
+
+def test_one_row_many_times(spark):
+    rng = random.Random(8)
+    text = " ".join(rng.choice("abcdefgh") * 3 for _ in range(70))
+    rows = [(5, text)] * 20_000 + [(None, text)] * 20_000 + [(1, "x " * 60 + text)]
+    got = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([(1, 130, 0, 1), (5, 70, 70, 20_000), (None, 70, 70, 20_000)], key=repr)
+
+
 def test_real_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -77,7 +112,9 @@ def test_every_window_is_in_one_block_and_equal_windows_agree():
                 for j in range(b.count[k]):
                     place = (int(b.text[k]), int(b.start[k]) + j)
                     assert place not in found
-                    found[place] = (int(b.gram[k]), int(b.window[b.first[k] + j]))
+                    at = int(b.place[b.first[k] + j])
+                    assert b.words[at : at + 12] == texts[place[0]][place[1] : place[1] + 12]
+                    found[place] = (int(b.gram[k]), *b.window_keys(np.array([k]), 12)[1][j].tolist())
     finally:
         windows.WORDS_AT_ONCE = old
     assert set(found) == {(i, s) for i, t in enumerate(texts) for s in range(len(t) - 11)}
