@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue. Its documents are shuffled (by a hash of their id), and a document's virtual finish time is
+Every source is a queue. Its documents are shuffled (by a hash of id and text), and a document's virtual finish time is
 the words its source has queued up to and including it, divided by the source's target. Queues whose target exceeds
 their size are queued again (a second pass follows the first, and so on up to ``max_repeat``). All copies in order of
 finish time, up to the total budget, are the mix.
@@ -32,9 +32,13 @@ BROADCAST_SOURCES = 10_000
 KEY_BITS = 60
 
 
-def shuffle_key(doc_id: Column, seed: int) -> Column:
-    """A place in the shuffled order: the first 60 bits of an MD5 over seed and id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")), 1, 15), 16, 10).cast("long")
+def shuffle_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """A place in the shuffled order: the first 60 bits of an MD5 over seed, id and the text's MD5.
+
+    The text is in it so that rows with one id, or none, do not share a place (and with it a bucket).
+    """
+    what = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(what.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], ratio: float, max_repeat: int) -> DataFrame:
@@ -70,7 +74,7 @@ def _queue(docs: DataFrame, kept: Sequence[str], weights, ratio, max_repeat, see
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             count_words(text_column(docs, text_col)).alias("size"),
-            shuffle_key(F.col(id_col), seed).alias("key"),
+            shuffle_key(F.col(id_col), text_column(docs, text_col), seed).alias("key"),
         )
     )
     n = base.count()
@@ -146,13 +150,14 @@ def mixed_texts(
     """The mix itself: the ``columns`` of every document that is taken, once for each time.
 
     Within a source the queue is in order of key, id and size, so what is taken is all up to some place. Only these
-    places (one per source and pass) meet the texts, which are not shuffled. Rows equal in id and size are taken alike.
+    places (one per source and pass) meet the texts, which are not shuffled. Rows equal in id and text are taken alike. The
+    rows stay in the order of the input: whoever trains on them shuffles them by sequence.
     """
     queued, taken = _queue(docs, [], weights, ratio, max_repeat, seed, id_col, text_col, source_col)
     spot = F.struct("key", "id", "size")
     last = queued.groupBy("source").agg(*[F.max(F.when(t == 1, spot)).alias(f"last{e}") for e, t in enumerate(taken)])
     last = cut_lineage(last.withColumnRenamed("source", "of_source"))
-    rows = docs.withColumns({"__size": count_words(text_column(docs, text_col)), "__key": shuffle_key(F.col(id_col), seed)})
+    rows = docs.withColumns({"__size": count_words(text_column(docs, text_col)), "__key": shuffle_key(F.col(id_col), text_column(docs, text_col), seed)})
     few = last.count() <= BROADCAST_SOURCES
     rows = rows.join(F.broadcast(last) if few else last, F.col(source_col).eqNullSafe(F.col("of_source")))
     own = F.struct(F.col("__key").alias("key"), F.col(id_col).alias("id"), F.col("__size").alias("size"))

@@ -20,7 +20,7 @@ ORACLE_SQL = {
     "op1_mix_sources": r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS key
+         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS key
   FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 caps AS (

@@ -6,6 +6,8 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from lodestar.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string, size string, target string"
@@ -14,7 +16,7 @@ SCHEMA = "doc_id long, text string, source string, size string, target string"
 def direct(rows):
     docs = []
     for i, t, s, *_ in rows:
-        key = int(hashlib.md5(f"17:{'null' if i is None else i}".encode()).hexdigest()[:15], 16)
+        key = int(hashlib.md5(f"17:{'null' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16)
         docs.append((s, key, i, len((t or "").split())))
     total = defaultdict(int)
     for s, *_, n in docs:
@@ -80,3 +82,12 @@ def test_several_rounds_of_ranges(spark, monkeypatch):
 def test_all_empty_and_no_rows(spark):
     assert {(r.taken, r.target) for r in mixing.mix_sources(spark.createDataFrame([(1, "", "a", "", ""), (2, None, None, "", "")], SCHEMA)).collect()} == {(0, 0.0)}
     assert mixing.mix_sources(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_rows_of_one_id_do_not_share_a_bucket(spark):
+    """A third of all rows without an id, in one source: their places in the queue are all over it."""
+    rows = [(None if i % 3 else i, f"text number {i} of the source", "s") for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = df.select(mixing.shuffle_key(F.col("doc_id"), F.col("text"), 17).alias("k")).selectExpr("shiftright(k, 52) AS b").groupBy("b").count()
+    assert keys.count() > 250 and keys.agg(F.max("count")).first()[0] < 40
+    assert Counter(map(tuple, mixing.mix_sources(df, keep=["doc_id"]).collect())) == Counter(map(tuple, mixing.mix_sources(df.repartition(7), keep=["doc_id"]).collect()))
