@@ -30,25 +30,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_tables: list[str] = []
+def tabled(df: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """The same as a compressed table in that folder, of which only the columns in use are read: for rows with texts.
 
-
-def tabled(df: DataFrame) -> DataFrame:
-    """The same as a compressed table in that folder, of which only the columns in use are read: for rows with texts."""
+    Its path is added to ``made``: whoever keeps that list removes the table once nothing reads it any more.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables.append(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Remove the tables of this kind: once what was made of them is written, nothing reads them any more."""
-    while _tables:
-        remove(spark, _tables.pop())
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever file system it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
