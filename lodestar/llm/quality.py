@@ -6,7 +6,12 @@ others, and a document is kept if its posterior probability of being good is a h
 that pass the base rules: those that fail them are decided already.
 
 What EM needs is the number of rows with each vote pattern: at most 3 ** len(RULES) counts whatever the corpus size,
-summed before the shuffle over all rows. EM itself is one SQL expression over that array.
+summed before the shuffle over all rows. EM itself is one SQL expression over that array. Statistics are made once and
+written with the columns asked for.
+
+Good and bad are held to be equally likely beforehand (``PRIOR`` is fixed, not estimated: with few votes a document, EM
+would move it to one side). So a document on which all rules abstain has a posterior of one half, and is kept: nothing
+speaks against it.
 
 Repeated three-word windows are found inside the row: window hashes (64 bits, compared only within one text) are
 sorted, neighbours that are equal are repeats. No row leaves its partition for that.
@@ -23,7 +28,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import ASCII_SPACES, cut_lineage, text_column
+from lodestar.llm.shared import ASCII_SPACES, cut_lineage, let, text_column
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -31,6 +36,8 @@ MAX_REPEAT_PERCENT = 50
 EM_ROUNDS = 40
 #: A rule's accuracy before any row is seen, and the number of rows that this counts for.
 START, PSEUDO = 0.8, 2.0
+#: The probability of good before any vote; the odds below begin with it.
+PRIOR = 0.5
 
 #: name -> (what it looks at, what makes it vote: 0 bad, 2 good; it abstains otherwise).
 RULES: dict[str, tuple[str, int]] = {
@@ -48,11 +55,6 @@ RULES: dict[str, tuple[str, int]] = {
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _less(text: Column, characters: str) -> Column:
     return F.length(F.translate(text, characters, ""))
 
@@ -145,19 +147,20 @@ def estimate(patterns: DataFrame, n_rules: int, rounds: int = EM_ROUNDS) -> list
     return gathered.select(F.expr(f"aggregate(sequence(1, {rounds}), {start}, (a, i) -> {m_step})").alias("a")).first()["a"]
 
 
-def judge_quality(docs: DataFrame, *, text_col: str = "text", keep: Sequence[str] | None = None, rules: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+def judge_quality(docs: DataFrame, *, text_col: str = "text", keep: Sequence[str] | None = None, rules: dict[str, tuple[str, int]] | None = None, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """Rows of ``docs`` with the statistics, base_failed, quality (posterior of good) and kept.
 
-    ``keep`` names the input columns to carry (all by default).
+    ``keep`` names the input columns to carry (all by default). ``cut`` writes the statistics with them: who carries texts
+    gives one that compresses them.
     """
     rules = RULES if rules is None else rules
     kept = list(docs.columns if keep is None else keep)
     made = [*FEATURES, "base_failed", "quality", "kept"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text_features(text_column(docs, text_col)).alias("f"))
-    rows = cut_lineage(rows.select("row", *[F.col("f").getField(c).alias(c) for c in [*FEATURES, "n_lines", "n_capitals", "n_exclamations", "n_digits"]]).withColumn("v", votes(rules)))
+    rows = cut(rows.select("row", *[F.col("f").getField(c).alias(c) for c in [*FEATURES, "n_lines", "n_capitals", "n_exclamations", "n_digits"]]).withColumn("v", votes(rules)))
     accuracy = estimate(rows.filter(~base_failed()).groupBy("v").agg(F.count("*").alias("n")), len(rules))
 
-    odds = sum(((F.element_at("v", j + 1) - 1) * F.lit(log(a / (1 - a))) for j, a in enumerate(accuracy)), F.lit(0.0))
+    odds = sum(((F.element_at("v", j + 1) - 1) * F.lit(log(a / (1 - a))) for j, a in enumerate(accuracy)), F.lit(log(PRIOR / (1 - PRIOR))))
     judged = rows.withColumn("base_failed", base_failed()).withColumn("quality", 1 / (1 + F.exp(-odds)))
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
     return judged.select(*[F.col("row").getField(c).alias(c) for c in kept if c not in made], *made)

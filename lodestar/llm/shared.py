@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.arrays import let, running_sums
-from lodestar.lineage import ensure_checkpoint_dir, tabled
+from lodestar.lineage import ensure_checkpoint_dir
 from lodestar.lineage import written as cut_lineage
 
-__all__ = ["ASCII_SPACES", "WORD", "count_words", "cut_lineage", "ensure_checkpoint_dir", "let", "power_of_two", "running_sums", "tabled", "text_column"]
+__all__ = ["ASCII_SPACES", "WORD", "count_words", "cut_lineage", "ensure_checkpoint_dir", "let", "power_of_two", "running_sums", "text_column"]
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
