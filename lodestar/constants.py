@@ -62,6 +62,9 @@ SECONDS_PER_FILE = {"pdf": 3.0, "office": 8.0, "text": 0.5}
 SECONDS_PER_MB = {"pdf": 2.5, "office": 4.0, "text": 1.0}
 OTHER_SECONDS = 2.0
 PREVIEW_MAX_ENTRIES = 200_000
+SESSION_DAYS = 14
+LANE_WIDTHS = {"doc": 2, "media": 1, "system": 1}
+PROGRESS_SECONDS = 1
 
 # Queue.
 STALE_SECONDS, STARTUP_STALE_SECONDS, RETRY_SECONDS, MAX_ATTEMPTS = 120, 60, 30, 3

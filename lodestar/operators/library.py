@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.constants import BACKLOG_PRIORITY, FILE_STATUSES, KIND_PRIORITY, OTHER_SECONDS, RECENT_CONVERSATIONS, SECONDS_PER_FILE, SECONDS_PER_MB
+from lodestar.constants import BACKLOG_PRIORITY, FILE_STATUSES, KIND_PRIORITY, OTHER_SECONDS, PREVIEW_MAX_ENTRIES, RECENT_CONVERSATIONS, SECONDS_PER_FILE, SECONDS_PER_MB
 from lodestar.functions.files import extension, ignored_name, kind_of
 from lodestar.operators.work_queue import seconds
 
@@ -70,12 +70,28 @@ def status_summary(files: DataFrame) -> DataFrame:
     return files.agg(*[F.count_if(F.col("status") == s).alias(s) for s in FILE_STATUSES])
 
 
+def _priced(files: DataFrame) -> DataFrame:
+    """Files with their kind (null: not supported, or to be ignored) and the estimated seconds of work on them."""
+    kind = F.when(~ignored_name(F.col("file_name")), kind_of(F.col("file_name")))
+    cost = lookup(SECONDS_PER_FILE, F.col("kind"), OTHER_SECONDS) + lookup(SECONDS_PER_MB, F.col("kind"), OTHER_SECONDS) * F.col("size_bytes") / 1_048_576
+    return files.withColumn("kind", kind).withColumn("cost", F.round(cost, 6))
+
+
 def folder_preview(files: DataFrame) -> DataFrame:
     """Supported files by extension: number, bytes and estimated seconds of work (rounded half to even)."""
-    rows = files.where(~ignored_name(F.col("file_name"))).withColumn("kind", kind_of(F.col("file_name"))).where("kind IS NOT NULL")
-    cost = lookup(SECONDS_PER_FILE, F.col("kind"), OTHER_SECONDS) + lookup(SECONDS_PER_MB, F.col("kind"), OTHER_SECONDS) * F.col("size_bytes") / 1_048_576
-    by = rows.groupBy(F.substring(extension(F.col("file_name")), 2, 20).alias("ext"))
-    return by.agg(F.count("*").alias("n"), F.sum("size_bytes").alias("total_bytes"), F.bround(F.sum(F.round(cost, 6)), 0).alias("estimated_seconds"))
+    by = _priced(files).where("kind IS NOT NULL").groupBy(F.substring(extension(F.col("file_name")), 2, 20).alias("ext"))
+    return by.agg(F.count("*").alias("n"), F.sum("size_bytes").alias("total_bytes"), F.bround(F.sum("cost"), 0).alias("estimated_seconds"))
+
+
+def preview_summary(files: DataFrame, most: int = PREVIEW_MAX_ENTRIES) -> DataFrame:
+    """The preview in one row; ``partial`` says that there are more entries than a preview is meant for. All are counted."""
+    of_kind = lambda c: F.sum(F.when(F.col("kind").isNotNull(), F.col(c)))
+    return _priced(files).agg(
+        F.count("kind").alias("n"),
+        F.coalesce(of_kind("size_bytes"), F.lit(0)).alias("total_bytes"),
+        F.coalesce(F.bround(of_kind("cost"), 0), F.lit(0.0)).alias("estimated_seconds"),
+        (F.count("*") > most).alias("partial"),
+    )
 
 
 def due_folders(folders: DataFrame, now: Column, interval: int) -> DataFrame:
@@ -83,9 +99,13 @@ def due_folders(folders: DataFrame, now: Column, interval: int) -> DataFrame:
 
 
 def unchanged_files(files: DataFrame, digests: DataFrame, model: str) -> DataFrame:
-    """Whether indexing a file again would change nothing: same digest, indexed, same model."""
-    both = files.join(digests.select("id", F.col("sha256").alias("now_sha")), "id")
-    return both.select("id", (F.col("sha256").eqNullSafe(F.col("now_sha")) & (F.col("status") == "indexed") & (F.col("model") == model)).alias("unchanged"))
+    """Whether indexing a file again would change nothing: same digest, indexed, same model, and not forced.
+
+    A boolean column ``force`` of ``digests`` says which files are to be read whatever they hold.
+    """
+    forced = F.coalesce(F.col("force"), F.lit(False)) if "force" in digests.columns else F.lit(False)
+    both = files.join(digests.select("id", F.col("sha256").alias("now_sha"), forced.alias("forced")), "id")
+    return both.select("id", (F.col("sha256").eqNullSafe(F.col("now_sha")) & (F.col("status") == "indexed") & (F.col("model") == model) & ~F.col("forced")).alias("unchanged"))
 
 
 def conversation_view(citations: DataFrame, files: DataFrame) -> DataFrame:
@@ -134,10 +154,11 @@ def folder_cascade(folder_ids: DataFrame, projects: DataFrame, files: DataFrame,
 
 
 def mark_deleted(files: DataFrame, removed: DataFrame) -> DataFrame:
-    """Files after removal: removed ones stay as tombstones without a digest."""
+    """Files after removal: removed ones stay as tombstones without a digest and, if there is such a column, an error."""
     rows = files.join(removed.select("id", F.lit(True).alias("is_removed")), "id", "left")
     hit = F.coalesce("is_removed", F.lit(False))
-    return rows.select("id", F.when(hit, "deleted").otherwise(F.col("status")).alias("status"), F.when(~hit, F.col("sha256")).alias("sha256"))
+    emptied = [F.when(~hit, F.col(c)).alias(c) for c in ("sha256", "error") if c in files.columns]
+    return rows.select("id", F.when(hit, "deleted").otherwise(F.col("status")).alias("status"), *emptied)
 
 
 def chunks_left(chunks: DataFrame, removed: DataFrame) -> DataFrame:
@@ -198,9 +219,14 @@ def outdated_index(files: DataFrame, version: int, model: str) -> DataFrame:
 
 
 def browse(listing: DataFrame) -> DataFrame:
-    """Folders of a listing (name, is_dir) in the order of a browser: visible ones, by name without case."""
+    """Visible folders of a listing (name, is_dir) with what a browser orders them by: the name without case, then the name."""
     visible = listing.where(F.col("is_dir") & ~F.substring("name", 1, 1).isin(".", "$", "~"))
-    return visible.select("name", F.row_number().over(Window.orderBy(F.lower("name"), "name")).alias("place"))
+    return visible.select("name", F.lower("name").alias("sort_key"))
+
+
+def model_list(models: DataFrame) -> DataFrame:
+    """Enabled models with what they are listed by: the default ones first, then the name."""
+    return models.where("enabled").select("id", "name", F.concat(F.when(F.col("is_default"), "0 ").otherwise("1 "), "name").alias("sort_key"))
 
 
 def valid_interval(seconds: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.constants import LOST_WORKER, RETRY_SECONDS, STALE_SECONDS
+from lodestar.constants import LOST_WORKER, PROGRESS_SECONDS, RETRY_SECONDS, STALE_SECONDS
 
 
 def seconds(n: Column | int) -> Column:
@@ -24,11 +24,31 @@ def enqueue(jobs: DataFrame, new: DataFrame) -> DataFrame:
     return new.where("dedupe_key IS NULL").unionByName(keyed)
 
 
-def claim(jobs: DataFrame, now: Column) -> DataFrame:
-    """The next job of each lane: highest priority, then lowest id, among queued ones that are due."""
+def claim(jobs: DataFrame, now: Column, widths: dict[str, int] | None = None) -> DataFrame:
+    """The next job of each lane: highest priority, then lowest id, among queued ones that are due.
+
+    ``widths`` says how many jobs of a lane run at a time (one, if it does not name the lane): that many less the running
+    ones are claimed. Without it one job of each lane is claimed.
+    """
     order = Window.partitionBy("lane").orderBy(F.col("priority").desc(), "id")
     due = jobs.where(F.col("status") == "queued").where(F.col("run_after") <= now)
-    return due.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth").withColumn("status", F.lit("running")).withColumn("attempts", F.col("attempts") + 1)
+    most = max([1, *(widths or {}).values()])
+    first = due.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    if widths is None:
+        first = first.drop("nth")
+    else:
+        width = F.lit(1)
+        for lane, n in widths.items():
+            width = F.when(F.col("lane") == lane, n).otherwise(width)
+        busy = jobs.where("status = 'running'").groupBy("lane").agg(F.count("*").alias("busy"))
+        first = first.join(busy, "lane", "left").where(F.col("nth") <= width - F.coalesce("busy", F.lit(0))).drop("nth", "busy")
+    return first.withColumn("status", F.lit("running")).withColumn("attempts", F.col("attempts") + 1)
+
+
+def complete(jobs: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """Running jobs (id in ``done``) once they are through."""
+    rows = jobs.where("status = 'running'").join(done.select("id"), "id", "left_semi")
+    return rows.select("id", F.lit("done").alias("new_status"), F.lit(1.0).alias("progress"), now.alias("finished_at"))
 
 
 def depth(jobs: DataFrame) -> DataFrame:
@@ -86,6 +106,11 @@ def progress(heartbeats: DataFrame) -> DataFrame:
     return heartbeats.groupBy("service").agg(F.max("seen_at").alias("last_seen"), F.max_by("value", F.when(F.col("value").isNotNull(), stamp)).alias("progress"))
 
 
+def throttled(reports: DataFrame, every: int = PROGRESS_SECONDS) -> DataFrame:
+    """Progress reports to be written: the last of each service in each span of ``every`` seconds."""
+    return reports.groupBy("service", F.window("seen_at", f"{every} seconds")).agg(F.max(F.struct("seen_at", "id", "value")).alias("last")).select("service", "last.*")
+
+
 def alive(heartbeats: DataFrame, now: Column, within: int) -> DataFrame:
     """Last sign of life of each service and whether it is recent."""
     seen = heartbeats.groupBy("service").agg(F.max("seen_at").alias("last_seen"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.constants import ALIVE_SECONDS, LOST_WORKER, RESCAN_SECONDS
@@ -161,11 +160,7 @@ QUERIES: dict[str, Query] = {
         (SELECT *, lead(role) OVER w AS nr, lead(content) OVER w AS nc FROM messages WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'""",
     ),
     "default_model": Query(("models",), lambda m: library.default_model(m, None), "SELECT id, name FROM models WHERE enabled ORDER BY is_default DESC, id LIMIT 1"),
-    "model_list": Query(
-        ("models",),
-        lambda m: m.where("enabled").select("id", "name", F.row_number().over(Window.orderBy(F.col("is_default").desc(), "name")).alias("place")),
-        "SELECT id, name, row_number() OVER (ORDER BY is_default DESC, name) AS place FROM models WHERE enabled",
-    ),
+    "model_list": Query(("models",), library.model_list, "SELECT id, name, concat(CASE WHEN is_default THEN '0 ' ELSE '1 ' END, name) AS sort_key FROM models WHERE enabled"),
     "settings_latest": Query(
         ("heartbeats",),
         lambda h: library.latest_settings(h.select("id", F.col("service").alias("key"), F.col("user_id").cast("string").alias("value"), F.col("seen_at").alias("updated_at")), preset(h)),
@@ -225,7 +220,7 @@ QUERIES: dict[str, Query] = {
     "folder_browser": Query(
         ("files",),
         lambda f: library.browse(f.select(F.concat("file_name", "id").alias("name"), (F.col("project_id") == 7).alias("is_dir"))),
-        "SELECT name, row_number() OVER (ORDER BY lower(name), name) AS place FROM (SELECT concat(file_name, id) AS name FROM files WHERE project_id = 7) WHERE substring(name, 1, 1) NOT IN ('.', '$', '~')",
+        "SELECT name, lower(name) AS sort_key FROM (SELECT concat(file_name, id) AS name FROM files WHERE project_id = 7) WHERE substring(name, 1, 1) NOT IN ('.', '$', '~')",
     ),
     "setting_bounds": Query(("files",), lambda f: f.select("id", library.valid_interval(F.col("size_bytes") / 50000).alias("valid")), "SELECT id, size_bytes / 50000 BETWEEN 30 AND 86400 AS valid FROM files"),
     "path_filter": Query(("files",), lambda f: f.where(F.lower("rel_path").contains("brand#1")).select("id"), "SELECT id FROM files WHERE contains(lower(rel_path), 'brand#1')"),

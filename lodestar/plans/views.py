@@ -56,5 +56,8 @@ VIEWS = {
     "marked": View("documents", {"id": "doc_id", "text": ("regexp_replace(text, '\\\\n(Th|En|De|La)', '\\n## $1')", "regexp_replace(text, '\\n(Th|En|De|La)', chr(10) || '## \\1', 'g')")}),
     "spaced": View("documents", {"id": "doc_id", "text": ("replace(text, '.\\n', '.\\n \\n')", "replace(text, '.' || chr(10), '.' || chr(10) || ' ' || chr(10))")}),
     "places": View("lineitem", {"place": "l_orderkey * 10 + l_linenumber", "file": "l_partkey % 50", "section": "CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_linestatus END", "page": "l_linenumber - 1"}),
+    "logins": View("orders", {"id": "o_orderkey", "user_id": "o_custkey", "happened_at": "CAST(o_orderdate AS TIMESTAMP)"}),
+    "headed": View("lineitem", {"file_id": "l_partkey", "heading": "CASE WHEN l_linenumber = 4 THEN NULL WHEN l_linenumber = 5 THEN '' ELSE concat(l_returnflag, ' ', l_linenumber) END"}),
+    "file_events": View("events", {"file_id": "user_id", "happened_at": "ts", "id": "event_id", "event": "CASE WHEN event_id % 23 = 0 THEN 'removed' WHEN event_id % 11 = 0 THEN 'requeued' WHEN event_id % 3 = 0 THEN 'claimed' WHEN event_id % 3 = 1 THEN 'indexed' ELSE 'failed' END"}),
     "labels": View("labels", {"id": "doc_id", "quality": "quality", "toxic": "toxic"}),
 }
