@@ -13,6 +13,7 @@ from lodestar.operators import answers as A
 from lodestar.operators import chunking as C
 from lodestar.plans.base import Query
 from lodestar.sources.segments import text_windows
+from lodestar.streaming import watch
 
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 ASKING = ", ".join(f"'{w}'" for w in (*STOP_WORDS, *QUESTION_WORDS))
@@ -243,9 +244,9 @@ QUERIES: dict[str, Query] = {
     ),
     "watch_debounce": Query(
         ("heartbeats",),
-        lambda h: h.groupBy("user_id", F.session_window("seen_at", "3600 seconds").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("first_seen"), "n"),
+        lambda h: watch.scans(h.withColumnRenamed("user_id", "folder_id"), gap=3_600),
         """WITH g AS (SELECT *, CASE WHEN seen_at - lag(seen_at) OVER (PARTITION BY user_id ORDER BY seen_at) < INTERVAL 3600 SECONDS THEN 0 ELSE 1 END AS new FROM heartbeats),
-        s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY seen_at) AS k FROM g) SELECT user_id, min(seen_at) AS first_seen, count(*) AS n FROM s GROUP BY user_id, k""",
+        s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY seen_at) AS k FROM g) SELECT user_id AS folder_id, max(seen_at) + INTERVAL 3600 SECONDS AS due_at, count(*) AS n_events FROM s GROUP BY user_id, k""",
     ),
     "checked_answers": Query(
         ("messages",),

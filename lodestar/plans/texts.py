@@ -12,6 +12,7 @@ from lodestar.functions.vectors import hashed_counts, unit, with_counts
 from lodestar.lineage import written
 from lodestar.operators import search
 from lodestar.plans.base import Query
+from lodestar.sources import store
 from lodestar.sources.segments import markdown_sections, paragraph_units, text_windows
 
 DIM = 64
@@ -125,6 +126,13 @@ SNIPPET = "trim(regexp_replace(regexp_replace(text, '\\[Screenshot text\\]\\s*',
 LINES = "SELECT id, unnest(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)), 1) AS n"
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
+def cache_misses(messages):
+    """Users' messages whose text no other role has said: the others' are in the cache."""
+    passages = messages.withColumnRenamed("content", "passage")
+    cache = passages.where("role <> 'user'").select(store.text_hash("model").alias("text_hash"))
+    return store.embed_missing(passages.where("role = 'user'"), cache, "model", lambda new: new.select("text_hash"))
+
+
 QUERIES: dict[str, Query] = {
     "search_text_normalise": Query(("documents",), lambda d: d.select("id", F.md5(T.search_text(F.col("text")).cast("binary")).alias("h")), f"SELECT id, md5({CAMEL.format('text')}) AS h FROM documents"),
     "section_titles": Query(("passages",), lambda p: p.select("chunk", T.section_title(F.concat(F.lit("3.1 "), "heading", F.lit(" › 2 RequestToken"))).alias("title")), "SELECT chunk, title FROM (SELECT chunk, concat('3.1 ', heading, ' › 2 RequestToken') AS heading FROM passages) x, LATERAL (SELECT " + TITLE + " AS title)"),
@@ -179,7 +187,7 @@ QUERIES: dict[str, Query] = {
     ),
     "embedding_cache_misses": Query(
         ("messages",),
-        lambda m: m.where("role = 'user'").select(F.sha2(F.concat(F.lit("model\x00"), "content"), 256).alias("text_hash")).distinct().join(m.where("role <> 'user'").select(F.sha2(F.concat(F.lit("model\x00"), "content"), 256).alias("text_hash")), "text_hash", "left_anti"),
+        cache_misses,
         "SELECT DISTINCT sha256(concat('model', chr(0), content)) AS text_hash FROM messages u WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM messages c WHERE c.role <> 'user' AND c.content = u.content)",
     ),
     "vector_topk": Query(

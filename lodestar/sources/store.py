@@ -4,34 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.constants import INDEX_VERSION
+from lodestar.lineage import remove, written
 
+#: Buckets of a new store: a bucket is one writer's work, so a large corpus asks for more (``swap_chunks``, ``rebucketed``).
 BUCKETS = 64
 
 
-def bucket_of(file_id: str = "file_id"):
-    return F.pmod(F.xxhash64(file_id), F.lit(BUCKETS)).cast("int")
+def bucket_of(buckets: int, file_id: str = "file_id") -> Column:
+    return F.pmod(F.xxhash64(file_id), F.lit(buckets)).cast("int")
 
 
-def swap_chunks(spark: SparkSession, path: str, chunks: DataFrame, touched: DataFrame) -> None:
+def _placed(chunks: DataFrame, buckets: int) -> DataFrame:
+    return chunks.withColumn("buckets", F.lit(buckets)).withColumn("bucket", bucket_of(buckets)).withColumn("index_version", F.lit(INDEX_VERSION))
+
+
+def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
+    """A store's chunks, with the columns of ``like``, or None where there is no store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(like.schema).parquet(path).select(*like.columns) if there else None
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket").parquet(path)
+
+
+def swap_chunks(spark: SparkSession, path: str, chunks: DataFrame, touched: DataFrame, buckets: int = BUCKETS) -> None:
     """Replace all chunks of the ``touched`` files (file_id) by ``chunks``, in the buckets they are in and no others.
 
-    Buckets are directories; only those with a touched file are rewritten. The new contents are computed before they
-    are written (a checkpoint), since Spark cannot read what it overwrites.
+    Buckets are directories; only those with a touched file are rewritten, and those that hold nothing any more removed.
+    The new contents are computed before they are written (a checkpoint), since Spark cannot read what it overwrites. A
+    store keeps the number of buckets that it was made with; ``buckets`` is that of a new or an empty one.
     """
-    from_now = chunks.withColumn("bucket", bucket_of()).withColumn("index_version", F.lit(INDEX_VERSION))
-    buckets = [r[0] for r in touched.select(bucket_of().alias("b")).distinct().collect()]  # at most BUCKETS numbers
-    try:
-        old = spark.read.parquet(path).where(F.col("bucket").isin(buckets)).join(touched.select("file_id").distinct(), "file_id", "left_anti")
-        from_now = from_now.unionByName(old.select(*from_now.columns))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    from_now = from_now.checkpoint(eager=True)
-    from_now.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    stored = _stored(spark, path, _placed(chunks, buckets))
+    if stored is not None and (first := stored.select("buckets").first()) is not None:
+        buckets = first[0]
+    from_now = _placed(chunks, buckets)
+    hit = [r[0] for r in touched.select(bucket_of(buckets).alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+    if stored is not None:
+        old = stored.where(F.col("bucket").isin(hit)).join(touched.select("file_id").distinct(), "file_id", "left_anti")
+        from_now = from_now.unionByName(old)
+    from_now = written(from_now)
+    _write(from_now, path)
+    full = {r[0] for r in from_now.select("bucket").distinct().collect()}
+    for b in set(hit) - full:
+        remove(spark, f"{path}/buckets={buckets}/bucket={b}")
+
+
+def rebucketed(spark: SparkSession, path: str, to: str, buckets: int) -> None:
+    """The store at ``path`` written anew to ``to`` with another number of buckets."""
+    _write(spark.read.parquet(path).withColumn("buckets", F.lit(buckets)).withColumn("bucket", bucket_of(buckets)), to)
 
 
 def text_hash(model: str, passage: str = "passage"):
