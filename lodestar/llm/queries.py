@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import query_html, query_mixing, query_packing, query_pii, query_quality, query_secrets, query_simhash, query_substring, query_tokens, query_topk
+from lodestar.llm import query_divergence, query_fill_middle, query_html, query_lines, query_mixing, query_packing, query_pii, query_quality, query_secrets, query_simhash, query_substring, query_tokens, query_topk
 
-MODULES = [query_html, query_mixing, query_packing, query_pii, query_quality, query_secrets, query_simhash, query_substring, query_tokens, query_topk]
+MODULES = [query_divergence, query_fill_middle, query_html, query_lines, query_mixing, query_packing, query_pii, query_quality, query_secrets, query_simhash, query_substring, query_tokens, query_topk]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
