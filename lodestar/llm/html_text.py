@@ -5,6 +5,9 @@ content, from where it stands (elements, roles, class and id words of its ancest
 length and punctuation. Those become the capacities to the two terminals; neighbouring blocks and blocks that follow
 each other under one parent are tied by smoothness edges. A maximum flow then separates content from boilerplate.
 
+What is marked as outside the article is not tied to what is not: an advert between two paragraphs of an article is an advert
+whatever stands around it. Inline elements that are hidden have no text.
+
 The classifier's weights are parameters (``Weights``), set by hand: there are no labelled pages to fit them to.
 
 Where an element stands is evidence of its words, not of the whole page: html and body are never marked as outside, nor is
@@ -84,6 +87,7 @@ class Element:
     name: str
     mark: int  # -1 outside the article, 1 inside, 0 says nothing; inherited from the nearest ancestor that says something
     number: int
+    unseen: bool = False  # an inline element that is hidden
 
 
 @dataclass
@@ -99,6 +103,14 @@ class Block:
         return " ".join("".join(self.pieces).split())
 
 
+def values_of(attributes: str) -> dict[str, str]:
+    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
+
+
+def is_hidden(values: dict[str, str]) -> bool:
+    return "hidden" in values or values.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I))
+
+
 def mark_of(name: str, attributes: str, inherited: int, lifted: bool = False) -> int:
     """Whether an element lies inside or outside the article: its class, id and role, then its name, then its parent.
 
@@ -107,8 +119,8 @@ def mark_of(name: str, attributes: str, inherited: int, lifted: bool = False) ->
     if name in WHOLE:
         return inherited
     if attributes and "=" in attributes or "hidden" in attributes:
-        values = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
-        if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I):
+        values = values_of(attributes)
+        if is_hidden(values):
             return -1
         role = values.get("role", "").lower()
         if role in OUTSIDE_ROLES and not (lifted and role == "form"):
@@ -185,12 +197,12 @@ def blocks_of(html: str) -> list[Block]:
 def _read(html: str, lifted: frozenset[int], places: list[Place] | None) -> list[Block]:
     out: list[Block] = []
     stack = [Element("", 0, 0)]
-    count = at = links = 0
+    count = at = links = unseen = 0
     now: Block | None = None
 
     def say(raw: str) -> None:
         nonlocal now
-        if not raw:
+        if not raw or unseen:
             return
         text = unescape(raw) if "&" in raw else raw
         if now is None:
@@ -221,9 +233,10 @@ def _read(html: str, lifted: frozenset[int], places: list[Place] | None) -> list
         return ahead[name]
 
     def pop(to: int) -> None:
-        nonlocal links
+        nonlocal links, unseen
         for e in stack[to:]:
             links -= e.name == "a"
+            unseen -= e.unseen
         del stack[to:]
 
     while True:
@@ -283,8 +296,10 @@ def _read(html: str, lifted: frozenset[int], places: list[Place] | None) -> list
             strong = own < 0 and mark_of(name, attributes, 0, True) < 0
             core = 0 if own < 1 else 3 if name == "main" or MAIN_ROLE.search(attributes) else 2 if name == "article" else 1
             places.append(Place(above, own < 0 and not strong, strong or places[above].strong, core))
-        stack.append(Element(name, mark_of(name, attributes, stack[-1].mark, count in lifted), count))
+        inline = bool(attributes) and name not in BLOCK and is_hidden(values_of(attributes))
+        stack.append(Element(name, mark_of(name, attributes, stack[-1].mark, count in lifted), count, inline))
         links += name == "a"
+        unseen += inline
     flush()
     return [b for b in out if b.text]
 
@@ -358,18 +373,19 @@ class Flow:
 def label_blocks(blocks: Sequence[Block], w: Weights) -> list[bool]:
     """Which blocks are content: the source side of the minimum cut."""
     flow = Flow(len(blocks) + 2)
-    last: dict[int, int] = {}
+    last: dict[tuple[int, bool], int] = {}
     for i, b in enumerate(blocks):
         odds = round(1000 * log_odds(b, w))
         if odds > 0:
             flow.tie(0, i + 2, odds)
         elif odds < 0:
             flow.tie(i + 2, 1, -odds)
-        if i:
+        outside = b.mark < 0
+        if i and (blocks[i - 1].mark < 0) == outside:
             flow.tie(i + 1, i + 2, round(1000 * w.neighbour), round(1000 * w.neighbour))
-        if b.parent in last:
-            flow.tie(last[b.parent] + 2, i + 2, round(1000 * w.sibling), round(1000 * w.sibling))
-        last[b.parent] = i
+        if (b.parent, outside) in last:
+            flow.tie(last[b.parent, outside] + 2, i + 2, round(1000 * w.sibling), round(1000 * w.sibling))
+        last[b.parent, outside] = i
     return flow.source_side()[2:]
 
 

@@ -7,6 +7,7 @@ import random
 import re
 from html import unescape
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -56,6 +57,34 @@ def test_edge_cases(spark):
     assert H.extract_text(df.limit(0)).collect() == []
 
 
+MARKED = ['class="ad"', 'class="advert"', 'class="sponsor"', 'class="newsletter"', 'class="cookie-notice"', "hidden", 'style="display:none"', 'aria-hidden="true"', 'class="share-bar"', 'role="alert"']
+
+
+@pytest.mark.parametrize("mark", MARKED)
+@pytest.mark.parametrize("element", ["p", "h2", "blockquote", "div", "section"])
+@pytest.mark.parametrize("n_words", [3, 50, 400])
+def test_marked_blocks_inside_an_article(mark, element, n_words):
+    kept = [f"Paragraph {k} of the article, which goes on for some more words than that." for k in range(4)]
+    marked = f"<{element} {mark}>{'bought ' * n_words}today.</{element}>"
+    for at in range(len(kept) + 1):
+        inside = "".join([f"<p>{x}</p>" for x in kept[:at]] + [marked] + [f"<p>{x}</p>" for x in kept[at:]])
+        for page in (f"<body><article>{inside}</article></body>", f"<main><div>{inside}</div></main>", f"<div class='content'>{inside}</div>"):
+            assert H.main_text(page) == " ".join(kept), (at, page[:80])
+
+
+@pytest.mark.parametrize("mark", MARKED)
+def test_marked_items_cells_and_inline_elements(mark):
+    items = ["One item of a list in the article.", "Another item of the list.", "The last item."]
+    assert H.main_text("<article><ul>" + f"<li {mark}>{'bought ' * 50}</li>".join(f"<li>{x}</li>" for x in items) + "</ul></article>") == " ".join(items)
+    assert H.main_text("<article><table><tr>" + f"<td {mark}>{'bought ' * 50}</td>".join(f"<td>{x}</td>" for x in items) + "</tr></table></article>") == " ".join(items)
+    assert H.main_text(f"<article><p>{items[0]}</p><div {mark}><p>{'bought ' * 50}</p><ul><li>now</li></ul></div><p>{items[1]}</p></article>") == " ".join(items[:2])
+
+
+@pytest.mark.parametrize("mark", ["hidden", 'style="display: none"', 'aria-hidden="true"'])
+def test_hidden_inline_elements(mark):
+    assert H.main_text(f"<article><p>Seen <span {mark}>not <b>seen</b> <i>at all</i></span>here.</p><p><em {mark}>Not seen.</em>Seen.</p></article>") == "Seen here. Seen."
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 10**6))
 def test_cut_is_least(seed):
