@@ -10,6 +10,10 @@ house number.
 Spans of a kind are leftmost and do not overlap; a span that fails its check is dropped together with the text it
 covered, as when a regular expression's matches are filtered. Starts and ends count code points, ends are exclusive.
 
+What bounds the added kinds is what they are, not how far is looked: a cue's number stands right after it or after fillers
+(any number of them); a street's name has one or two words before its end where the number follows, and a number and one
+to four words where it precedes; words may have any length.
+
 Defined results: null text is empty and has no spans; repeated rows and null ids are rows like any others; texts are
 read whole, one row at a time; an empty table gives an empty result; input columns named like a result are replaced.
 """
@@ -38,8 +42,8 @@ DIGITS = re.compile(r"[0-9]+")
 IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What may stand between a cue and its number.
-FILLER = r"s?(?:[\x20:=#().,-]|\b(?:numbers?|no|nr|num|code|card|account|is|was|are|of|the|my|your|his|her|ist|lautet|est)\b){0,24}?"
+#: What may stand between a cue and its number, however much of it: it is taken whole, as no number begins within it.
+FILLER = re.compile(r"s?(?:[\x20:=#().,-]|\b(?:numbers?|no|nr|num|code|card|account|is|was|are|of|the|my|your|his|her|ist|lautet|est)\b)*+", re.I)
 #: Cue (in small letters; its other usual spellings follow) -> kind.
 CUES = {
     "iban": "iban",
@@ -49,11 +53,10 @@ CUES = {
     "passport": "passport", "reisepass": "passport", "passeport": "passport", "pasaporte": "passport",
 }
 AFTER_CUE = {
-    "ssn": re.compile(FILLER + r"(?<![0-9-])([0-9]{3}([\x20-]?)[0-9]{2}\2[0-9]{4})(?![0-9-])", re.I),
-    "account": re.compile(FILLER + r"(?<![0-9A-Za-z-])([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9A-Za-z-])", re.I),
-    "passport": re.compile(FILLER + r"(?<![0-9A-Za-z])([A-Z]{0,2}[0-9]{6,9}|[CFGHJKLMNPRTVWXYZ0-9]{9}(?<=[0-9]))(?![0-9A-Za-z])", re.I),
+    "ssn": re.compile(r"(?<![0-9-])([0-9]{3}([\x20-]?)[0-9]{2}\2[0-9]{4})(?![0-9-])", re.I),
+    "account": re.compile(r"(?<![0-9A-Za-z-])([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9A-Za-z-])", re.I),
+    "passport": re.compile(r"(?<![0-9A-Za-z])([A-Z]{0,2}[0-9]{6,9}|[CFGHJKLMNPRTVWXYZ0-9]{9}(?<=[0-9]))(?![0-9A-Za-z])", re.I),
 }
-IBAN_CUE = re.compile(FILLER + r"(?=[A-Za-z]{2}[0-9]{2})", re.I)
 #: Lengths of IBANs by country (fixed values).
 IBAN_LENGTHS = {
     "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
@@ -65,9 +68,10 @@ IBAN_LENGTHS = {
 NUMBER_FIRST = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive", "Court", "Square", "Terrace", "Crescent", "St.", "Ave", "Rd.", "Blvd")
 NUMBER_LAST = ("straße", "strasse", "Straße", "Strasse", "gasse", "allee", "platz")
 STREET_BEFORE = re.compile(r"(?<![\w.,-])[0-9]{1,5}[A-Za-z]?\x20(?:[A-Z0-9][\w.'’-]*\x20){1,4}\Z")
-STREET_AFTER = re.compile(r"\x20[0-9]{1,4}\x20?[a-z]?\b")
+STREET_AFTER = re.compile(r"\x20[0-9]{1,4}(?:\x20?[a-z])?\b")
 STREET_NAME = re.compile(r"(?<!\w)[A-ZÄÖÜ][\w-]*(?:\x20[A-ZÄÖÜ]?[\w-]+)?\Z")
-LOOK_BACK = 80
+#: Words before the end of a street's name: the number and up to four more.
+WORDS_BEFORE = 5
 LOGIN = re.compile(r"[A-Za-z0-9._~%-]+:[^\s/@]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 
@@ -95,13 +99,29 @@ def iban_at(text: str, start: int) -> int | None:
 
 
 def street_at(text: str, start: int, end: int) -> tuple[int, int] | None:
-    """The street and house number around the end of a street's name at start..end."""
+    """The street and house number around the end of a street's name at start..end; words may have any length.
+
+    What is read backwards is the words that can belong to it, so that every word is read a few times at most.
+    """
     if text[start:end] in NUMBER_LAST:
-        name = STREET_NAME.search(text[max(0, start - LOOK_BACK) : end])
         number = STREET_AFTER.match(text, end)
-        return (end - len(name[0]), number.end()) if name and number else None
-    before = STREET_BEFORE.search(text[max(0, start - LOOK_BACK) : start])
-    return (start - len(before[0]), end) if before and not text[end : end + 1].isalnum() else None
+        if not number:
+            return None
+        at = start
+        for step in (0, 1):
+            if step and at and text[at - 1] == " ":
+                at -= 1
+            while at and (text[at - 1].isalnum() or text[at - 1] in "_-"):
+                at -= 1
+        name = STREET_NAME.search(text, at, end)
+        return (name.start(), number.end()) if name else None
+    if text[end : end + 1].isalnum():
+        return None
+    at = start
+    for _ in range(WORDS_BEFORE + 1):
+        at = max(0, text.rfind(" ", 0, at))
+    before = STREET_BEFORE.search(text, at, start)
+    return (before.start(), end) if before else None
 
 
 def ssn_holds(text: str) -> bool:
@@ -128,6 +148,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         return []
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     free = dict.fromkeys(KINDS, 0)  # where the next span of a kind may begin
+    filler = (0, -1)  # the last stretch of fillers: cues within it lead to its end
     for end, (anchor, size) in anchors().iter(text):
         if anchor == "digit":
             if end >= free["card"]:
@@ -172,11 +193,12 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 spans["street"].append(found)
                 free["street"] = found[1]
         elif end + 1 >= free[kind := anchor.removeprefix("after ")] and not text[end + 1 - size - 1 : end + 1 - size].isalnum():
+            if not filler[0] <= end + 1 <= filler[1]:
+                filler = FILLER.match(text, end + 1).span()
             if kind == "iban":
-                m = IBAN_CUE.match(text, end + 1)
-                start, stop = (m.end(), iban_at(text, m.end())) if m else (0, None)
+                start, stop = filler[1], iban_at(text, filler[1])
             else:
-                m = AFTER_CUE[kind].match(text, end + 1)
+                m = AFTER_CUE[kind].match(text, filler[1])
                 start, stop = m.span(1) if m and (kind != "ssn" or ssn_holds(m[1])) else (0, None)
             if stop:
                 spans[kind].append((start, stop))

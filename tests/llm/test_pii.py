@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -104,6 +105,36 @@ def test_recall_of_planted_values(seed):
         assert pii.find_spans(clean) == []
 
 
+@pytest.mark.parametrize("size", [1, 39, 72, 79, 80, 81, 128, 500, 5_000])
+def test_names_of_any_length(size):
+    name = ("Xx" * size)[:size]
+    for text, value in (
+        (f"at {name}straße 5 in town", f"{name}straße 5"), (f"at 😀 {name} {name}gasse 12 b, town", f"{name} {name}gasse 12 b"), (f"at {name}-{name}platz 7.", f"{name}-{name}platz 7"),
+        (f"at 12 {name} {name} {name} {name} Street in town", f"12 {name} {name} {name} {name} Street"), (f"no 7 7 12 {name} Road", f"7 7 12 {name} Road"), (f"{name} {name} 1a {name} Lane", f"1a {name} Lane"),
+    ):
+        assert [text[a:b] for k, a, b in pii.find_spans(text) if k == "street"] == [value]
+    for text in (f"x{name.lower()}straße 5", f"12 {name} {name} {name} {name} {name} Street", f"12{name} Street", f"-12 {name} Street", f"12 {name} Streets"):
+        assert not [k for k, *_ in pii.find_spans(text) if k == "street"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 23, 24, 25, 1_000])
+def test_fillers_of_any_length(n):
+    text = f"passport {'number: ' * n}C01X00T47, SSN {'no. ' * n}078-05-1120; account number {'is ' * n}12345678, IBAN {'= ' * n}DE89370400440532013000 x"
+    got = [(k, text[a:b]) for k, a, b in pii.find_spans(text) if k in pii.ADDED_KINDS]
+    assert got == [("iban", "DE89370400440532013000"), ("ssn", "078-05-1120"), ("account", "12345678"), ("passport", "C01X00T47")]
+
+
+@pytest.mark.parametrize("piece", ["account: ", "Xx", "straße", "X-", "12 Street ", "Xstraße 5", "1 ", "Street", "passport no ", "+1", "a://", "@a", "DE"])
+def test_time_is_linear(piece):
+    def seconds(n):
+        began = time.perf_counter()
+        pii.find_spans(piece * n + "straße 5 Street")
+        return time.perf_counter() - began
+
+    n = 100_000
+    assert min(seconds(4 * n) for _ in range(2)) < 10 * max(0.05, min(seconds(n) for _ in range(3)))
+
+
 def test_rows(spark):
     long = "word " * 200_000 + "end@of.text"
     rows = [(1, "a@b.c", "x"), (1, "a@b.c", "x"), (None, "1.2.3.4", None), (2, None, "y"), (3, "", "z"), (4, long, "w")]
