@@ -1,63 +1,78 @@
-"""Stores: chunks replaced by file, embeddings kept by content, versions that force a new index."""
+"""Stores: chunks replaced by file, embeddings kept by content, versions and models that force a new index."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.constants import INDEX_VERSION
-from lodestar.lineage import remove, written
+from lodestar.sources import versions
 
 #: Buckets of a new store: a bucket is one writer's work, so a large corpus asks for more (``swap_chunks``, ``rebucketed``).
 BUCKETS = 64
 
 
-def bucket_of(buckets: int, file_id: str = "file_id") -> Column:
-    return F.pmod(F.xxhash64(file_id), F.lit(buckets)).cast("int")
+def swap_chunks(spark: SparkSession, path: str, chunks: DataFrame, touched: DataFrame, buckets: int = BUCKETS, *, model: str = versions.FIRST, index_version: int = INDEX_VERSION, **options) -> versions.Snapshot:
+    """Replace all chunks of the ``touched`` files (file_id) by ``chunks``, as one commit of a versioned table.
 
+    Only the buckets of touched files are written. Every chunk carries the index version that made it; chunks of each
+    model are a generation of their own. ``options`` are those of ``versions.replace``.
+    """
+    rows = chunks.withColumn("index_version", F.lit(index_version))
+    return versions.replace(spark, path, rows, touched, key="file_id", buckets=buckets, generation=model, **options)
 
-def _placed(chunks: DataFrame, buckets: int) -> DataFrame:
-    return chunks.withColumn("buckets", F.lit(buckets)).withColumn("bucket", bucket_of(buckets)).withColumn("index_version", F.lit(INDEX_VERSION))
 
+def searched_chunks(spark: SparkSession, path: str, model: str = versions.FIRST) -> DataFrame | None:
+    """The chunks that a question encoded by ``model`` can meet: its generation's, whatever index version made them.
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
-    """A store's chunks, with the columns of ``like``, or None where there is no store."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(like.schema).parquet(path).select(*like.columns) if there else None
+    None where the store has no chunks of that model: vectors of another one say nothing to it.
+    """
+    found = versions.latest(spark, path)
+    return None if found is None or found.generation(model) is None else found.rows(spark, model)
 
 
-def _write(rows: DataFrame, path: str) -> None:
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket").parquet(path)
+def files_to_index(spark: SparkSession, path: str, files: DataFrame, model: str = versions.FIRST, index_version: int = INDEX_VERSION) -> DataFrame:
+    """The files (file_id) of which the model's generation has no chunks, or chunks of another index version."""
+    made = searched_chunks(spark, path, model)
+    if made is None:
+        return files
+    return files.join(made.where(F.col("index_version") == index_version).select("file_id").distinct(), "file_id", "left_anti")
 
 
-def swap_chunks(spark: SparkSession, path: str, chunks: DataFrame, touched: DataFrame, buckets: int = BUCKETS) -> None:
-    """Replace all chunks of the ``touched`` files (file_id) by ``chunks``, in the buckets they are in and no others.
+def switch_model(spark: SparkSession, path: str, model: str, *, keep_old: bool = False) -> bool:
+    """Search by another model from now on; false if it is searched already.
 
-    Buckets are directories; only those with a touched file are rewritten, and those that hold nothing any more removed.
-    The new contents are computed before they are written (a checkpoint), since Spark cannot read what it overwrites. A
-    store keeps the number of buckets that it was made with; ``buckets`` is that of a new or an empty one.
+    Its generation is what has been filled so far, or empty. The old one's chunks are no longer searched and go, unless
+    ``keep_old`` leaves them for switching back.
     """
-    stored = _stored(spark, path, _placed(chunks, buckets))
-    if stored is not None and (first := stored.select("buckets").first()) is not None:
-        buckets = first[0]
-    from_now = _placed(chunks, buckets)
-    hit = [r[0] for r in touched.select(bucket_of(buckets).alias("b")).distinct().collect()]  # at most ``buckets`` numbers
-    if stored is not None:
-        old = stored.where(F.col("bucket").isin(hit)).join(touched.select("file_id").distinct(), "file_id", "left_anti")
-        from_now = from_now.unionByName(old)
-    from_now = written(from_now)
-    _write(from_now, path)
-    full = {r[0] for r in from_now.select("bucket").distinct().collect()}
-    for b in set(hit) - full:
-        remove(spark, f"{path}/buckets={buckets}/bucket={b}")
+    base = versions.latest(spark, path)
+    if base is None:
+        raise KeyError(f"no store at {path}")
+    if base.searched == model and base.generation(model) is not None:
+        return False
+    if base.generation(model) is None:
+        old = next(iter(base.doc["generations"].values()))
+
+        def empty(doc: dict) -> dict:
+            doc["generations"].setdefault(model, {"parts": {}, "meta": {}, "schema": old["schema"]})
+            return doc | {"changed": {}, "changes": None}
+
+        while versions.commit(spark, versions.latest(spark, path), empty) is None:
+            pass
+    versions.promote(spark, path, model, drop_others=not keep_old)
+    return True
 
 
 def rebucketed(spark: SparkSession, path: str, to: str, buckets: int) -> None:
-    """The store at ``path`` written anew to ``to`` with another number of buckets."""
-    _write(spark.read.parquet(path).withColumn("buckets", F.lit(buckets)).withColumn("bucket", bucket_of(buckets)), to)
+    """The newest snapshot of the store at ``path`` written anew to ``to`` with another number of buckets."""
+    base = versions.latest(spark, path)
+    for name, known in base.doc["generations"].items():
+        rows = base.rows(spark, name)
+        versions.replace(spark, to, rows, rows.select(base.doc["key"]), key=base.doc["key"], buckets=buckets, generation=name, meta=known["meta"])
+    if versions.latest(spark, to) is not None and base.generation() is not None:
+        versions.promote(spark, to, base.searched)
 
 
 def text_hash(model: str, passage: str = "passage"):

@@ -14,7 +14,8 @@ from lodestar.operators import search
 from lodestar.operators import work_queue as queue
 from lodestar.sources.folders import decode, list_folder, read_texts
 from lodestar.sources.segments import markdown_sections, text_windows
-from lodestar.sources.store import embed_missing, rebucketed, swap_chunks, text_hash
+from lodestar.sources.store import embed_missing, rebucketed, searched_chunks, swap_chunks, text_hash
+from lodestar.sources.versions import latest
 from lodestar.streaming.stability import gate
 from lodestar.streaming.watch import new_files, run, scans
 
@@ -172,15 +173,15 @@ def test_stores(spark, tmp_path):
         spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
     path = str(tmp_path / "chunks")
     make = lambda rows: spark.createDataFrame(rows, "file_id long, ordinal int, text string")
+    rows = lambda at: sorted((r.file_id, r.text) for r in searched_chunks(spark, at).collect())
     swap_chunks(spark, path, make([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")]), make([(1, 0, ""), (2, 0, "")]))
     swap_chunks(spark, path, make([(1, 0, "new")]), make([(1, 0, "")]))
-    assert sorted((r.file_id, r.text) for r in spark.read.parquet(path).collect()) == [(1, "new"), (2, "c")]
-    rows = lambda at: sorted((r.file_id, r.text) for r in spark.read.parquet(at).collect())
+    assert rows(path) == [(1, "new"), (2, "c")]
     swap_chunks(spark, path, make([]), make([(2, 0, "")]))
     assert rows(path) == [(1, "new")]
     rebucketed(spark, path, other := str(tmp_path / "more"), 1_000)
     swap_chunks(spark, other, make([(3, 0, "d"), (4, 0, "e")]), make([(3, 0, ""), (4, 0, "")]))
-    assert rows(other) == [(1, "new"), (3, "d"), (4, "e")] and {r[0] for r in spark.read.parquet(other).select("buckets").collect()} == {1_000}
+    assert rows(other) == [(1, "new"), (3, "d"), (4, "e")] and latest(spark, other).doc["buckets"] == 1_000
     swap_chunks(spark, path, make([]), make([(1, 0, "")]))
     swap_chunks(spark, path, make([(5, 0, "f")]), make([(5, 0, "")]))
     assert rows(path) == [(5, "f")]
