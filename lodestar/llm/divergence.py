@@ -1,18 +1,19 @@
 """How the sources of a language differ in their terms, by wide term vectors.
 
 Each kept term of a language becomes one row with an array that has a place for every source of the language: the term's
-counts. Higher-order functions turn the array into shares and emit one contribution for each ordered pair of sources;
-sums of contributions are made in the task before the shuffle, so what moves is one number per task and pair.
+counts. Higher-order functions turn the array into shares and emit one contribution for each ordered pair of sources that
+have the term; sums of contributions are made in the task before the shuffle, so what moves is one number per task and pair.
 
-A pair of sources of which neither has the term contributes what it would for any such term. That is added once for all
-terms, and what is emitted is the difference to it: a term that k of n sources have emits about 2kn rows, not n * n.
+A term that a source lacks contributes to a pair what any such term does. So a pair's value begins with all terms as if both
+lacked them; what a term's count in one of the two changes is added from a histogram of that source's counts; and what is
+emitted by term is what is left where both have it. A term that k of n sources have emits k * k rows, not n * n.
 
 All numbers are integers. Shares are out of ``UNITS`` = 10**9; a group's kept occurrences plus the number of kept terms may be
 9 * 10**15 at most. The sums stay below 2**63 for 10**9 kept terms.
 
-What grows with the data: counts by (language, source, term), summed in the task before they are shuffled, and the table of
-kept terms, written once. Sources are lists of one language's groups, in a table of one row per language: broadcast up to
-``MOST_BROADCAST`` groups, joined beyond it.
+What grows with the data: counts by (language, source, term), summed in the worker that reads the texts (up to ``MOST_HELD`` terms
+at a time) and again in the task before they are shuffled, and the table of kept terms, written once. Sources are lists of one
+language's groups, in a table of one row per language: broadcast up to ``MOST_BROADCAST`` groups, joined beyond it.
 
 Every row is a document. Defined results: null text, lang and source are empty strings; texts without terms still make
 their group occur; languages without a kept term have pairs of value 0 and no terms; repeated rows count each time; an
@@ -21,15 +22,21 @@ empty table gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lodestar.lineage import tabled
-from lodestar.llm.shared import ascii_lower, let, text_column
+from lodestar.llm.shared import let, text_column
 
-#: A term is a run of ASCII letters and characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term is a run of ASCII letters and characters beyond ASCII, as it is in UTF-8.
+TERM = re.compile(rb"[A-Za-z\x80-\xFF]+")
+#: Counts that a worker holds before it hands them on; texts of more bytes are not made a list of words at once.
+MOST_HELD, LONG_TEXT = 300_000, 1 << 22
 MIN_DOCS = 3
 MOST_TERMS = 200
 UNITS = 10**9
@@ -37,10 +44,31 @@ UNITS = 10**9
 MOST_BROADCAST = 200_000
 
 
-def terms_with_first(text: Column) -> Column:
-    """Array of (term, first) for all occurrences in the text; first is 1 at one occurrence of each term, else 0."""
-    found = F.sort_array(F.regexp_extract_all(ascii_lower(text), F.lit(TERM), F.lit(0)))
-    return let(found, lambda t: F.zip_with(t, F.concat(F.array(F.lit("")), t), lambda a, b: F.struct(a.alias("term"), (a != b).cast("int").alias("first"))))
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text) -> (lang, source, term, n, docs): occurrences and documents. bytes.lower() lowers A-Z alone."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def hand_on() -> pa.RecordBatch:
+        rows = [(lang, source, term, n, docs[term]) for (lang, source), (counts, docs) in held.items() for term, n in counts.items()]
+        held.clear()
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary()).cast(pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n", "docs"])
+
+    for batch in batches:
+        for lang, source, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            counts, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            data = text.encode().lower()
+            if len(data) > LONG_TEXT:
+                counts.update(m[0] for m in TERM.finditer(data))
+                docs.update({m[0] for m in TERM.finditer(data)})
+            else:
+                words = TERM.findall(data)
+                counts.update(words)
+                docs.update(set(words))
+        if sum(len(c) for c, _ in held.values()) > MOST_HELD:
+            yield hand_on()
+    yield hand_on()
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -67,8 +95,8 @@ def _documents(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -
 
 def kept_terms(rows: DataFrame, places: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, counts): the sorted (place, n) of the sources that have the term, for terms in enough documents."""
-    each = rows.select("lang", "source", F.explode(terms_with_first(F.col("text"))).alias("t")).select("lang", "source", "t.*").filter(F.col("term").isNotNull())
-    counted = each.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
+    each = rows.select("lang", "source", "text").mapInArrow(count_terms, "lang string, source string, term string, n long, docs long")
+    counted = each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     by_term = counted.join(places, ["lang", "source"]).groupBy("lang", "term")
     return by_term.agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("place", "n"))).alias("counts")).filter(F.col("docs") >= min_docs).select("lang", "term", "counts")
 
@@ -85,16 +113,27 @@ def _wide(counts: Column, size: Column) -> Column:
 
 
 def _pairs(wide: Column, shares: Column, absent: Column) -> Column:
-    """(a, b, value) for pairs of places of which one has the term: what they contribute beyond two that have it not."""
-    every = F.sequence(F.lit(0), F.size(wide) - 1)
+    """(a, b, value) for the pairs of places that have the term: their divergence, less what the histograms count for each of
+    them without regard to the other."""
 
     def of(a: Column, b: Column) -> Column:
-        return F.struct(a.alias("a"), b.alias("b"), (divergence(F.get(shares, a), F.get(shares, b)) - divergence(F.get(absent, a), F.get(absent, b))).alias("value"))
+        p, q, p0, q0 = F.get(shares, a), F.get(shares, b), F.get(absent, a), F.get(absent, b)
+        return F.struct(a.alias("a"), b.alias("b"), (divergence(p, q) - divergence(p, q0) - divergence(p0, q) + divergence(p0, q0)).alias("value"))
+
+    having = F.filter(F.sequence(F.lit(0), F.size(wide) - 1), lambda i: F.get(wide, i) > 0)
+    return let(having, lambda h: F.flatten(F.transform(h, lambda a: F.transform(F.filter(h, lambda b: a != b), lambda b: of(a, b)))))
 
-    def both(everyone: Column, having: Column) -> Column:
-        return F.flatten(F.transform(everyone, lambda a: F.transform(F.when(F.get(wide, a) > 0, everyone).otherwise(having), lambda b: of(a, b))))
 
-    return let(every, lambda e: let(F.filter(e, lambda i: F.get(wide, i) > 0), lambda having: both(e, having)))
+def _one_sided(met: DataFrame, langs: DataFrame, near) -> DataFrame:
+    """(lang, a, b, value): what the counts of one source add to its pairs, as if the other had none of its terms."""
+    n_terms = F.col("n_terms")
+    having = F.filter(F.transform("wide", lambda n, i: F.struct(i.alias("a"), n.alias("n"))), lambda x: x["n"] > 0)
+    histogram = met.select("lang", F.explode(having).alias("x")).groupBy("lang", "x.a", "x.n").agg(F.count("*").alias("terms"))
+    known = histogram.join(near(langs), "lang").withColumn("p", share(F.col("n"), F.get("totals", F.col("a")), n_terms)).withColumn("p0", F.get("absent", F.col("a")))
+    each = known.select("lang", "a", "terms", "p", "p0", F.posexplode("absent").alias("b", "q0")).filter("a <> b")
+    there = each.select("lang", "a", "b", (F.col("terms") * (divergence(F.col("p"), F.col("q0")) - divergence(F.col("p0"), F.col("q0")))).alias("value"))
+    back = each.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), (F.col("terms") * (divergence(F.col("q0"), F.col("p")) - divergence(F.col("q0"), F.col("p0")))).alias("value"))
+    return there.unionByName(back)
 
 
 def source_divergence(
@@ -124,11 +163,11 @@ def source_divergence(
     met = met.withColumn("shares", F.zip_with("wide", "totals", lambda n, t: share(n, t, n_terms)))
     met = met.withColumn("whole", share(F.aggregate("wide", zero, lambda s, x: s + x), F.col("total"), n_terms))
 
-    emitted = met.select("lang", F.explode(_pairs(F.col("wide"), F.col("shares"), F.col("absent"))).alias("p")).select("lang", "p.*").filter("a <> b")
+    emitted = met.select("lang", F.explode(_pairs(F.col("wide"), F.col("shares"), F.col("absent"))).alias("p")).select("lang", "p.*")
     all_places = F.sequence(F.lit(0), F.size("sources") - 1)
     at_least = langs.select("lang", "n_terms", "absent", F.explode(all_places).alias("a"), all_places.alias("bs")).select("lang", "n_terms", "absent", "a", F.explode("bs").alias("b")).filter("a <> b")
     value = F.when(n_terms > 0, n_terms * divergence(F.get("absent", F.col("a")), F.get("absent", F.col("b")))).otherwise(zero)
-    pairs = emitted.unionByName(at_least.select("lang", "a", "b", value.alias("value"))).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    pairs = emitted.unionByName(_one_sided(met, langs, near)).unionByName(at_least.select("lang", "a", "b", value.alias("value"))).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     pairs = pairs.join(near(langs.select("lang", "sources")), "lang").select("lang", F.get("sources", F.col("a")).alias("source"), F.lit("pair").alias("part"), F.get("sources", F.col("b")).alias("item"), "value")
 
     more = F.zip_with("wide", "shares", lambda n, p: F.when((n > 0) & (p > F.col("whole")), divergence(p, F.col("whole"))))
