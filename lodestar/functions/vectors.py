@@ -78,56 +78,107 @@ def _count(dim: int):
 def nearest(rows: DataFrame, key: str, questions: DataFrame, dim: int, k: int) -> DataFrame:
     """(question, key, sim): candidates for each question's k rows of largest cosine similarity, ties to the smaller key.
 
-    ``rows`` has key and counts, ``questions`` question and counts. A batch of rows is one matrix product with questions that
-    are in memory, and hands on its k best for each of them: no more than that leaves a task. Questions of ``MATRIX_BYTES``
-    go along with the task; more are dealt into blocks of that size, which meet all rows block by block. Similarities have
-    nine digits, so that equal ones tie, and are null where a vector has no length.
+    ``rows`` has key and counts, ``questions`` question and counts. A batch of rows is multiplied with questions that are in
+    memory, tile by tile (``TILE_NUMBERS``), and a task keeps the k best it has seen for each of them: what leaves a task is
+    k rows a question, once. Questions of ``MATRIX_BYTES`` go along with the task; more are dealt into blocks of that size, which
+    meet all rows block by block. Similarities have nine digits, so that equal ones tie, and are null where a vector is null
+    or has no length; those rank last.
     """
     size = questions.count() * dim * 8
-    slim = rows.select(F.col(key).alias("key"), "counts")
+    slim = rows.select(F.col(key).alias("key"), F.col("counts").cast("array<double>").alias("counts"))
     schema = T.StructType([questions.schema["question"], T.StructField(key, slim.schema["key"].dataType), T.StructField("sim", T.DoubleType())])
     if size <= MATRIX_BYTES:
-        held = questions.select("question", "counts").toArrow()
+        held = questions.select("question", F.col("counts").cast("array<double>").alias("counts")).toArrow()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if len(held):
-                best = _best(held["question"].combine_chunks(), held["counts"], key, k)
-                yield from (best(batch.column(0), batch.column(1)) for batch in batches if batch.num_rows)
+            best = Best(held["question"].combine_chunks(), held["counts"], key, dim, k)
+            for batch in batches:
+                best.meet(batch.column(0), batch.column(1))
+            yield from best.found()
 
         return slim.mapInArrow(run, schema)
     blocks, parts = -(-size // MATRIX_BYTES), max(1, rows.count() // ROWS_A_TASK)
     none = lambda of, name: F.lit(None).cast(of.schema[name].dataType).alias(name)
     asked = questions.select(F.pmod(F.xxhash64("question"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(False).alias("is_row"), "question", none(slim, "key"), F.col("counts").cast("array<double>").alias("counts"))
-    data = slim.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("is_row"), none(questions, "question"), "key", F.col("counts").cast("array<double>").alias("counts"))
+    data = slim.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("is_row"), none(questions, "question"), "key", "counts")
     dealt = asked.unionByName(data).repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", "is_row")
-    return dealt.mapInArrow(_nearest_blocks(key, k), schema)
-
-
-def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
-
-
-def _best(ids: pa.Array, counts, key: str, k: int):
-    """From a batch's keys and vectors to its k best for each of the questions."""
-    q = _matrix(counts)
-    q_length = np.sqrt((q**2).sum(axis=1))
-
-    def best(keys: pa.Array, vectors: pa.Array) -> pa.RecordBatch:
-        x = _matrix(vectors)
-        lengths = np.sqrt((x**2).sum(axis=1))[:, None] * q_length
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sim = np.where(lengths > 0, np.round(x @ q.T / lengths, DIGITS), np.nan)
-        order = np.empty(len(keys), dtype=np.int64)
-        order[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
-        top = np.lexsort((np.broadcast_to(order[:, None], sim.shape), np.where(np.isnan(sim), np.inf, -sim)), axis=0)[:k]
-        at, asked = top.T.ravel(), np.repeat(np.arange(len(ids)), len(top))
-        value = sim[at, asked]
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(asked)), keys.take(pa.array(at)), pa.array(value, mask=np.isnan(value))], names=["question", key, "sim"])
-
-    return best
+    return dealt.mapInArrow(_nearest_blocks(key, dim, k), schema)
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    """Vectors as rows; null ones, and those of another size, are zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, dim))
+    right = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    numbers = pc.fill_null(column.filter(right).flatten(), float("nan")).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), dim))
+    out[right.to_numpy(zero_copy_only=False)] = numbers.reshape(-1, dim)
+    return out
 
 
-def _nearest_blocks(key: str, k: int):
+#: Numbers of one product of questions and rows, and of one message of results.
+TILE_NUMBERS, ROWS_AT_ONCE = 1 << 21, 1 << 18
+#: Stands for no similarity: below all others.
+_NONE = -2.0
+
+
+class Best:
+    """The k best rows met so far for each question; memory is that of the questions, of k rows for each, and of a tile."""
+
+    def __init__(self, ids: pa.Array, counts, key: str, dim: int, k: int):
+        self.ids, self.key, self.dim, self.k = ids, key, dim, k
+        self.q = _matrix(counts, dim)
+        self.lengths = np.sqrt((self.q**2).sum(axis=1))
+        self.sims = np.full((len(ids), k), -np.inf)  # -inf: no row yet
+        self.at = np.zeros((len(ids), k), np.int64)  # place of the row's key in ``keys``
+        self.keys: pa.Array | None = None
+
+    def meet(self, keys: pa.Array, vectors) -> None:
+        if not len(keys) or not len(self.ids):
+            return
+        order = pc.sort_indices(keys)
+        keys, x = keys.take(order), _matrix(vectors, self.dim)[order.to_numpy()]
+        row_lengths = np.sqrt((x**2).sum(axis=1))
+        held = 0 if self.keys is None else len(self.keys)
+        known = keys if self.keys is None else pa.concat_arrays([self.keys, keys])
+        rank = np.empty(len(known), np.int64)  # of all keys at hand, so that ties can be told
+        rank[pc.sort_indices(known).to_numpy()] = np.arange(len(known))
+        step = max(1, TILE_NUMBERS // len(keys))
+        for a in range(0, len(self.ids), step):
+            mine = slice(a, a + step)
+            lengths = self.lengths[mine, None] * row_lengths
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sim = np.where(lengths > 0, np.round(self.q[mine] @ x.T / lengths, DIGITS), _NONE)
+            at, sim = self._top(sim)
+            at, sim = np.hstack([self.at[mine], at + held]), np.hstack([self.sims[mine], sim])
+            best = np.lexsort((rank[at], -sim), axis=1)[:, : self.k]
+            self.at[mine], self.sims[mine] = np.take_along_axis(at, best, axis=1), np.take_along_axis(sim, best, axis=1)
+        used = np.unique(self.at[np.isfinite(self.sims)])
+        self.keys, self.at = known.take(pa.array(used)), np.minimum(np.searchsorted(used, self.at), max(0, len(used) - 1))
+
+    def _top(self, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and values of the k largest of each row; of equal ones at the k-th place the first."""
+        n, k = sim.shape[1], self.k
+        if n <= k:
+            return np.broadcast_to(np.arange(n), sim.shape), sim
+        least = np.partition(sim, n - k, axis=1)[:, n - k, None]
+        above, equal = sim > least, sim == least
+        chosen = above | equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True))
+        at = np.nonzero(chosen)[1].reshape(len(sim), k)
+        return at, np.take_along_axis(sim, at, axis=1)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if self.keys is None:
+            return
+        asked, place = np.nonzero(np.isfinite(self.sims))
+        for a in range(0, len(asked), ROWS_AT_ONCE):
+            i, j = asked[a : a + ROWS_AT_ONCE], place[a : a + ROWS_AT_ONCE]
+            sim = self.sims[i, j]
+            yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(i)), self.keys.take(pa.array(self.at[i, j])), pa.array(sim, mask=sim == _NONE)], names=["question", self.key, "sim"])
+
+
+def _nearest_blocks(key: str, dim: int, k: int):
     """Rows sorted by (block, part, is_row): a block's questions, then the rows that meet them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,13 +189,18 @@ def _nearest_blocks(key: str, k: int):
             for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
                 part = batch.slice(a, b - a)
                 if (here := (keys[0][a], keys[1][a])) != now:
+                    if best is not None:
+                        yield from best.found()
                     now, questions, best = here, [], None
                 if not keys[2][a]:
                     questions.append(part)
                 elif questions:
-                    table = pa.Table.from_batches(questions)
-                    best = best or _best(table["question"].combine_chunks(), table["counts"], key, k)
-                    yield best(part.column(4), part.column(5))
+                    if best is None:
+                        table = pa.Table.from_batches(questions)
+                        best = Best(table["question"].combine_chunks(), table["counts"], key, dim, k)
+                    best.meet(part.column(4), part.column(5))
+        if best is not None:
+            yield from best.found()
 
     return run
 
