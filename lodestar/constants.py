@@ -75,3 +75,7 @@ LANES = ("doc", "media", "system")
 FILE_STATUSES = ("indexed", "queued", "processing", "failed")
 LOST_WORKER = "worker stopped while running this job"
 INDEX_VERSION = 5
+
+# Settings and what they begin with.
+SETTING_DEFAULTS = {"setup_completed": "false", "rescan_interval_seconds": None, "whisper_model": "small", "index_embedding_model": None}
+SPEECH_SIZES = ("tiny", "base", "small", "medium")

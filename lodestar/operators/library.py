@@ -173,8 +173,9 @@ def extraction_failed(files: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def force_reindex(jobs: DataFrame) -> DataFrame:
-    """Payloads of queued jobs with the force flag merged in."""
-    payload = F.to_json(F.struct(F.col("file_id"), F.lit(True).alias("force")))
+    """Payloads (JSON objects, null is an empty one) of queued jobs with the force flag merged in: other keys stay as they are."""
+    others = F.map_filter(F.from_json(F.coalesce("payload", F.lit("{}")), "map<string,variant>"), lambda k, _: k != "force")
+    payload = F.to_json(F.map_concat(others, F.create_map(F.lit("force"), F.parse_json(F.lit("true")))))
     return jobs.where("status = 'queued'").select("id", payload.alias("payload"))
 
 
@@ -183,10 +184,16 @@ def model_switch(files: DataFrame, model: str) -> DataFrame:
     return files.where(F.col("status").isin("indexed", "failed") & (F.col("model") != model)).select("id", F.lit("queued").alias("new_status"), F.lit(model).alias("model"))
 
 
+def folder_name(display_name: Column, path: Column) -> Column:
+    """A folder's name, or the last part of its path if it has none."""
+    name = F.btrim(display_name)
+    return F.coalesce(F.when(F.length(name) > 0, name), F.element_at(F.filter(F.split(path, "/"), lambda p: p != ""), -1), path)
+
+
 def create_folders(folders: DataFrame, new: DataFrame) -> DataFrame:
-    """Folders that may be added (path not in use), named after the last part of their path unless they have a name."""
-    name = F.coalesce(F.when(F.length("display_name") > 0, F.col("display_name")), F.element_at(F.filter(F.split("path", "/"), lambda p: p != ""), -1))
-    return new.join(folders.select("path").distinct(), "path", "left_anti").select("path", name.alias("display_name"))
+    """Folders that may be added: paths not in use; of equal paths the one with the least name, which is made by ``folder_name``."""
+    rows = new.join(folders.select("path").distinct(), "path", "left_anti").select("path", folder_name(F.col("display_name"), F.col("path")).alias("display_name"))
+    return rows.groupBy("path").agg(F.min("display_name").alias("display_name"))
 
 
 def update_folders(folders: DataFrame, projects: DataFrame, changes: DataFrame) -> DataFrame:

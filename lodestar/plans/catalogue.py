@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import answers, records, state, texts
+from lodestar.plans import answers, records, state, stores, texts
 from lodestar.plans.base import bind, oracle
 from lodestar.plans.views import VIEWS
 
-MODULES = [state, records, texts, answers]
+MODULES = [state, records, texts, answers, stores]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -185,12 +185,13 @@ QUERIES: dict[str, Query] = {
         "SELECT file_id, count(*) AS n FROM chunk_files c WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.id = c.file_id AND f.status = 'deleted') GROUP BY file_id",
     ),
     "extraction_failed": Query(("files", "known"), lambda f, k: library.extraction_failed(f, k.where("status = 'processing'").select("id", F.sha2("rel_path", 256).alias("sha256"))), "SELECT f.id, 'failed' AS status, sha256(k.rel_path) AS sha256 FROM files f JOIN known k ON k.id = f.id WHERE k.status = 'processing'"),
-    "force_reindex": Query(("jobs",), library.force_reindex, "SELECT id, concat('{\"file_id\":', file_id, ',\"force\":true}') AS payload FROM jobs WHERE status = 'queued'"),
+    "force_reindex": Query(("jobs",), library.force_reindex, "SELECT id, CASE WHEN id % 4 = 3 THEN '{\"force\":true}' ELSE concat('{\"file_id\":', file_id, ',\"pages\":[1,', id, '],\"force\":true}') END AS payload FROM jobs WHERE status = 'queued'"),
     "model_switch": Query(("files",), lambda f: library.model_switch(f, "bge-m3"), "SELECT id, 'queued' AS new_status, 'bge-m3' AS model FROM files WHERE status IN ('indexed', 'failed') AND model <> 'bge-m3'"),
     "folder_create": Query(
         ("files",),
-        lambda f: library.create_folders(f.where("id % 2 = 0").select(F.col("rel_path").alias("path")), f.select(F.col("rel_path").alias("path"), F.when(F.col("id") % 3 == 0, F.col("file_name")).otherwise("").alias("display_name"))),
-        "SELECT rel_path AS path, CASE WHEN id % 3 = 0 THEN file_name ELSE regexp_extract(rel_path, '([^/]+)/*$', 1) END AS display_name FROM files n WHERE NOT EXISTS (SELECT 1 FROM files o WHERE o.id % 2 = 0 AND o.rel_path = n.rel_path)",
+        lambda f: library.create_folders(f.where("id % 2 = 0").select(F.col("rel_path").alias("path")), f.select(F.col("rel_path").alias("path"), F.when(F.col("id") % 3 == 0, F.col("file_name")).otherwise("").alias("display_name")).unionByName(f.where("id % 5 = 0").select(F.col("rel_path").alias("path"), F.lit(" ~ ").alias("display_name")))),
+        """WITH n AS (SELECT id, rel_path AS path, CASE WHEN id % 3 = 0 THEN file_name ELSE regexp_extract(rel_path, '([^/]+)/*$', 1) END AS name FROM files UNION ALL SELECT id, rel_path, '~' FROM files WHERE id % 5 = 0)
+        SELECT path, min(name) AS display_name FROM n WHERE NOT EXISTS (SELECT 1 FROM files o WHERE o.id % 2 = 0 AND o.rel_path = n.path) GROUP BY path""",
     ),
     "folder_update": Query(
         ("folders", "projects"),

@@ -30,6 +30,7 @@ VIEWS = {
             "id": "o_orderkey", "lane": "CASE o_orderkey % 3 WHEN 0 THEN 'doc' WHEN 1 THEN 'media' ELSE 'system' END", "status": "CASE WHEN o_orderstatus = 'O' THEN 'queued' WHEN o_orderstatus = 'P' THEN 'running' WHEN o_orderkey % 2 = 0 THEN 'done' ELSE 'running' END",
             "priority": "CAST(substring(o_orderpriority, 1, 1) AS INT)", "attempts": "CAST(o_orderkey % 4 AS INT)", "max_attempts": "3", "file_id": "o_custkey", "dedupe_key": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE concat('index:', o_custkey) END",
             "run_after": "o_orderdate", "heartbeat_at": "o_orderdate", "progress": "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END",
+            "payload": "CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE concat('{\"file_id\":', o_custkey, ',\"pages\":[1,', o_orderkey, ']', CASE WHEN o_orderkey % 4 = 1 THEN ',\"force\":false' ELSE '' END, '}') END",
         },
     ),
     "heartbeats": View("events", {"id": "event_id", "service": "event_type", "user_id": "user_id", "seen_at": "ts", "value": "CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END"}),
