@@ -1,4 +1,4 @@
-"""Watching folders: new files as a stream, bursts of events as one scan, one job per key."""
+"""Watching folders: new files as a stream, bursts of events as one scan. One waiting job a key is in ``schedule``."""
 
 from __future__ import annotations
 
@@ -27,11 +27,6 @@ def scans(events: DataFrame, *, gap: int = DEBOUNCE_SECONDS, late: str = "1 minu
     return bursts.agg(F.count("*").alias("n_events")).select("folder_id", F.col("w.end").alias("due_at"), "n_events")
 
 
-def first_of_key(jobs: DataFrame, *, late: str = "10 minutes") -> DataFrame:
-    """Jobs (dedupe_key, created_at) with at most one per key while it may still be waiting."""
-    return jobs.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["dedupe_key"])
-
-
 def run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, *, once: bool = False) -> StreamingQuery:
     """Hand every batch to ``handle``: all that is there now, or every POLL_SECONDS."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
