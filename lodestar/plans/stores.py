@@ -15,7 +15,7 @@ from lodestar.plans.texts import DIM, LISTS, SEARCH, cosine, counts, lists, prep
 from lodestar.sources import keyword_index, store, vector_index, versions
 
 #: A shard of an index is one task's work; the stores here are small.
-SHARDS = 8
+SHARDS = 4
 
 
 def folder(spark: SparkSession) -> str:

@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +35,21 @@ from lodestar.operators.search import BROADCAST_TERMS, places, ranked
 from lodestar.sources import versions
 
 BLOCK = 128
-LEXES = 32
-#: Blocks opened before the k-th best is looked at again.
-AT_ONCE = 16
+LEXES = 16
+#: Blocks opened before the k-th best is looked at again, and postings that are cheaper summed up than told apart.
+AT_ONCE, SUMMED = 16, 1 << 17
 _ROW = "bucket int, lex int, lexeme string, project int, n int, first long, last long, most long, steps binary, weights binary"
 _SIZES = (np.uint8, np.uint16, np.uint32, np.uint64)
 #: One lexeme more outweighs any sum of weights.
 ONE_MORE = 1 << 40
 
 
+def folder_of(word: str, lexes: int) -> int:
+    """The same of a word at hand: Spark's hash is XXH64 of its UTF-8 with 42 as the seed, as a signed number."""
+    value = xxhash.xxh64_intdigest(word.encode(), 42)
+    return (value - (1 << 64) if value >> 63 else value) % lexes
+
+
 def lex_of(lexeme: str, lexes: int):
     return F.pmod(F.xxhash64(lexeme), F.lit(lexes)).cast("int")
 
@@ -172,6 +179,7 @@ class _List:
         self.first, self.last, self.most = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
         self.data, self.open = [(r[4], r[5]) for r in rows], {}
         self.top = int(self.most.max())
+        self.every: tuple[np.ndarray, np.ndarray] | None = None
 
     def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
         if b not in self.open:
@@ -179,6 +187,13 @@ class _List:
             self.open[b] = self.first[b] + np.r_[0, np.cumsum(_unpacked(steps).astype(np.int64))], _unpacked(weights).astype(np.int64)
         return self.open[b]
 
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """All passages and their weights."""
+        if self.every is None:
+            opened = [self.block(b) for b in range(len(self.data))]
+            self.every = np.concatenate([c for c, _ in opened]), np.concatenate([w for _, w in opened])
+        return self.every
+
     def look_up(self, ids: np.ndarray) -> np.ndarray:
         """The weights of these passages (sorted), 0 where the lexeme is not."""
         out = np.zeros(len(ids), np.int64)
@@ -192,14 +207,50 @@ class _List:
         return out
 
 
+def summed(lists: Sequence[_List]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, values) of all passages of these lists."""
+    parts = [x.whole() for x in lists]
+    ids = np.concatenate([c for c, _ in parts])
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], np.concatenate([w for _, w in parts])[order] + ONE_MORE
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    return ids[starts], np.add.reduceat(values, starts)
+
+
+def _kept(ids: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k best and what equals the last of them; and its value."""
+    if len(values) < k:
+        return ids, values, 0
+    least = int(np.partition(values, -k)[-k])
+    good = values >= least
+    return ids[good], values[good], least
+
+
 def best(lists: Sequence[_List], k: int, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, values) of the k best passages of these lists and of those found already; equal values at the k-th place all stay."""
+    """(ids, values) of the k best passages of these lists and of those found already; equal values at the k-th place all stay.
+
+    The rarest lists, of ``SUMMED`` postings together, are summed up; blocks of the others are opened as far as they can matter.
+    """
     lists = sorted(lists, key=lambda x: x.n)
     after = np.cumsum([0, *[x.top for x in lists[::-1]]])[::-1]  # the largest weights of the lists from i on
-    ids, values = found
-    seen = np.zeros(0, np.int64)
-    least = np.partition(values, -k)[-k] if len(values) >= k else 0
-    for i, x in enumerate(lists):
+    ids, values, least = _kept(*found, k)
+
+    def completed(c: np.ndarray, value: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """Passages and their values from the lists before ``start``: with those from there on, as long as they can matter."""
+        for j in range(start, len(lists)):
+            hope = value + (len(lists) - j) * ONE_MORE + after[j] >= least
+            c, value = c[hope], value[hope]
+            if not len(c):
+                break
+            w = lists[j].look_up(c)
+            value = value + w + ONE_MORE * (w > 0)
+        return c, value
+
+    rare = max(1, int(np.searchsorted(np.cumsum([x.n for x in lists]), SUMMED, "right")))
+    seen, value = summed(lists[:rare])
+    c, value = completed(seen, value, rare)
+    ids, values, least = _kept(np.r_[ids, c], np.r_[values, value], k)
+    for i, x in enumerate(lists[rare:], rare):
         bounds = (len(lists) - i) * ONE_MORE + x.most + after[i + 1]
         order = np.argsort(-bounds, kind="stable")
         for a in range(0, len(order), AT_ONCE):
@@ -212,17 +263,8 @@ def best(lists: Sequence[_List], k: int, found: tuple[np.ndarray, np.ndarray]) -
             at = np.argsort(c[new])
             c, value = c[new][at], value[new][at]
             seen = np.concatenate([seen, c])
-            for j in range(i + 1, len(lists)):
-                hope = value + (len(lists) - j) * ONE_MORE + after[j] >= least
-                c, value = c[hope], value[hope]
-                if not len(c):
-                    break
-                w = lists[j].look_up(c)
-                value = value + w + ONE_MORE * (w > 0)
-            ids, values = np.r_[ids, c], np.r_[values, value]
-            if len(values) >= k:
-                least = np.partition(values, -k)[-k]
-                ids, values = ids[values >= least], values[values >= least]
+            c, value = completed(c, value, i + 1)
+            ids, values, least = _kept(np.r_[ids, c], np.r_[values, value], k)
     return ids, values
 
 
@@ -230,17 +272,23 @@ def _searched(asked: list[tuple[object, list[str]]], k: int, kind: pa.DataType):
     """A shard's blocks -> its best passages for each question; ties at the k-th place are cut by the passage's id."""
 
     def run(shard: pa.Table) -> pa.Table:
-        by: dict[int, dict[str, list[tuple]]] = {}
+        by: dict[str, dict[int, list[tuple]]] = {}
         names = ["lexeme", "project", "n", "first", "last", "most", "steps", "weights"]
         for lexeme, project, *rest in zip(*[shard[n].to_pylist() for n in names], strict=True):
-            by.setdefault(project, {}).setdefault(lexeme, []).append(tuple(rest))
-        projects = [{w: _List(rows) for w, rows in p.items()} for p in by.values()]
+            by.setdefault(lexeme, {}).setdefault(project, []).append(tuple(rest))
+        lists = {w: {p: _List(rows) for p, rows in of.items()} for w, of in by.items()}
+        sizes = {w: sum(x.n for x in of.values()) for w, of in lists.items()}
         out: list[tuple] = []
         for question, terms in asked:
-            found = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for p in projects:
-                if lists := [p[w] for w in terms if w in p]:
-                    found = best(lists, k, found)
+            mine = [w for w in terms if w in lists]
+            if not mine:
+                continue
+            if sum(sizes[w] for w in mine) <= SUMMED:
+                found = _kept(*summed([x for w in mine for x in lists[w].values()]), k)[:2]
+            else:  # a passage has one project, so projects are lists of their own
+                found = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for project in {p for w in mine for p in lists[w]}:
+                    found = best([lists[w][project] for w in mine if project in lists[w]], k, found)
             top = np.lexsort((found[0], -found[1]))[:k]
             out += [(question, int(c), int(v) // ONE_MORE / len(terms), int(v) % ONE_MORE / 10) for c, v in zip(found[0][top], found[1][top], strict=True)]
         types = [("question", kind), ("chunk", pa.int64()), ("score", pa.float64()), ("density", pa.float64())]
@@ -265,9 +313,9 @@ def search(spark: SparkSession, index: str | versions.Snapshot, questions: DataF
     for part in range(parts):
         mine = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("question"), F.lit(parts)) == part)
         held = [(r["question"], r["terms"]) for r in mine.collect()]  # ``most`` terms, about
-        words = mine.select(F.explode("terms").alias("lexeme")).distinct()
-        folders = [r[0] for r in words.select(lex_of("lexeme", lexes).alias("lex")).distinct().collect()]
-        met = blocks(spark, snapshot, folders, projects, model).join(F.broadcast(words), "lexeme", "left_semi")
+        words = sorted({w for _, terms in held for w in terms})
+        met = blocks(spark, snapshot, sorted({folder_of(w, lexes) for w in words}), projects, model)
+        met = met.join(F.broadcast(spark.createDataFrame(pa.table({"lexeme": words}))), "lexeme", "left_semi")
         lists.append(met.groupBy("bucket").applyInArrow(_searched(held, k, kind), schema))
     every = reduce(DataFrame.unionByName, lists) if lists else spark.createDataFrame([], schema)
     return ranked(every, k, F.col("score").desc(), F.col("density").desc())

@@ -44,11 +44,12 @@ def asked(spark):
 
 
 @pytest.mark.parametrize("k", [1, 40])
-@pytest.mark.parametrize("block", [2, 128])
-def test_finds_what_a_search_of_all_texts_finds(spark, asked, tmp_path, monkeypatch, k, block):
+@pytest.mark.parametrize(("block", "summed"), [(2, 0), (2, 50), (128, 1 << 17)])
+def test_finds_what_a_search_of_all_texts_finds(spark, asked, tmp_path, monkeypatch, k, block, summed):
     ensure_checkpoint_dir(spark)
     monkeypatch.setattr(keyword_index, "BLOCK", block)
     monkeypatch.setattr(keyword_index, "AT_ONCE", 1)
+    monkeypatch.setattr(keyword_index, "SUMMED", summed)
     rows = passages(random.Random(k + block), 600)
     chunks = spark.createDataFrame(rows, SCHEMA)
     chunk_store, index = str(tmp_path / "s"), str(tmp_path / "i")
@@ -105,7 +106,8 @@ def test_reads_the_folders_of_its_lexemes_alone(spark, tmp_path):
     assert "lex#" in filters.split("PartitionFilters")[1].split("]")[0]
 
 
-def test_blocks_that_cannot_reach_the_best_stay_closed():
+def test_blocks_that_cannot_reach_the_best_stay_closed(monkeypatch):
+    monkeypatch.setattr(keyword_index, "SUMMED", 1_000)
     rng = np.random.default_rng(1)
 
     def make(ids, weights, size=128):
