@@ -246,8 +246,8 @@ def best(lists: Sequence[_List], k: int, found: tuple[np.ndarray, np.ndarray]) -
             value = value + w + ONE_MORE * (w > 0)
         return c, value
 
-    rare = max(1, int(np.searchsorted(np.cumsum([x.n for x in lists]), SUMMED, "right")))
-    seen, value = summed(lists[:rare])
+    rare = int(np.searchsorted(np.cumsum([x.n for x in lists]), SUMMED, "right"))
+    seen, value = summed(lists[:rare]) if rare else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     c, value = completed(seen, value, rare)
     ids, values, least = _kept(np.r_[ids, c], np.r_[values, value], k)
     for i, x in enumerate(lists[rare:], rare):
