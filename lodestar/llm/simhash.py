@@ -157,9 +157,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _slices(placed: DataFrame) -> DataFrame:
-    """(fp, key) -> (key, part, fp): rows of crowded anchors go to every pair of slices that theirs is in."""
-    n = placed.count()
+def _slices(placed: DataFrame, n: int | None = None) -> DataFrame:
+    """(fp, key) -> (key, part, fp): rows of crowded anchors go to every pair of slices that theirs is in; ``n`` if it is known."""
+    n = placed.count() if n is None else n
     cells = power_of_two(8 * n / MOST_AT_ANCHOR, 1 << 14, 1 << 40)
     cell = F.pmod(F.xxhash64("key"), F.lit(cells))
     crowded = cut_lineage(placed.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).filter(F.col("n") > MOST_AT_ANCHOR).select("cell"))

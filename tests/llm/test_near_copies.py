@@ -74,6 +74,28 @@ def test_crowded_groups_are_sliced(spark, monkeypatch):
     assert survivors(spark, rows) == direct_survivors(rows)
 
 
+@pytest.mark.parametrize("rows", [None, 8])
+def test_a_large_group_a_chain_and_texts_beside_them(spark, monkeypatch, rows):
+    """A group around one text, a chain whose ends are unlike, and a very long text with its copy."""
+    if rows:
+        for name in ("LEAST_ROWS", "MOST_ROWS"):
+            monkeypatch.setattr(near_copies, name, rows)
+    rng = random.Random(16)
+    word = lambda: f"w{rng.randrange(5_000)}"
+    base = " ".join(word() for _ in range(150))
+    found = [edited(rng, base, rng.randint(0, 3)) for _ in range(120)]
+    link = [word() for _ in range(120)]
+    for _ in range(50):
+        link = link[6:] + [word() for _ in range(6)]
+        found.append(" ".join(link))
+    long_text = " ".join(word() for _ in range(60_000))
+    found += [long_text, edited(rng, long_text, 300), " ".join(word() for _ in range(90))]
+    rng.shuffle(found)
+    numbered = list(enumerate(found))
+    wanted = direct_survivors(numbered)
+    assert 4 <= len(wanted) <= 30 and survivors(spark, numbered) == wanted
+
+
 def test_unlike_candidates_stay(spark):
     """A chance meeting of fingerprints is no copy: half of the words are the same, in one order."""
     rng = random.Random(9)
