@@ -10,15 +10,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.constants import DEBOUNCE_SECONDS, POLL_SECONDS
 from lodestar.functions.files import ignored_name, kind_of
+from lodestar.sources.folder_source import registered
 
-FILES = "path string, modificationTime timestamp, length long, content binary"
 
-
-def new_files(spark: SparkSession, folder: str, *, most_per_batch: int = 1_000) -> DataFrame:
-    """Supported files as they appear in a folder, without their contents."""
-    stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", most_per_batch).load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    return stream.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size_bytes"), name.alias("file_name"), kind_of(name).alias("kind")).where(~ignored_name(F.col("file_name")) & F.col("kind").isNotNull())
+def new_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Supported files as they appear in a folder or change, without their contents."""
+    stream = registered(spark).readStream.format("folder").load(folder)
+    name = F.element_at(F.split("rel_path", "/"), -1)
+    found = stream.select("path", "mtime", "size_bytes", name.alias("file_name"), kind_of(name).alias("kind"))
+    return found.where(~ignored_name(F.col("file_name")) & F.col("kind").isNotNull())
 
 
 def scans(events: DataFrame, *, gap: int = DEBOUNCE_SECONDS, late: str = "1 minute") -> DataFrame:
