@@ -40,7 +40,11 @@ def allowed_extensions(groups: Iterable[str] | None) -> list[str]:
 
 def normal_path(path: str) -> tuple[str, tuple[str, ...]]:
     """(kind, parts) of an absolute path: a drive like ``c:``, ``//host`` for shares, or ``/``. No way up is allowed."""
-    text = path.strip().replace("\\", "/")
+    text = path.strip()
+    if len(text) >= 2 and text[0] == text[-1] and text[0] in "\"'":
+        text = text[1:-1].strip()
+    if not text.startswith("/"):  # in a POSIX path a backslash is a character like any other
+        text = text.replace("\\", "/")
     if len(text) >= 2 and text[1] == ":" and text[0].isalpha():
         kind, rest = text[:2].lower(), text[2:]
     elif text.startswith("//"):

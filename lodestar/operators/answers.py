@@ -20,29 +20,29 @@ def best_source(words: Column, source_terms: Column) -> Column:
     return F.array_max(scored)
 
 
-def graded(answer: Column, sources: Column) -> Column:
-    """Each prose sentence of three content words or more: (sentence, words, best)."""
+def graded(answer: Column, sources: Column, known: Column | None = None) -> Column:
+    """Each prose sentence of three content words or more: (sentence, words, best). ``known``: the sources' terms, if at hand."""
 
     def over(known: Column) -> Column:
         rows = F.transform(sentences(answer), lambda s: F.struct(s.alias("sentence"), terms(unmarked(s)).alias("words")))
         rows = F.filter(rows, lambda r: F.size(r["words"]) >= MIN_WORDS)
         return F.transform(rows, lambda r: F.struct(r["sentence"].alias("sentence"), F.size(r["words"]).alias("n_words"), best_source(r["words"], known).alias("best")))
 
-    return let(F.transform(sources, terms), over)
+    return let(F.transform(sources, terms), over) if known is None else over(known)
 
 
-def support(answers: DataFrame) -> DataFrame:
+def support(answers: DataFrame, known: Column | None = None) -> DataFrame:
     """Adds supported (share of content words in backed sentences, 1 if there are none) and hedged."""
-    rows = answers.withColumn("graded", graded(F.col("answer"), F.col("sources")))
+    rows = answers.withColumn("graded", graded(F.col("answer"), F.col("sources"), known))
     total = F.aggregate("graded", F.lit(0), lambda s, g: s + g["n_words"])
     backed = F.aggregate("graded", F.lit(0), lambda s, g: s + F.when(F.coalesce(g["best"]["score"], F.lit(0.0)) >= MIN_BEST, g["n_words"]).otherwise(0))
     return rows.withColumn("supported", F.when(total > 0, backed / total).otherwise(1.0)).withColumn("hedged", is_hedged(F.col("answer"))).drop("graded")
 
 
-def off_topic(question: Column, answer: Column, sources: Column) -> Column:
+def off_topic(question: Column, answer: Column, sources: Column, known: Column | None = None) -> Column:
     """Topic words of the question that no source has and the answer uses."""
-    known = F.flatten(F.transform(sources, terms))
-    return F.array_sort(F.array_intersect(F.array_except(topic_terms(question), known), terms(F.array_join(sentences(answer), " "))))
+    all_known = F.flatten(F.transform(sources, terms) if known is None else known)
+    return F.array_sort(F.array_intersect(F.array_except(topic_terms(question), all_known), terms(F.array_join(sentences(answer), " "))))
 
 
 def checked(answers: DataFrame, keep: list[str]) -> DataFrame:
@@ -57,10 +57,12 @@ def checked(answers: DataFrame, keep: list[str]) -> DataFrame:
     rows = answers.select(F.struct(*keep).alias("row"), F.coalesce("answer", F.lit("")).alias("given"), F.coalesce("question", F.lit("")).alias("question"), sources.alias("sources"), after.cast("map<int,int>").alias("after"))
     rows = rows.withColumn("guarded", guarded(F.col("given"), F.col("sources"), F.col("question"), F.col("after")))
     rows = rows.withColumn("raw", F.col("guarded.text")).withColumn("n", F.size("sources")).withColumn("answer", tidied(F.col("raw"), F.col("n")))
-    rows = support(rows.withColumn("bare", (F.col("n") == 0) | is_not_found(F.col("answer"))))
-    strays = (F.col("question") != "") & (F.size(off_topic(F.col("question"), F.col("answer"), F.col("sources"))) > 0)
+    rows = rows.withColumn("bare", (F.col("n") == 0) | is_not_found(F.col("answer"))).withColumn("known", F.transform("sources", terms))
+    known = F.col("known")  # made once a row: support, topic and grounding all compare with it
+    rows = support(rows, known)
+    strays = (F.col("question") != "") & (F.size(off_topic(F.col("question"), F.col("answer"), F.col("sources"), known)) > 0)
     rows = rows.withColumn("replaced", ~F.col("bare") & (F.col("hedged") | (F.col("supported") < MIN_SUPPORTED) | strays))
-    own = let(F.transform("sources", terms), lambda known: grounded(F.col("answer"), known))
+    own = grounded(F.col("answer"), known)
     rows = rows.withColumn("final", F.when(~F.col("bare") & ~F.col("replaced"), own).otherwise(F.struct(F.when(F.col("replaced"), NOT_FOUND).otherwise(F.col("answer")).alias("text"), F.lit(0).alias("changes"))))
     return rows.select(
         *[F.col("row").getField(c).alias(c) for c in keep],

@@ -133,21 +133,28 @@ def packed(units: Column, most: int, overlap: int) -> Column:
     """
 
     def spans(upto: Column) -> Column:
-        """upto: running sizes from 0 on. A chunk is a range of units, from ``next`` of the one before."""
+        """upto: running sizes from 0 on. A chunk is a range of units, from ``next`` of the one before.
+
+        A unit has a token at least, so what can be in a chunk is among the next ``most``: no step looks further.
+        """
         n = F.size(upto) - 1
         size = lambda k: F.element_at(upto, k + 1)
-        below = lambda test: F.size(F.filter(upto, test))
 
         def add(state: Column, _: Column) -> Column:
             first = state["next"]
 
-            def ended(end: Column) -> Column:
-                carried = F.greatest(first, below(lambda x: x < size(end) - overlap))
-                after = F.when(size(F.least(end + 1, n)) - size(carried) > most, end).otherwise(carried)
-                return F.struct(F.when(end == n, n).otherwise(after).alias("next"), F.concat(state["all"], F.array(F.struct(first.alias("a"), end.alias("b")))).alias("all"))
+            def from_here(sizes: Column) -> Column:
+                """sizes: those from the first unit on."""
+                below = lambda test: first + F.size(F.filter(sizes, test))
+
+                def ended(end: Column) -> Column:
+                    carried = below(lambda x: x < size(end) - overlap)
+                    after = F.when(size(F.least(end + 1, n)) - size(carried) > most, end).otherwise(carried)
+                    return F.struct(F.when(end == n, n).otherwise(after).alias("next"), F.concat(state["all"], F.array(F.struct(first.alias("a"), end.alias("b")))).alias("all"))
+
+                return let(F.greatest(first + 1, below(lambda x: x <= size(first) + most) - 1), ended)
 
-            end = F.greatest(first + 1, below(lambda x: x <= size(first) + most) - 1)
-            return F.when(first < n, let(end, ended)).otherwise(state)
+            return F.when(first < n, let(F.slice(upto, first + 1, F.lit(most + 2)), from_here)).otherwise(state)
 
         start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<a:int,b:int>>").alias("all"))
         return F.transform(F.aggregate(units, start, add)["all"], lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), (size(s["b"]) - size(s["a"])).alias("tokens")))
