@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import answers, mounts, records, state, stores, streams, texts
+from lodestar.plans import answers, mounts, phrases, records, state, stores, streams, texts
 from lodestar.plans.base import bind, oracle
 from lodestar.plans.views import VIEWS
 
-MODULES = [state, records, texts, answers, stores, streams, mounts]
+MODULES = [state, records, texts, answers, stores, streams, mounts, phrases]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
