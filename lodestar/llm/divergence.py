@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from lodestar.llm.shared import let, text_column
 #: A term is a run of ASCII letters and characters beyond ASCII, as it is in UTF-8.
 TERM = re.compile(rb"[A-Za-z\x80-\xFF]+")
 #: Counts that a worker holds before it hands them on; texts of more bytes are not made a list of words at once.
-MOST_HELD, LONG_TEXT = 300_000, 1 << 22
+MOST_HELD, LONG_TEXT = 600_000, 1 << 22
 MIN_DOCS = 3
 MOST_TERMS = 200
 UNITS = 10**9
@@ -48,12 +49,14 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) -> (lang, source, term, n, docs): occurrences and documents. bytes.lower() lowers A-Z alone."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-    def hand_on() -> pa.RecordBatch:
-        rows = [(lang, source, term, n, docs[term]) for (lang, source), (counts, docs) in held.items() for term, n in counts.items()]
+    def hand_on() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (counts, docs) in held.items():
+            if counts:
+                k = len(counts)
+                terms = pa.array(list(counts), pa.binary()).cast(pa.string())
+                n, d = (np.fromiter(x, dtype=np.int64, count=k) for x in (counts.values(), map(docs.__getitem__, counts)))
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, k), pa.repeat(source, k), terms, pa.array(n), pa.array(d)], names=["lang", "source", "term", "n", "docs"])
         held.clear()
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary()).cast(pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
@@ -67,8 +70,8 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.update(words)
                 docs.update(set(words))
         if sum(len(c) for c, _ in held.values()) > MOST_HELD:
-            yield hand_on()
-    yield hand_on()
+            yield from hand_on()
+    yield from hand_on()
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -114,14 +117,15 @@ def _wide(counts: Column, size: Column) -> Column:
 
 def _pairs(wide: Column, shares: Column, absent: Column) -> Column:
     """(a, b, value) for the pairs of places that have the term: their divergence, less what the histograms count for each of
-    them without regard to the other."""
+    them without regard to the other; but for what two places without it would have, which is added by the number of terms."""
 
     def of(a: Column, b: Column) -> Column:
-        p, q, p0, q0 = F.get(shares, a), F.get(shares, b), F.get(absent, a), F.get(absent, b)
-        return F.struct(a.alias("a"), b.alias("b"), (divergence(p, q) - divergence(p, q0) - divergence(p0, q) + divergence(p0, q0)).alias("value"))
+        value = divergence(a["p"], b["p"]) - divergence(a["p"], b["p0"]) - divergence(a["p0"], b["p"])
+        return F.struct(a["i"].alias("a"), b["i"].alias("b"), value.alias("value"))
 
-    having = F.filter(F.sequence(F.lit(0), F.size(wide) - 1), lambda i: F.get(wide, i) > 0)
-    return let(having, lambda h: F.flatten(F.transform(h, lambda a: F.transform(F.filter(h, lambda b: a != b), lambda b: of(a, b)))))
+    places = F.filter(F.sequence(F.lit(0), F.size(wide) - 1), lambda i: F.get(wide, i) > 0)
+    having = F.transform(places, lambda i: F.struct(i.alias("i"), F.get(shares, i).alias("p"), F.get(absent, i).alias("p0")))
+    return let(having, lambda h: F.flatten(F.transform(h, lambda a: F.transform(F.filter(h, lambda b: a["i"] != b["i"]), lambda b: of(a, b)))))
 
 
 def _one_sided(met: DataFrame, langs: DataFrame, near) -> DataFrame:
@@ -166,8 +170,12 @@ def source_divergence(
     emitted = met.select("lang", F.explode(_pairs(F.col("wide"), F.col("shares"), F.col("absent"))).alias("p")).select("lang", "p.*")
     all_places = F.sequence(F.lit(0), F.size("sources") - 1)
     at_least = langs.select("lang", "n_terms", "absent", F.explode(all_places).alias("a"), all_places.alias("bs")).select("lang", "n_terms", "absent", "a", F.explode("bs").alias("b")).filter("a <> b")
-    value = F.when(n_terms > 0, n_terms * divergence(F.get("absent", F.col("a")), F.get("absent", F.col("b")))).otherwise(zero)
-    pairs = emitted.unionByName(_one_sided(met, langs, near)).unionByName(at_least.select("lang", "a", "b", value.alias("value"))).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    base = F.when(n_terms > 0, divergence(F.get("absent", F.col("a")), F.get("absent", F.col("b")))).otherwise(zero)
+    at_least = at_least.select("lang", "a", "b", (n_terms * base).alias("value"), zero.alias("both"), base.alias("base"))
+    one_sided = _one_sided(met, langs, near).select("lang", "a", "b", "value", zero.alias("both"), zero.alias("base"))
+    emitted = emitted.select("lang", "a", "b", "value", F.lit(1).cast("long").alias("both"), zero.alias("base"))
+    summed = emitted.unionByName(one_sided).unionByName(at_least).groupBy("lang", "a", "b").agg(*[F.sum(c).alias(c) for c in ("value", "both", "base")])
+    pairs = summed.select("lang", "a", "b", (F.col("value") + F.col("both") * F.col("base")).alias("value"))
     pairs = pairs.join(near(langs.select("lang", "sources")), "lang").select("lang", F.get("sources", F.col("a")).alias("source"), F.lit("pair").alias("part"), F.get("sources", F.col("b")).alias("item"), "value")
 
     more = F.zip_with("wide", "shares", lambda n, p: F.when((n > 0) & (p > F.col("whole")), divergence(p, F.col("whole"))))
