@@ -34,6 +34,15 @@ def openable_files(visible: DataFrame, files: DataFrame) -> DataFrame:
     return visible.join(files.select(F.col("id").alias("file_id"), "project_id"), "project_id").select("user_id", "file_id")
 
 
+def openable_counts(visible: DataFrame, files: DataFrame) -> DataFrame:
+    """(user_id, n_files): how many files of visible projects; users with none are left out.
+
+    Files are counted by project first, so a project's files are never paired with its users.
+    """
+    sizes = files.groupBy("project_id").agg(F.count("*").alias("n"))
+    return visible.join(sizes, "project_id").groupBy("user_id").agg(F.sum("n").alias("n_files"))
+
+
 def valid_sessions(users: DataFrame, now: Column) -> DataFrame:
     """Sessions that have not run out and belong to active users."""
     return users.where(F.col("active") & (F.col("expires_at") > now))

@@ -43,7 +43,7 @@ QUERIES: dict[str, Query] = {
     ),
     "file_access": Query(
         (*ACCESS, "files"),
-        lambda u, f, p, g, files: access.openable_files(access.visible_projects(u, f, p, g), files).groupBy("user_id").agg(F.count("*").alias("n_files")),
+        lambda u, f, p, g, files: access.openable_counts(access.visible_projects(u, f, p, g), files),
         f"WITH {VISIBLE} SELECT v.user_id, count(*) AS n_files FROM visible v JOIN files f ON f.project_id = v.project_id GROUP BY v.user_id",
     ),
     "valid_sessions": Query(("users",), lambda u: access.valid_sessions(u, now()).select("id", "role"), f"SELECT id, role FROM users WHERE active AND expires_at > {NOW}"),
