@@ -14,8 +14,9 @@ from lodestar.plans.base import Query
 from lodestar.plans.texts import DIM, LISTS, SEARCH, cosine, counts, lists, prepared_questions
 from lodestar.sources import keyword_index, store, vector_index, versions
 
-#: A shard of an index is one task's work; the stores here are small.
+#: A shard is one task's work and memory: a store of more rows has more of them, whatever they are. A graph compares all rows of a shard.
 SHARDS = 4
+VECTORS_A_SHARD = 5_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,6 +25,11 @@ def folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
 
 
+def shards(rows: DataFrame, each: int) -> int:
+    """How many shards of about so many rows a new store of these rows has."""
+    return max(SHARDS, -(-rows.count() // each))
+
+
 def keyword_indexed(p: DataFrame, a: DataFrame, projects: Sequence[int] | None = None) -> DataFrame:
     spark, at = p.sparkSession, folder(p.sparkSession)
     chunks = p.withColumn("file_id", F.col("chunk"))
@@ -36,7 +42,7 @@ def graph(v: DataFrame) -> str:
     """An index over vectors (id, project, embedding)."""
     spark, at = v.sparkSession, folder(v.sparkSession)
     chunks = v.select(F.col("id").alias("file_id"), F.col("id").alias("chunk"), "project", F.col("embedding").alias("counts"))
-    store.swap_chunks(spark, f"{at}/chunks", chunks, chunks, buckets=SHARDS)
+    store.swap_chunks(spark, f"{at}/chunks", chunks, chunks, buckets=shards(v, VECTORS_A_SHARD))
     vector_index.refresh(spark, f"{at}/chunks", f"{at}/index")
     return f"{at}/index"
 

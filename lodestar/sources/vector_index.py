@@ -13,6 +13,9 @@ Under a filter by project a walk goes over all rows and collects those of the pr
 the filter lets fewer rows pass. It is repeated with twice the size where it has found too few, and a shard in which few rows pass
 is compared row by row, so a filter costs no results.
 
+Rows that point the same way are one node of the graph, linked once and found together, so many copies of a vector neither fill a row's links nor
+hide what lies around them.
+
 Similarities are those of ``functions.vectors.nearest``. Which rows are found is approximate: the beam decides; ``exact=True`` compares all rows of the
 same index instead. A shard is held by one task: a store's number of buckets is what bounds it.
 """
@@ -45,6 +48,16 @@ def _units(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x**2).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
+def nodes_of(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct unit vector, in order, and for every row which of these it equals."""
+    whole = np.ascontiguousarray(units + 0).view(np.dtype((np.void, units.shape[1] * units.itemsize))).ravel()
+    _, first, which = np.unique(whole, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return first[order], place[which]
+
+
 def graph_of(units: np.ndarray, links: int = LINKS, near: int = NEAR) -> list[np.ndarray]:
     """For each row the rows it is linked to."""
     n = len(units)
@@ -78,14 +91,18 @@ def graph_of(units: np.ndarray, links: int = LINKS, near: int = NEAR) -> list[np
 
 
 def _built(shard: pa.Table) -> pa.Table:
-    """A shard's rows (bucket, chunk, project, vector) -> the same with links, as places in the order of passages."""
+    """A shard's rows (bucket, chunk, project, vector) -> the same with links between nodes, held by the first row of each."""
     shard = shard.sort_by("chunk")
     vectors = [None if v is None else np.array(v, dtype=np.float64) for v in shard["vector"].to_pylist()]
     held = [i for i, v in enumerate(vectors) if v is not None and np.isfinite(v).all() and v.any()]
     links: list[bytes | None] = [None] * len(vectors)
     if held:
-        for at, found in zip(held, graph_of(_units(np.stack([vectors[i] for i in held]))), strict=True):
-            links[at] = found.tobytes()
+        units = _units(np.stack([vectors[i] for i in held]))
+        first, _ = nodes_of(units)
+        for at in held:
+            links[at] = b""
+        for at, found in zip(first.tolist(), graph_of(units[first]), strict=True):
+            links[held[at]] = found.tobytes()
     data = [v.tobytes() if k is not None else None for v, k in zip(vectors, links, strict=True)]
     return pa.table([shard["bucket"], shard["chunk"], shard["project"], pa.array(data, pa.binary()), pa.array(links, pa.binary())], schema=_SCHEMA)
 
@@ -135,9 +152,9 @@ def rows(spark: SparkSession, snapshot: versions.Snapshot, model: str | None = N
 class Shard:
     """The graph of a shard in memory."""
 
-    def __init__(self, chunks: np.ndarray, projects: np.ndarray, vectors: np.ndarray, links: list[np.ndarray]):
+    def __init__(self, chunks: np.ndarray, projects: np.ndarray | None, vectors: np.ndarray, links: list[np.ndarray]):
         self.chunks, self.projects, self.vectors, self.units = chunks, projects, vectors, _units(vectors)
-        self.links = np.full((len(links), max(map(len, links))), -1, np.int32)
+        self.links = np.full((len(links), max(1, *map(len, links)) if len(links) > 1 else 1), -1, np.int32)
         for i, found in enumerate(links):
             self.links[i, : len(found)] = found
         self.starts = np.unique(np.linspace(0, len(chunks) - 1, min(STARTS, len(chunks))).astype(np.int64))
@@ -210,18 +227,27 @@ def _search(asked: pa.Table, k: int, beam: int, projects: Sequence[int] | None,
         if not len(shard) or not len(asked):
             return types.empty_table()
         vectors = np.stack([np.frombuffer(v.as_py(), dtype=np.float64) for v in shard["vector"]])
-        links = [np.frombuffer(v.as_py(), dtype=np.int32) for v in shard["links"]]
-        here = Shard(shard["chunk"].to_numpy(), shard["project"].to_numpy(zero_copy_only=False), vectors, links)
-        passing = np.ones(len(vectors), bool) if projects is None else np.isin(here.projects, list(projects))
+        chunks = shard["chunk"].to_numpy()
+        passing = np.ones(len(vectors), bool) if projects is None else np.isin(shard["project"].to_numpy(zero_copy_only=False), list(projects))
+        first, which = nodes_of(_units(vectors))
+        links = [np.frombuffer(shard["links"][i].as_py(), dtype=np.int32) for i in first.tolist()]
+        here = Shard(chunks[first], None, vectors[first], links)
+        # Of each node the rows that pass, k at most: the smaller ids, as ties are cut.
+        copies = np.flatnonzero(passing)
+        copies = copies[np.argsort(which[copies], kind="stable")]
+        starts = np.searchsorted(which[copies], np.arange(len(first) + 1))
+        rows_of = [copies[a : min(b, a + k)] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        passing = starts[1:] > starts[:-1]
         lengths = np.sqrt((vectors**2).sum(axis=1))
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
         q = np.array(asked["counts"].to_pylist(), dtype=np.float64).reshape(len(asked), -1)
         q_lengths = np.sqrt((q**2).sum(axis=1))
         whole = np.flatnonzero(q_lengths > 0)
         for i, places in zip(whole.tolist(), here.found(_units(q[whole]), passing, k, beam, exact) if len(whole) else [], strict=True):
+            places = np.concatenate([rows_of[n] for n in places.tolist()]) if len(places) else places
             sim = np.round(vectors[places] @ q[i] / (lengths[places] * q_lengths[i]), DIGITS)
-            top = np.lexsort((here.chunks[places], -sim))[:k]
-            out.append((i, here.chunks[places][top], sim[top]))
+            top = np.lexsort((chunks[places], -sim))[:k]
+            out.append((i, chunks[places][top], sim[top]))
         if not out:
             return types.empty_table()
         question = asked.column(0).combine_chunks().take(pa.array(np.repeat([i for i, _, _ in out], [len(c) for _, c, _ in out])))

@@ -104,3 +104,27 @@ def test_small_shards(n):
     assert len(links) == n and all(i not in f.tolist() for i, f in enumerate(links))
     shard = vector_index.Shard(np.arange(n), np.zeros(n), x, links)
     assert set(shard.walk(vector_index._units(x[:1]), np.ones(n, bool), n, n + 1)[0].tolist()) - {-1} == set(range(n))
+
+
+def test_copies_are_found_like_other_rows(spark, tmp_path):
+    ensure_checkpoint_dir(spark)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16))
+    rows = spark.createDataFrame([(i, i, i % 5, (x[i % 600] * (1 + i // 600 % 2)).tolist()) for i in range(600 * 30)], SCHEMA).cache()
+    chunk_store, index = str(tmp_path / "s"), str(tmp_path / "i")
+    store.swap_chunks(spark, chunk_store, rows, rows, buckets=2)
+    vector_index.refresh(spark, chunk_store, index)
+    asked = spark.createDataFrame([(f"q{i}", (x[i] + 0.5 * rng.normal(size=16)).tolist()) for i in range(40)], "question string, counts array<double>")
+    assert by_question(vector_index.search(spark, index, asked)) == exactly(rows, asked)
+    assert by_question(vector_index.search(spark, index, asked, projects=[2])) == exactly(rows.where("project = 2"), asked)
+    assert by_question(vector_index.search(spark, index, asked, exact=True)) == exactly(rows, asked)
+
+
+def test_a_store_of_more_rows_has_more_shards(spark, monkeypatch):
+    from lodestar.plans import stores
+
+    monkeypatch.setattr(stores, "VECTORS_A_SHARD", 100)
+    rows = spark.createDataFrame([(i, i % 5, v) for i, _, _, v in data(2_000)[:2_000]], "id long, project int, embedding array<double>")
+    found = vector_index.versions.latest(spark, stores.graph(rows))
+    held = vector_index.rows(spark, found).groupBy("bucket").count().agg({"count": "max"}).first()[0]
+    assert found.doc["buckets"] == 20 and held < 1_000
