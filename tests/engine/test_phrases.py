@@ -39,3 +39,39 @@ PASSAGES = [(1, "Purchase order", "Approve the purchase order in the module. The
 def test_phrases(spark, phrase, found):
     hits = phrase_hits(spark.createDataFrame(PASSAGES, "chunk long, heading string, text string"), spark.createDataFrame([(7, phrase)], "question long, text string"))
     assert [(r.chunk, r.score, r.covers) for r in hits.orderBy("rank").collect()] == found
+
+
+def test_phrases_by_views_and_by_places_are_the_same(spark, monkeypatch):
+    from lodestar.operators import phrases as P
+
+    words = "order purchase the of state-of-the-art a@b.cd module x1 paper example.com/x".split()
+    passages = [(i, " ".join(words[(i * j) % 10] for j in range(1, 4)), " ".join(words[(i + j * j) % 10] for j in range(60))) for i in range(40)]
+    asked = [(q, " ".join(words[(q + j * (q % 3 + 1)) % 10] for j in range(q % 6 + 1))) for q in range(60)] + [(99, " ".join(words[(j * j) % 10] for j in range(30)))]
+    passages, asked = spark.createDataFrame(passages, "chunk long, heading string, text string"), spark.createDataFrame(asked, "question long, text string")
+    found = {}
+    for far in (P.AHEAD, 2, -1):
+        monkeypatch.setattr(P, "AHEAD", far)
+        found[far] = {tuple(r) for r in P.phrase_covers(passages, asked).collect()}
+    assert found[P.AHEAD] == found[2] == found[16] and any(q == 99 for q, *_ in found[16])
+
+
+def test_a_common_word_does_not_meet_every_phrase(spark):
+    from lodestar.operators import phrases as P
+
+    passages = spark.createDataFrame([(1, None, "order " * 500)], "chunk long, heading string, text string")
+    asked = spark.createDataFrame([(q, f"order w{q} order") for q in range(50)], "question long, text string")
+    covers = P.phrase_covers(passages, asked)
+    assert covers.count() == 0 and "Aggregate" not in covers._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_fast_pattern_finds_the_same_tokens(spark, seed):
+    import random
+
+    from lodestar.functions import tokens as K
+
+    r = random.Random(seed)
+    bits = ["ab", "é", "12", "x9", ".", ".", "-", "_", "@", "%", "+", "://", "http", "ftp", "/", "/p?q=1", " ", " ", "\n", ":", ",", "1.2", "com", "٣", "𝒳", "'", "<"]
+    texts = spark.createDataFrame([("".join(r.choice(bits) for _ in range(r.randint(1, 14))),) for _ in range(8_000)], "text string")
+    both = texts.select("text", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n) for n, p in (("slow", K.TOKEN), ("fast", K.FAST_TOKEN))])
+    assert both.where("slow <> fast").limit(3).collect() == []
