@@ -16,7 +16,7 @@ from lodestar.sources import keyword_index, store, vector_index, versions
 
 #: A shard is one task's work and memory: a store of more rows has more of them, whatever they are. A graph compares all rows of a shard.
 SHARDS = 4
-VECTORS_A_SHARD = 5_000
+VECTORS_A_SHARD, ROWS_A_SHARD = 5_000, 500_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -66,7 +66,7 @@ def generations(chunks: DataFrame) -> DataFrame:
     other model, to which the search is switched while the first one stays."""
     spark, at = chunks.sparkSession, folder(chunks.sparkSession)
     rows = chunks.select("file_id", "ordinal")
-    store.swap_chunks(spark, at, rows, rows, SHARDS, model="small", index_version=4)
+    store.swap_chunks(spark, at, rows, rows, shards(rows, ROWS_A_SHARD), model="small", index_version=4)
     again = rows.where("file_id % 3 = 0 AND file_id % 5 <> 0").withColumn("ordinal", F.col("ordinal") + 100)
     store.swap_chunks(spark, at, again, rows.where("file_id % 3 = 0 OR file_id % 5 = 0"), model="small", index_version=5)
     store.swap_chunks(spark, at, rows.where("file_id % 2 = 0"), rows.where("file_id % 2 = 0"), model="large", index_version=5)
@@ -79,7 +79,7 @@ def changes(files: DataFrame) -> DataFrame:
     """Files as records: all are written, every tenth gets another status, and every seventeenth goes."""
     spark, at = files.sparkSession, folder(files.sparkSession)
     rows = files.select("id", "status")
-    mutations.put(spark, at, [mutations.records(rows, "file")], buckets=SHARDS)
+    mutations.put(spark, at, [mutations.records(rows, "file")], buckets=shards(rows, ROWS_A_SHARD))
     mutations.put(spark, at, [mutations.records(rows.where("id % 10 = 0").withColumn("status", F.lit("deleted")), "file")])
     mutations.put(spark, at, [], mutations.records(rows.where("id % 17 = 0"), "file"))
     return mutations.audit(spark, at)
