@@ -6,7 +6,7 @@ have the term; sums of contributions are made in the task before the shuffle, so
 
 A term that a source lacks contributes to a pair what any such term does. So a pair's value begins with all terms as if both
 lacked them; what a term's count in one of the two changes is added from a histogram of that source's counts; and what is
-emitted by term is what is left where both have it. A term that k of n sources have emits k * k rows, not n * n.
+emitted by term is what is left where both have it. A term that k of n sources have emits a row for each two of the k, not for each two of the n.
 
 All numbers are integers. Shares are out of ``UNITS`` = 10**9; a group's kept occurrences plus the number of kept terms may be
 9 * 10**15 at most. The sums stay below 2**63 for 10**9 kept terms.
@@ -116,23 +116,26 @@ def _wide(counts: Column, size: Column) -> Column:
 
 
 def _pairs(wide: Column, shares: Column, absent: Column) -> Column:
-    """(a, b, value) for the pairs of places that have the term: their divergence, less what the histograms count for each of
-    them without regard to the other; but for what two places without it would have, which is added by the number of terms."""
+    """(a, b, there, back) for the pairs of places that have the term, each pair once: a's divergence from b and b's from a, less what
+    the histograms count for each of them without regard to the other; but for what two places without it would have, which is
+    added by the number of terms."""
+
+    def one(a: Column, b: Column) -> Column:
+        return divergence(a["p"], b["p"]) - divergence(a["p"], b["p0"]) - divergence(a["p0"], b["p"])
 
     def of(a: Column, b: Column) -> Column:
-        value = divergence(a["p"], b["p"]) - divergence(a["p"], b["p0"]) - divergence(a["p0"], b["p"])
-        return F.struct(a["i"].alias("a"), b["i"].alias("b"), value.alias("value"))
+        return F.struct(a["i"].alias("a"), b["i"].alias("b"), one(a, b).alias("there"), one(b, a).alias("back"))
 
     places = F.filter(F.sequence(F.lit(0), F.size(wide) - 1), lambda i: F.get(wide, i) > 0)
     having = F.transform(places, lambda i: F.struct(i.alias("i"), F.get(shares, i).alias("p"), F.get(absent, i).alias("p0")))
-    return let(having, lambda h: F.flatten(F.transform(h, lambda a: F.transform(F.filter(h, lambda b: a["i"] != b["i"]), lambda b: of(a, b)))))
+    after = lambda h, at: F.slice(h, at + 2, F.size(h))
+    return let(having, lambda h: F.flatten(F.transform(h, lambda a, at: F.transform(after(h, at), lambda b: of(a, b)))))
 
 
-def _one_sided(met: DataFrame, langs: DataFrame, near) -> DataFrame:
+def _one_sided(terms: DataFrame, langs: DataFrame, near) -> DataFrame:
     """(lang, a, b, value): what the counts of one source add to its pairs, as if the other had none of its terms."""
     n_terms = F.col("n_terms")
-    having = F.filter(F.transform("wide", lambda n, i: F.struct(i.alias("a"), n.alias("n"))), lambda x: x["n"] > 0)
-    histogram = met.select("lang", F.explode(having).alias("x")).groupBy("lang", "x.a", "x.n").agg(F.count("*").alias("terms"))
+    histogram = terms.select("lang", F.explode("counts").alias("x")).groupBy("lang", F.col("x.place").alias("a"), "x.n").agg(F.count("*").alias("terms"))
     known = histogram.join(near(langs), "lang").withColumn("p", share(F.col("n"), F.get("totals", F.col("a")), n_terms)).withColumn("p0", F.get("absent", F.col("a")))
     each = known.select("lang", "a", "terms", "p", "p0", F.posexplode("absent").alias("b", "q0")).filter("a <> b")
     there = each.select("lang", "a", "b", (F.col("terms") * (divergence(F.col("p"), F.col("q0")) - divergence(F.col("p0"), F.col("q0")))).alias("value"))
@@ -165,21 +168,25 @@ def source_divergence(
 
     met = terms.join(near(langs), "lang").withColumn("wide", _wide(F.col("counts"), F.size("sources")))
     met = met.withColumn("shares", F.zip_with("wide", "totals", lambda n, t: share(n, t, n_terms)))
-    met = met.withColumn("whole", share(F.aggregate("wide", zero, lambda s, x: s + x), F.col("total"), n_terms))
 
     emitted = met.select("lang", F.explode(_pairs(F.col("wide"), F.col("shares"), F.col("absent"))).alias("p")).select("lang", "p.*")
+    emitted = emitted.groupBy("lang", "a", "b").agg(F.sum("there").alias("there"), F.sum("back").alias("back"), F.count("*").alias("both"))
+    ways = F.array(F.struct("a", "b", F.col("there").alias("value")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("back").alias("value")))
+    emitted = emitted.select("lang", "both", F.explode(ways).alias("p")).select("lang", "p.*", "both")
     all_places = F.sequence(F.lit(0), F.size("sources") - 1)
     at_least = langs.select("lang", "n_terms", "absent", F.explode(all_places).alias("a"), all_places.alias("bs")).select("lang", "n_terms", "absent", "a", F.explode("bs").alias("b")).filter("a <> b")
     base = F.when(n_terms > 0, divergence(F.get("absent", F.col("a")), F.get("absent", F.col("b")))).otherwise(zero)
     at_least = at_least.select("lang", "a", "b", (n_terms * base).alias("value"), zero.alias("both"), base.alias("base"))
-    one_sided = _one_sided(met, langs, near).select("lang", "a", "b", "value", zero.alias("both"), zero.alias("base"))
-    emitted = emitted.select("lang", "a", "b", "value", F.lit(1).cast("long").alias("both"), zero.alias("base"))
+    one_sided = _one_sided(terms, langs, near).select("lang", "a", "b", "value", zero.alias("both"), zero.alias("base"))
+    emitted = emitted.select("lang", "a", "b", "value", "both", zero.alias("base"))
     summed = emitted.unionByName(one_sided).unionByName(at_least).groupBy("lang", "a", "b").agg(*[F.sum(c).alias(c) for c in ("value", "both", "base")])
     pairs = summed.select("lang", "a", "b", (F.col("value") + F.col("both") * F.col("base")).alias("value"))
     pairs = pairs.join(near(langs.select("lang", "sources")), "lang").select("lang", F.get("sources", F.col("a")).alias("source"), F.lit("pair").alias("part"), F.get("sources", F.col("b")).alias("item"), "value")
 
-    more = F.zip_with("wide", "shares", lambda n, p: F.when((n > 0) & (p > F.col("whole")), divergence(p, F.col("whole"))))
-    above = met.select("lang", "term", "sources", F.posexplode(more).alias("place", "value")).filter(F.col("value").isNotNull())
+    own = F.transform("counts", lambda c: F.struct(c["place"].alias("place"), share(c["n"], F.get("totals", c["place"]), n_terms).alias("p")))
+    whole = share(F.aggregate("counts", zero, lambda s, c: s + c["n"]), F.col("total"), n_terms)
+    above = met.select("lang", "term", "sources", whole.alias("whole"), F.explode(own).alias("o")).filter("o.p > whole")
+    above = above.select("lang", "term", "sources", "o.place", divergence(F.col("o.p"), F.col("whole")).alias("value"))
     above = above.select("lang", F.get("sources", F.col("place")).alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     ranked = [pairs.withColumn("rank", F.row_number().over(order)), above.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most_terms)]
