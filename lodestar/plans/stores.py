@@ -16,7 +16,7 @@ from lodestar.sources import keyword_index, store, vector_index, versions
 
 #: A shard is one task's work and memory: a store of more rows has more of them, whatever they are. A graph compares all rows of a shard.
 SHARDS = 4
-VECTORS_A_SHARD, ROWS_A_SHARD = 5_000, 500_000
+VECTORS_A_SHARD, PASSAGES_A_SHARD, ROWS_A_SHARD = 5_000, 20_000, 500_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -33,7 +33,7 @@ def shards(rows: DataFrame, each: int) -> int:
 def keyword_indexed(p: DataFrame, a: DataFrame, projects: Sequence[int] | None = None) -> DataFrame:
     spark, at = p.sparkSession, folder(p.sparkSession)
     chunks = p.withColumn("file_id", F.col("chunk"))
-    store.swap_chunks(spark, f"{at}/chunks", chunks, chunks, buckets=SHARDS)
+    store.swap_chunks(spark, f"{at}/chunks", chunks, chunks, buckets=shards(p, PASSAGES_A_SHARD))
     keyword_index.refresh(spark, f"{at}/chunks", f"{at}/index")
     return keyword_index.search(spark, f"{at}/index", a, projects=projects).select("question", "chunk", "score", "rank")
 

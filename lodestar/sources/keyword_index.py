@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,16 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=_SIZES[data[0]], offset=1)
 
 
+def _cuts(columns: list[pa.Array]) -> list[int]:
+    """Where rows that are equal in these columns begin, and the end of the last ones; nulls are equal."""
+    n, other = len(columns[0]), np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        a, b = c.slice(0, n - 1), c.slice(1)
+        apart = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        other |= apart | pc.not_equal(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(other) + 1).tolist(), n]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places sorted by (bucket, lex, lexeme, project, chunk) -> blocks; what one batch does not finish goes on in the next."""
     schema = pa.schema([("bucket", pa.int32()), ("lex", pa.int32()), ("lexeme", pa.string()), ("project", pa.int32()), ("n", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("most", pa.int64()), ("steps", pa.binary()), ("weights", pa.binary())])
@@ -90,15 +101,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_pylist() for i in range(4)]
         chunk, w = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(5).to_numpy(zero_copy_only=False).astype(np.int64)
-        keys = list(zip(*columns, strict=True))
-        cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if keys[a] != key:
+        cuts = _cuts([batch.column(i) for i in range(4)])
+        keys = zip(*[batch.column(i).take(pa.array(cuts[:-1])).to_pylist() for i in range(4)], strict=True)
+        for now, a, b in zip(keys, cuts[:-1], cuts[1:], strict=True):
+            if now != key:
                 if key is not None:
                     emit(True)
-                key, ids, weights = keys[a], np.zeros(0, np.int64), np.zeros(0, np.int64)
+                key, ids, weights = now, np.zeros(0, np.int64), np.zeros(0, np.int64)
             ids, weights = np.r_[ids, chunk[a:b]], np.r_[weights, w[a:b]]
             if len(ids) > 4 * BLOCK:
                 emit(False)
