@@ -3,11 +3,13 @@
 SimHash finds candidates, the sets themselves decide. Texts with equal sets are folded first. Each distinct set votes
 once a shingle on ``BITS`` bits; at a similarity of 0.8 about 0.15 of the bits differ, of unrelated texts half of them.
 
-Candidates: a table's anchor is the value of some bits of the fingerprint (covering radius 0: with this share of bits
-apart, a row that replicates to a code's anchors meets less often than one more table of plain bits does). The bits of an
-anchor grow with the logarithm of the corpus, so that about ``AT_ANCHOR`` unrelated texts meet at each, and the tables with
-them: a pair whose bits differ with ``SHARE_APART`` meets in some table except for a probability of ``MISSED``. Texts that
-meet are linked if ``NEAR`` of the first 192 bits or fewer differ. Crowded anchors are dealt into pairs of slices.
+Candidates: anchor-point covering, as in ``simhash``, on the long fingerprint. A table takes 23 of its bits; the anchors are the words
+of the binary Golay code on these, a perfect code with covering radius 3. A set is replicated to every anchor within covering radius plus
+the table's threshold, 3 + 1 = 4: its own anchor, and five others if that one is 3 away. Two sets of which at most one of the 23 bits
+differs therefore always meet, and two of which each bit differs with ``SHARE_APART`` meet with ``MEETS``. In a large corpus an anchor holds
+only sets that agree in some further bits, so that about ``AT_ANCHOR`` of them are at each; tables are made until a pair of that share fails
+to meet in all of them with a probability of ``MISSED``. Sets that meet are linked if ``NEAR`` of the first 192 bits or fewer differ. Crowded
+anchors are dealt into pairs of slices.
 
 Decision: exact similarity along the candidates' links first, each linked text against the one it is linked to, which goes through
 a large group once. Where that leaves a connected component of candidates in more than one piece, all pairs of it are compared, met
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -42,8 +45,13 @@ BITS = 512
 WORDS = BITS // 64
 NEAR_WORDS = 3
 NEAR = 54
-AT_ANCHOR = 128
+#: The Golay code's length, its check bits and its generator; distance within which a set goes to an anchor.
+CODE, CHECKS, GENERATOR = 23, 11, 0b101011100011
+COVERING_RADIUS, APART_AT_ANCHOR = 3, 1
+AT_ANCHOR = 64
 SHARE_APART = 0.17
+#: Probability that two sets share an anchor if each bit differs with SHARE_APART (by all 2**23 differences); anchors of a set on average.
+MEETS, ANCHORS = 0.530, 5.32
 MISSED = 0.001
 #: Rows and shingles in one slice of a component of candidates, and ids that are broadcast rather than shuffled.
 LEAST_ROWS, MOST_ROWS, MOST_SHINGLES = 128, 2_048, 1_000_000
@@ -88,12 +96,52 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(words, pa.binary())], names=["rid", "th", "node", "size", "words"])
 
 
+def _syndromes() -> np.ndarray:
+    """What each bit of a word contributes to its checks: the remainder of its power by the generator."""
+    out = []
+    for i in range(CODE):
+        v = 1 << i
+        for b in range(CODE - 1, CHECKS - 1, -1):
+            if v >> b & 1:
+                v ^= GENERATOR << (b - CHECKS)
+        out.append(v)
+    return np.array(out, dtype=np.int64)
+
+
+def _flips() -> np.ndarray:
+    """By checks: which bits to flip to reach the anchors within covering radius and threshold, the own one first; -1 for none."""
+    of, found = _syndromes().tolist(), [[] for _ in range(1 << CHECKS)]
+    for weight in range(COVERING_RADIUS + APART_AT_ANCHOR + 1):
+        for places in combinations(range(CODE), weight):
+            s = v = 0
+            for i in places:
+                s, v = s ^ of[i], v | 1 << i
+            found[s].append(v)
+    most = max(map(len, found))
+    return np.array([x + [-1] * (most - len(x)) for x in found], dtype=np.int64)
+
+
+def anchors(words: np.ndarray) -> np.ndarray:
+    """Words of ``CODE`` bits -> a row of anchors for each, -1 where there are fewer."""
+    if not _FLIPS:
+        _FLIPS.append(_flips())
+    checks = np.zeros(len(words), dtype=np.int64)
+    for i, s in enumerate(_syndromes().tolist()):
+        checks ^= (words >> i & 1) * s
+    flips = _FLIPS[0][checks]
+    return np.where(flips < 0, -1, words[:, None] ^ flips)
+
+
+_FLIPS: list[np.ndarray] = []
+
+
 def tables_for(n: int) -> list[np.ndarray]:
-    """The bits of every table's anchors, for ``n`` distinct sets."""
-    bits = min(32, max(6, round(math.log2(max(n, 1) / AT_ANCHOR)) if n > AT_ANCHOR else 0))
-    tables = math.ceil(math.log(MISSED) / math.log1p(-((1 - SHARE_APART) ** bits)))
+    """The bits of every table for ``n`` distinct sets: ``CODE`` of the code, then those in which sets at an anchor agree."""
+    crowd = max(n, 1) * ANCHORS / (1 << (CODE - CHECKS)) / AT_ANCHOR
+    agree = min(24, max(0, round(math.log2(crowd))))
+    tables = math.ceil(math.log(MISSED) / math.log1p(-MEETS * (1 - SHARE_APART) ** agree))
     rng = np.random.default_rng(SEED)
-    return [rng.permutation(BITS)[:bits] for _ in range(tables)]
+    return [rng.permutation(BITS)[: CODE + agree] for _ in range(tables)]
 
 
 def _place(tables: list[np.ndarray]):
@@ -101,11 +149,19 @@ def _place(tables: list[np.ndarray]):
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 batch = whole.slice(at, 1_000)
+                node = batch.column(0).to_numpy()
                 words = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u8").reshape(-1, WORDS)
                 bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
-                keys = np.stack([bits[:, t].astype(np.int64) @ (1 << np.arange(len(t), dtype=np.int64)) | j << 32 for j, t in enumerate(tables)], axis=1)
-                near = [pa.array(np.repeat(np.ascontiguousarray(words[:, k]).view(np.int64), len(tables))) for k in range(NEAR_WORDS)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), len(tables))), *near], names=["key", "node", "w0", "w1", "w2"])
+                keys, rows = [], []
+                for j, t in enumerate(tables):
+                    word = bits[:, t].astype(np.int64) @ (1 << np.arange(len(t), dtype=np.int64))
+                    at_anchor = anchors(word & (1 << CODE) - 1)
+                    row, k = np.nonzero(at_anchor >= 0)
+                    keys.append(at_anchor[row, k] | word[row] >> CODE << CODE | j << 48)
+                    rows.append(row)
+                row = np.concatenate(rows)
+                near = [pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)[row]) for k in range(NEAR_WORDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node[row]), *near], names=["key", "node", "w0", "w1", "w2"])
 
     return run
 
@@ -175,7 +231,7 @@ def candidate_links(distinct: DataFrame) -> DataFrame:
     n = distinct.count()
     tables = tables_for(n)
     rows = distinct.select("node", "words").mapInArrow(_place(tables), "key long, node long, w0 long, w1 long, w2 long")
-    dealt = _slices(rows.select("key", F.struct("node", "w0", "w1", "w2").alias("fp")), n * len(tables)).select("key", "part", "fp.node", "fp.w0", "fp.w1", "fp.w2")
+    dealt = _slices(rows.select("key", F.struct("node", "w0", "w1", "w2").alias("fp")), math.ceil(n * len(tables) * ANCHORS)).select("key", "part", "fp.node", "fp.w0", "fp.w1", "fp.w2")
     return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_meet, "a long, b long")
 
 

@@ -120,3 +120,36 @@ def test_groups_are_carried_over_batches(step):
     rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "part", "node", "w0", "w1", "w2"])
     links = {r for b in near_copies._meet(iter([rows.slice(i, step) for i in range(0, 50, step)])) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
     assert links == {(5 * g + k, 5 * g) for g in range(10) for k in range(1, 5)}
+
+
+def test_anchors_cover():
+    """Every word has its own anchor within 3; words that differ in one bit share one; shares apart meet as often as is counted on."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 23, 20_000)
+    of_x = near_copies.anchors(x)
+    apart = np.where(of_x < 0, 99, np.bitwise_count(of_x ^ x[:, None]))
+    assert apart[:, 0].max() == 3 and (np.sort(apart, axis=1)[:, 1] >= 4).all() and apart[apart < 99].max() == 4
+    assert not near_copies.anchors(of_x[:, 0])[:, 1:].max() >= 0  # an anchor is its own, with no other near it
+    assert abs((of_x >= 0).sum(axis=1).mean() - near_copies.ANCHORS) < 0.1
+
+    def meet(y):
+        of_y = near_copies.anchors(y)
+        return ((of_x[:, :, None] == of_y[:, None, :]) & (of_x >= 0)[:, :, None]).any(axis=(1, 2))
+
+    assert all(meet(x ^ (1 << i)).all() for i in range(23))
+    differs = (rng.random((len(x), 23)) < near_copies.SHARE_APART) @ (1 << np.arange(23))
+    assert abs(meet(x ^ differs).mean() - near_copies.MEETS) < 0.02
+
+
+@pytest.mark.parametrize("n", [10, 100_000, 10**9])
+def test_sets_are_at_their_anchors_in_every_table(n):
+    tables = near_copies.tables_for(n)
+    words = np.random.default_rng(2).integers(0, 2**63, (3, near_copies.WORDS), dtype=np.uint64)
+    rows = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([w.tobytes() for w in words], pa.binary())], names=["node", "words"])
+    placed = pa.Table.from_batches(near_copies._place(tables)(iter([rows]))).to_pandas()
+    assert len(set(zip(placed.key, placed.node))) == len(placed)
+    assert placed.groupby(placed.key // 2**48).node.agg(set).map({7, 8, 9}.__eq__).sum() == len(tables)
+    for key, node, w0 in zip(placed.key, placed.node, placed.w0):
+        bits = np.unpackbits(words[node - 7].view(np.uint8), bitorder="little")[tables[key >> 48]].astype(np.int64)
+        word, at = int(bits @ (1 << np.arange(len(bits)))), key & (1 << 48) - 1
+        assert (word ^ at) >> 23 == 0 and (word ^ at).bit_count() <= 4 and w0 == words[node - 7].view(np.int64)[0]
