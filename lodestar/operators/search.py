@@ -40,6 +40,8 @@ from lodestar.functions.vectors import dot, nearest, norm
 from lodestar.lineage import written
 
 BROADCAST_TERMS = 200_000
+#: Characters of passages whose postings one task adds up.
+TEXT_A_TASK = 8_000_000
 DIGITS = 9
 
 
@@ -67,8 +69,14 @@ def places(passages: DataFrame, lexed=lexemes) -> DataFrame:
 
 
 def postings(passages: DataFrame, lexed=lexemes) -> DataFrame:
-    """(chunk, lexeme, weight): a lexeme's summed weight in a passage: 1 for a place in its heading, 0.1 in its text."""
-    return places(passages, lexed).groupBy("chunk", "lexeme").agg((F.sum("w") / 10).alias("weight"))
+    """(chunk, lexeme, weight): a lexeme's summed weight in a passage: 1 for a place in its heading, 0.1 in its text.
+
+    Passages are dealt by chunk into tasks of about ``TEXT_A_TASK`` characters, and each adds up its own: what a task holds does not grow with the table.
+    """
+    size = passages.agg(F.sum(F.coalesce(F.length("heading"), F.lit(0)) + F.coalesce(F.length("text"), F.lit(0)))).first()[0] or 0
+    tasks = max(int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TEXT_A_TASK))
+    dealt = passages.select("chunk", "heading", "text").repartition(tasks, "chunk")
+    return places(dealt, lexed).groupBy("chunk", "lexeme").agg((F.sum("w") / 10).alias("weight"))
 
 
 def keyword_hits(passages: DataFrame, questions: DataFrame, k: int = CANDIDATES, lexed=lexemes) -> DataFrame:
