@@ -1,5 +1,8 @@
 """Porter2 on words whose stems are published."""
 
+import pyarrow as pa
+
+from lodestar.functions import stemming
 from lodestar.functions.stemming import stem
 
 PUBLISHED = {
@@ -23,3 +26,11 @@ def test_stemmed_search(spark):
     questions = spark.createDataFrame([(1, "approve the order request unicorns"), (2, "the and")], "question int, text string")
     got = [(r.question, r.chunk, r.score) for r in search.keyword_hits(passages, questions, lexed=stemmed).collect()]
     assert got == [(1, 1, 0.75)]
+
+
+def test_stems_are_made_a_few_texts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(stemming, "TEXTS_AT_ONCE", 2)
+    most = []
+    monkeypatch.setattr(stemming, "_tokens_at_once", lambda t, f=stemming._tokens_at_once: most.append(len(t)) or f(t))
+    assert stemming._stems.func(pa.array(["Running the dogs", None, "", "cats", "x1"])).to_pylist() == [["run", "dog"], [], [], ["cat"], ["x1"]]
+    assert most == [2, 2, 1] and stemming._stems.func(pa.array([], pa.string())).to_pylist() == []
