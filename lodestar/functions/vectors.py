@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile("[a-z0-9]{3,}")
-MOST_REMEMBERED = 500_000
+#: Words that a worker remembers, and texts of which it makes one message.
+MOST_REMEMBERED, TEXTS_AT_ONCE = 100_000, 1_000
 DIGITS = 9
 MATRIX_BYTES, ROWS_A_TASK = 32 << 20, 1_000_000
 
@@ -34,17 +35,26 @@ def hashed_counts(rows: DataFrame, id_col: str, text_col: str, dim: int) -> Data
 
 def with_counts(rows: DataFrame, dim: int, **texts: str) -> DataFrame:
     """The rows with a column of counts for each text column that is named (counts="text"), without a join."""
-    slim = rows.select(*[F.col(c).cast("string").alias(f"text{i}") for i, c in enumerate(texts.values())], F.struct(*rows.columns).alias("row"))
+    slim = rows.select(F.struct(*rows.columns).alias("row"))
     schema = T.StructType([slim.schema["row"], *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in texts]])
+    places = [rows.columns.index(c) for c in texts.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(dim)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(len(texts)), *[count(batch.column(i)) for i in range(len(texts))]], names=["row", *texts])
+        for batch in _pieces(batches):
+            row = batch.column(0)
+            yield pa.RecordBatch.from_arrays([row, *[count(row.field(i).cast(pa.string())) for i in places]], names=["row", *texts])
 
     return slim.mapInArrow(run, schema).select("row.*", *texts)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``TEXTS_AT_ONCE`` rows at most: what is made of a batch is in memory beside it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
+
+
 def _counter(dim: int):
     """From a column of texts to its counts; words are remembered from one batch to the next."""
     known: dict[str, int] = {}
@@ -69,7 +79,7 @@ def _counter(dim: int):
 def _count(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(dim)
-        for batch in batches:
+        for batch in _pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), count(batch.column(1))], names=["id", "counts"])
 
     return run
@@ -118,7 +128,7 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 
 #: Numbers of one product of questions and rows, and of one message of results.
-TILE_NUMBERS, ROWS_AT_ONCE = 1 << 21, 1 << 18
+TILE_NUMBERS, ROWS_AT_ONCE = 1 << 18, 1 << 16
 #: Stands for no similarity: below all others.
 _NONE = -2.0
 

@@ -7,6 +7,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestar.functions import vectors
@@ -80,3 +81,15 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
     assert ran.returncode == 0, ran.stderr
     assert int(ran.stdout) < 500 + 100  # with the interpreter and its libraries
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss > 0
+
+
+def test_counts_are_made_piece_by_piece(spark, monkeypatch):
+    """A batch is cut before anything is made of it; rows keep their other columns, and texts of other types are read as strings."""
+    monkeypatch.setattr(vectors, "TEXTS_AT_ONCE", 3)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(8)), "text": [None, "", *["some words here"] * 6]})
+    assert [b.num_rows for b in vectors._count(4)(iter([batch]))] == [3, 3, 2]
+    rows = spark.range(8).selectExpr("id", "IF(id = 5, NULL, concat('word', id, ' more')) AS text", "id * 1000 AS number")
+    whole = {r.id: (r.text, r.number, r.a, r.b) for r in vectors.with_counts(rows, 8, a="text", b="number").collect()}
+    for r in rows.collect():
+        alone = [vectors._counter(8)(pa.array([v], pa.string())).to_pylist()[0] for v in (r.text, str(r.number))]
+        assert whole[r.id] == (r.text, r.number, *alone)
